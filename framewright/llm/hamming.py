@@ -1,0 +1,59 @@
+"""Exact joins of 64-bit hashes within a small Hamming distance.
+
+A hash is cut into a fixed number of segments by position. Two hashes that differ in at most d bits agree on at
+least (segments - d) whole segments, so every such pair shares a key built of that many segments and their
+places. Joining on these keys and verifying the distance loses nothing, at any size.
+"""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Beyond so many distinct hashes on the probed side, keys of three 7-bit segments are used in place of two bytes.
+WIDE_KEYS_FROM = 2_000_000
+
+
+def distance(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def segment_keys(h: Column, segments: int, agree: int) -> Column:
+    """Array of the keys of every choice of `agree` segments out of `segments`."""
+    cuts = [round(64 * i / segments) for i in range(segments + 1)]
+    part = lambda i: F.shiftrightunsigned(h, cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1)
+    keys = []
+    for number, chosen in enumerate(combinations(range(segments), agree)):
+        key, bits = F.lit(number).cast("bigint"), 0
+        for i in chosen:
+            width = cuts[i + 1] - cuts[i]
+            key = F.shiftleft(key, width).bitwiseOR(part(i))
+            bits += width
+        keys.append(key)
+    return F.array(*keys)
+
+
+def segments_for(rows: int, max_distance: int) -> tuple[int, int]:
+    """How many segments, and how many of them must agree; every choice gives the same result."""
+    agree = 2 if rows < WIDE_KEYS_FROM else 3
+    return max_distance + agree, agree
+
+
+def segment_index(df: DataFrame, h: str, segments: int, agree: int) -> DataFrame:
+    """df with one row per segment key (column seg): the stored form that later batches probe."""
+    return df.withColumn("seg", F.explode(segment_keys(F.col(h), segments, agree)))
+
+
+def close_hashes(left: DataFrame, right: DataFrame, max_distance: int, rows: int) -> DataFrame:
+    """Distinct pairs (a, b) of left.h and right.h that differ in at most max_distance bits.
+
+    left and right: one row per hash, column h (bigint, not null). rows: about the size of the larger side;
+    it only selects the key width. Equal hashes are pairs as well.
+    """
+    segments, agree = segments_for(rows, max_distance)
+    a = segment_index(left.select("h"), "h", segments, agree).select("seg", F.col("h").alias("a"))
+    b = segment_index(right.select("h"), "h", segments, agree).select("seg", F.col("h").alias("b"))
+    near = a.join(b, "seg").where(distance(F.col("a"), F.col("b")) <= max_distance)
+    return near.select("a", "b").distinct()

@@ -16,7 +16,7 @@ from framewright.session import cut
 
 WIDTH, K, LEAST = 512, 5, 0.65
 #: Each vector enters and searches the shards of its CELLS most similar centres; a shard aims at SHARD vectors.
-CELLS, SHARD = 2, 4000
+CELLS, SHARD = 2, 2500
 #: Vectors that the centres are fitted on, at most; a bound of the method, all vectors are indexed.
 SAMPLE = 16_384
 BEAM, SEARCH_BEAM = 28, 24
@@ -66,7 +66,6 @@ def neighbour_groups(groups: DataFrame, k: int = K, least: float = LEAST, shard:
     """
     n = groups.count()
     count = max(1, round(CELLS * n / shard))
-    width_sql = "gid string, vector array<float>"
     picked = groups.select("gid", "vector").orderBy("gid").limit(min(sample, max(64 * count, 2048))) if n > sample else groups.select("gid", "vector")
     fit = _unit(_matrix(picked.select("vector").toArrow().column("vector"))) if n else np.zeros((0, WIDTH), np.float32)
     centre = centres(fit, min(count, max(len(fit), 1))) if n else fit
@@ -84,17 +83,26 @@ def neighbour_groups(groups: DataFrame, k: int = K, least: float = LEAST, shard:
 
     routed = cut(groups.select("gid", "vector").mapInArrow(route, "cell int, gid string"))
     sizes = routed.groupBy("cell").agg(F.count("*").alias("n")).collect()  # one row a centre
-    parts = {r["cell"]: max(1, round(r["n"] / (2 * shard))) for r in sizes}
-    plan = spark.createDataFrame([(c, p) for c, p in parts.items()], "cell int, parts int")
+    plan, tasks_before = [], 0
+    for cell, rows in sorted((r["cell"], r["n"]) for r in sizes):
+        parts = max(1, round(rows / (2 * shard)))
+        plan.append((cell, parts, tasks_before))
+        tasks_before += parts
+    plan = spark.createDataFrame(plan, "cell int, parts int, first int")
     placed = routed.join(F.broadcast(plan), "cell").withColumn("home", F.pmod(F.hash("gid"), F.col("parts")))
     # a row for each part that a vector searches; it is a point of one of them
-    tasks = placed.select("gid", "cell", "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    work = tasks.join(groups.select("gid", "vector"), "gid")
+    tasks = placed.select("gid", "first", "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    work = tasks.select("gid", (F.col("home") == F.col("part")).alias("own"), (F.col("first") + F.col("part")).alias("shard")).join(groups.select("gid", "vector"), "gid")
 
-    def answer(table: pa.Table) -> pa.Table:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if held:
+            yield from of_shard(pa.Table.from_batches(held)).to_batches()
+
+    def of_shard(table: pa.Table) -> pa.Table:
         gids = table.column("gid").combine_chunks()
         raw = _matrix(table.column("vector"))
-        own = (table.column("home").to_numpy() == table.column("part").to_numpy())
+        own = table.column("own").to_numpy()
         order = np.argsort(np.asarray(gids.to_pylist(), dtype=object), kind="stable")  # a graph must not depend on arrival
         points = order[own[order]]
         empty = pa.table({"gid": pa.array([], pa.string()), "other": pa.array([], pa.string()), "sim": pa.array([], pa.float64())})
@@ -127,8 +135,9 @@ def neighbour_groups(groups: DataFrame, k: int = K, least: float = LEAST, shard:
         good = sims >= least
         return pa.table({"gid": gids.take(pa.array(a[good])), "other": gids.take(pa.array(b[good])), "sim": pa.array(sims[good])})
 
-    del width_sql
-    return work.groupBy("cell", "part").applyInArrow(answer, "gid string, other string, sim double").distinct()
+    # one task a shard
+    placed_work = work.repartitionById(max(tasks_before, 1), F.col("shard")).select("gid", "own", "vector")
+    return placed_work.mapInArrow(answer, "gid string, other string, sim double").distinct()
 
 
 def neighbours(index: DataFrame, k: int = K, least: float = LEAST, shard: int = SHARD) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,15 +23,34 @@ SAMPLE = 16_384
 BEAM, SEARCH_BEAM = 28, 24
 
 
-def distinct_vectors(index: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(path, gid, vector): one row per path with a usable vector; gid numbers equal vectors by content.
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(column), width)
 
-    Usable are vectors of `width` finite numbers that are not all zero.
-    """
-    usable = (F.size("vector") == width) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = index.where("path is not null and vector is not null").where(usable).select("path", F.transform("vector", lambda x: (x + 0.0).cast("float")).alias("vector"))
-    one = rows.groupBy("path").agg(F.min("vector").alias("vector"))
-    return one.withColumn("gid", F.md5(F.array_join(F.transform("vector", lambda x: x.cast("string")), ",")))
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return (m / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
+
+
+def _usable(batch: pa.RecordBatch, width: int) -> tuple[pa.Array, np.ndarray, list[bytes]]:
+    """Paths, vectors and content numbers of the rows with a path and `width` finite numbers, not all zero."""
+    vectors = batch.column("vector")
+    fits = pc.and_(pc.is_valid(batch.column("path")), pc.equal(pc.list_value_length(vectors), width))
+    rows = np.flatnonzero(fits.fill_null(False).to_numpy(zero_copy_only=False))
+    paths, m = batch.column("path").take(pa.array(rows)), _matrix(vectors.take(pa.array(rows)), width) + np.float32(0)
+    good = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
+    paths, m = paths.filter(pa.array(good)), np.ascontiguousarray(m[good])
+    return paths, m, [hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in m]
+
+
+def content_numbers(index: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(path, gid): one row per path with a usable vector; equal vectors have equal gids. No vector is moved."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, _, gids = _usable(batch, width)
+            yield pa.RecordBatch.from_arrays([paths, pa.array(gids, pa.binary())], names=["path", "gid"])
+
+    return index.select("path", "vector").mapInArrow(number, "path string, gid binary").groupBy("path").agg(F.min("gid").alias("gid"))
 
 
 def centres(vectors: np.ndarray, count: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -47,67 +67,89 @@ def centres(vectors: np.ndarray, count: int, rounds: int = 8, seed: int = 0) ->
     return out.astype(np.float32)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if isinstance(column, pa.ChunkedArray) else column.flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
+def fit_centres(index: DataFrame, n: int, shard: int, sample: int, width: int) -> tuple[np.ndarray, list[int]]:
+    """Centres of the cells, and of each cell the number of parts that it is divided into.
 
+    Both are fitted on at most about `sample` distinct vectors, chosen by their content numbers.
+    """
+    count = min(max(1, round(CELLS * n / shard)), sample // 64)
+    limit = min(1 << 32, int((1 << 32) * sample / max(n, 1)))
 
-def neighbour_groups(groups: DataFrame, k: int = K, least: float = LEAST, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            _, m, gids = _usable(batch, width)
+            keep = [i for i, g in enumerate(gids) if int.from_bytes(g[:4], "big") < limit and g not in seen]
+            seen.update(gids[i] for i in keep)
+            yield pa.RecordBatch.from_arrays([pa.array([gids[i] for i in keep], pa.binary()), pa.array([m[i].tobytes() for i in keep], pa.binary())], names=["gid", "raw"])
+
+    rows = index.select("path", "vector").mapInArrow(pick, "gid binary, raw binary").toArrow()
+    unique = dict(zip(rows.column("gid").to_pylist(), rows.column("raw").to_pylist(), strict=True))
+    if not unique:
+        return np.zeros((1, width), np.float32), [1]
+    unit = _unit(np.stack([np.frombuffer(unique[g], np.float32) for g in sorted(unique)]))
+    centre = centres(unit, min(count, len(unit)))
+    top = np.argsort(-(unit @ centre.T), axis=1, kind="stable")[:, :CELLS]
+    sizes = np.bincount(top.ravel(), minlength=len(centre)) * (n / len(unit))
+    return centre, [max(1, round(x / (2 * shard))) for x in sizes]
+
+
+def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST, shard: int = SHARD, sample: int = SAMPLE, width: int = WIDTH) -> DataFrame:
     """(gid, other, sim): for each distinct vector about the k most similar other ones, cosine rounded to 6.
 
-    groups: gid, vector. Vectors are routed to the shards of their most similar centres. A cell that is larger
-    than two shards is divided by hash; its vectors then search each part, so a cell may hold any share of
-    the rows. In every shard a graph is built of its vectors, and a beam search on it answers for each vector
-    that was routed to it.
+    index: path, vector, with about n distinct vectors. Vectors are routed to the shards of their most similar
+    centres, each once per partition of the input however many copies there are; that is the only time vectors
+    are moved. A cell much larger than a shard is divided by content number and its vectors search each part,
+    so a cell may hold any share of the rows. In every shard (one task each) a graph is built of its vectors,
+    and a beam search on it answers for each vector that was routed to it.
     """
-    n = groups.count()
-    count = max(1, round(CELLS * n / shard))
-    picked = groups.select("gid", "vector").orderBy("gid").limit(min(sample, max(64 * count, 2048))) if n > sample else groups.select("gid", "vector")
-    fit = _unit(_matrix(picked.select("vector").toArrow().column("vector"))) if n else np.zeros((0, WIDTH), np.float32)
-    centre = centres(fit, min(count, max(len(fit), 1))) if n else fit
-    spark = groups.sparkSession
-    shared = spark.sparkContext.broadcast(centre)
+    centre, parts = fit_centres(index, n, shard, sample, width)
+    first = np.cumsum([0, *parts])
+    shared = index.sparkSession.sparkContext.broadcast((centre, np.array(parts), first))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        centre, parts, first = shared.value
         for batch in batches:
-            if not len(batch):
+            _, m, gids = _usable(batch, width)
+            fresh = []
+            for i, g in enumerate(gids):
+                if g not in seen:
+                    seen.add(g)
+                    fresh.append(i)
+            if not fresh:
                 continue
-            sims = _unit(_matrix(batch.column("vector"))) @ shared.value.T
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :CELLS]
-            rows = np.repeat(np.arange(len(batch)), top.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), batch.column("gid").take(pa.array(rows))], names=["cell", "gid"])
-
-    routed = cut(groups.select("gid", "vector").mapInArrow(route, "cell int, gid string"))
-    sizes = routed.groupBy("cell").agg(F.count("*").alias("n")).collect()  # one row a centre
-    plan, tasks_before = [], 0
-    for cell, rows in sorted((r["cell"], r["n"]) for r in sizes):
-        parts = max(1, round(rows / (2 * shard)))
-        plan.append((cell, parts, tasks_before))
-        tasks_before += parts
-    plan = spark.createDataFrame(plan, "cell int, parts int, first int")
-    placed = routed.join(F.broadcast(plan), "cell").withColumn("home", F.pmod(F.hash("gid"), F.col("parts")))
-    # a row for each part that a vector searches; it is a point of one of them
-    tasks = placed.select("gid", "first", "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    work = tasks.select("gid", (F.col("home") == F.col("part")).alias("own"), (F.col("first") + F.col("part")).alias("shard")).join(groups.select("gid", "vector"), "gid")
+            m, gids = m[fresh], [gids[i] for i in fresh]
+            cells = np.argsort(-(_unit(m) @ centre.T), axis=1, kind="stable")[:, :CELLS]
+            rows, shards, own = [], [], []
+            for i, g in enumerate(gids):
+                home = int.from_bytes(g[8:12], "big")
+                for c in cells[i]:
+                    for part in range(parts[c]):
+                        rows.append(i)
+                        shards.append(first[c] + part)
+                        own.append(home % parts[c] == part)
+            raw = pa.array([x.tobytes() for x in m], pa.binary())
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(own), pa.array(gids, pa.binary()).take(at), raw.take(at)], names=["shard", "own", "gid", "raw"])
+
+    work = index.select("path", "vector").mapInArrow(route, "shard int, own boolean, gid binary, raw binary")
+    kinds = "gid binary, other binary, sim double"
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if len(b)]
+        held: dict[bytes, tuple[bytes, bool]] = {}
+        for batch in batches:
+            held.update(zip(batch.column("gid").to_pylist(), zip(batch.column("raw").to_pylist(), batch.column("own").to_pylist(), strict=True), strict=True))
         if held:
-            yield from of_shard(pa.Table.from_batches(held)).to_batches()
-
-    def of_shard(table: pa.Table) -> pa.Table:
-        gids = table.column("gid").combine_chunks()
-        raw = _matrix(table.column("vector"))
-        own = table.column("own").to_numpy()
-        order = np.argsort(np.asarray(gids.to_pylist(), dtype=object), kind="stable")  # a graph must not depend on arrival
-        points = order[own[order]]
-        empty = pa.table({"gid": pa.array([], pa.string()), "other": pa.array([], pa.string()), "sim": pa.array([], pa.float64())})
+            yield from of_shard(held).to_batches()
+
+    def of_shard(held: dict[bytes, tuple[bytes, bool]]) -> pa.Table:
+        order = sorted(held)  # a graph must not depend on the order of arrival
+        gids = pa.array(order, pa.binary())
+        raw = np.stack([np.frombuffer(held[g][0], np.float32) for g in order])
+        points = np.flatnonzero([held[g][1] for g in order])
         if not len(points):
-            return empty
+            return pa.table({"gid": pa.array([], pa.binary()), "other": pa.array([], pa.binary()), "sim": pa.array([], pa.float64())})
         unit = _unit(raw)
         graph = Graph(np.ascontiguousarray(unit[points]), beam=BEAM)
         inside = np.full(len(raw), -1)
@@ -135,9 +177,8 @@ def neighbour_groups(groups: DataFrame, k: int = K, least: float = LEAST, shard:
         good = sims >= least
         return pa.table({"gid": gids.take(pa.array(a[good])), "other": gids.take(pa.array(b[good])), "sim": pa.array(sims[good])})
 
-    # one task a shard
-    placed_work = work.repartitionById(max(tasks_before, 1), F.col("shard")).select("gid", "own", "vector")
-    return placed_work.mapInArrow(answer, "gid string, other string, sim double").distinct()
+    tasks = work.repartitionById(int(first[-1]), F.col("shard")).select("gid", "own", "raw")
+    return tasks.mapInArrow(answer, kinds).distinct()
 
 
 def neighbours(index: DataFrame, k: int = K, least: float = LEAST, shard: int = SHARD) -> DataFrame:
@@ -150,13 +191,12 @@ def neighbours(index: DataFrame, k: int = K, least: float = LEAST, shard: int =
     own result, so a vector that a third of the paths share costs no more than one. The graph is approximate:
     pairs can be missed (README: measured recall), none is wrong.
     """
-    rows = cut(distinct_vectors(index))
+    rows = cut(content_numbers(index))
     by_path = Window.partitionBy("gid").orderBy("path")
     # row_number <= k + 1 is applied before the shuffle as well, so a hot group stays small
     heads = rows.select("gid", "path").withColumn("r", F.row_number().over(by_path)).where(F.col("r") <= k + 1)
     heads = cut(heads.groupBy("gid").agg(F.sort_array(F.collect_list("path")).alias("heads")))
-    groups = cut(rows.groupBy("gid").agg(F.first("vector").alias("vector")))
-    near = neighbour_groups(groups, k, least, shard)
+    near = neighbour_groups(index, heads.count(), k, least, shard)
     itself = heads.select("gid", F.col("gid").alias("other"), F.lit(1.0).alias("sim"))
     ranked = near.unionByName(itself).join(heads.withColumnRenamed("gid", "other"), "other").select("gid", "sim", F.explode("heads").alias("other"))
     best = Window.partitionBy("gid").orderBy(F.col("sim").desc(), "other")

@@ -91,7 +91,7 @@ def fit_centres(index: DataFrame, n: int, shard: int, sample: int, width: int) -
     centre = centres(unit, min(count, len(unit)))
     top = np.argsort(-(unit @ centre.T), axis=1, kind="stable")[:, :CELLS]
     sizes = np.bincount(top.ravel(), minlength=len(centre)) * (n / len(unit))
-    return centre, [max(1, round(x / (2 * shard))) for x in sizes]
+    return centre, [max(1, round(x / (4 * shard))) for x in sizes]
 
 
 def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST, shard: int = SHARD, sample: int = SAMPLE, width: int = WIDTH) -> DataFrame:
@@ -129,7 +129,9 @@ def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST,
                         rows.append(i)
                         shards.append(first[c] + part)
                         own.append(home % parts[c] == part)
-            raw = pa.array([x.tobytes() for x in m], pa.binary())
+            # bytes of equal weight side by side, which the shuffle's compression makes use of
+            planes = m.view(np.uint8).reshape(len(m), width, 4).transpose(0, 2, 1)
+            raw = pa.array([x.tobytes() for x in planes], pa.binary())
             at = pa.array(rows)
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(own), pa.array(gids, pa.binary()).take(at), raw.take(at)], names=["shard", "own", "gid", "raw"])
 
@@ -146,7 +148,8 @@ def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST,
     def of_shard(held: dict[bytes, tuple[bytes, bool]]) -> pa.Table:
         order = sorted(held)  # a graph must not depend on the order of arrival
         gids = pa.array(order, pa.binary())
-        raw = np.stack([np.frombuffer(held[g][0], np.float32) for g in order])
+        planes = np.stack([np.frombuffer(held[g][0], np.uint8) for g in order]).reshape(len(order), 4, width)
+        raw = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.float32)[:, :, 0]
         points = np.flatnonzero([held[g][1] for g in order])
         if not len(points):
             return pa.table({"gid": pa.array([], pa.binary()), "other": pa.array([], pa.binary()), "sim": pa.array([], pa.float64())})
@@ -163,7 +166,7 @@ def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST,
             asked.append(strange)
             found.append(graph.query(unit[strange], SEARCH_BEAM)[0])
         who = np.concatenate(asked)
-        ids = np.concatenate(found)[:, : 2 * k + 2]
+        ids = np.concatenate(found)[:, : k + 3]
         rows, at = np.nonzero(ids >= 0)
         a, b = who[rows], points[ids[rows, at]]
         keep = a != b

@@ -16,11 +16,12 @@ from framewright.operators.distribute import join_unique
 from framewright.session import cut
 
 WIDTH, K, LEAST = 512, 5, 0.65
-#: Each vector enters and searches the shards of its CELLS most similar centres; a shard aims at SHARD vectors.
-CELLS, SHARD = 2, 2500
+#: Each vector enters and searches the shard of its most similar centre, and that of the second if its similarity
+#: is within MARGIN of the first; a shard aims at SHARD vectors.
+CELLS, MARGIN, SHARD = 2, 0.025, 1000
 #: Vectors that the centres are fitted on, at most; a bound of the method, all vectors are indexed.
 SAMPLE = 16_384
-BEAM, SEARCH_BEAM = 28, 24
+DEGREE, BEAM, SEARCH_BEAM = 16, 16, 12
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -72,7 +73,7 @@ def fit_centres(index: DataFrame, n: int, shard: int, sample: int, width: int) -
 
     Both are fitted on at most about `sample` distinct vectors, chosen by their content numbers.
     """
-    count = min(max(1, round(CELLS * n / shard)), sample // 64)
+    count = min(max(1, round(n / shard)), sample // 64)
     limit = min(1 << 32, int((1 << 32) * sample / max(n, 1)))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,16 +90,24 @@ def fit_centres(index: DataFrame, n: int, shard: int, sample: int, width: int) -
         return np.zeros((1, width), np.float32), [1]
     unit = _unit(np.stack([np.frombuffer(unique[g], np.float32) for g in sorted(unique)]))
     centre = centres(unit, min(count, len(unit)))
-    top = np.argsort(-(unit @ centre.T), axis=1, kind="stable")[:, :CELLS]
-    sizes = np.bincount(top.ravel(), minlength=len(centre)) * (n / len(unit))
-    return centre, [max(1, round(x / (4 * shard))) for x in sizes]
+    cells = cells_of(unit, centre)
+    sizes = np.bincount(cells[cells >= 0], minlength=len(centre)) * (n / len(unit))
+    return centre, [max(1, round(x / (8 * shard))) for x in sizes]
+
+
+def cells_of(unit: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The cells of each unit vector, -1 in the place of a second one that is too far."""
+    sims = unit @ centre.T
+    top = np.argsort(-sims, axis=1, kind="stable")[:, :CELLS]
+    best = np.take_along_axis(sims, top, axis=1)
+    return np.where(best >= best[:, :1] - MARGIN, top, -1)
 
 
 def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST, shard: int = SHARD, sample: int = SAMPLE, width: int = WIDTH) -> DataFrame:
     """(gid, other, sim): for each distinct vector about the k most similar other ones, cosine rounded to 6.
 
     index: path, vector, with about n distinct vectors. Vectors are routed to the shards of their most similar
-    centres, each once per partition of the input however many copies there are; that is the only time vectors
+    centres (cells_of), each once per partition of the input however many copies there are; that is the only time vectors
     are moved. A cell much larger than a shard is divided by content number and its vectors search each part,
     so a cell may hold any share of the rows. In every shard (one task each) a graph is built of its vectors,
     and a beam search on it answers for each vector that was routed to it.
@@ -110,6 +119,7 @@ def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST,
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         centre, parts, first = shared.value
+        codec = pa.Codec("zstd", compression_level=1)
         for batch in batches:
             _, m, gids = _usable(batch, width)
             fresh = []
@@ -120,18 +130,18 @@ def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST,
             if not fresh:
                 continue
             m, gids = m[fresh], [gids[i] for i in fresh]
-            cells = np.argsort(-(_unit(m) @ centre.T), axis=1, kind="stable")[:, :CELLS]
+            cells = cells_of(_unit(m), centre)
             rows, shards, own = [], [], []
             for i, g in enumerate(gids):
                 home = int.from_bytes(g[8:12], "big")
-                for c in cells[i]:
+                for c in cells[i][cells[i] >= 0]:
                     for part in range(parts[c]):
                         rows.append(i)
                         shards.append(first[c] + part)
                         own.append(home % parts[c] == part)
-            # bytes of equal weight side by side, which the shuffle's compression makes use of
+            # bytes of equal weight side by side compress well
             planes = m.view(np.uint8).reshape(len(m), width, 4).transpose(0, 2, 1)
-            raw = pa.array([x.tobytes() for x in planes], pa.binary())
+            raw = pa.array([codec.compress(x.tobytes(), asbytes=True) for x in planes], pa.binary())
             at = pa.array(rows)
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(own), pa.array(gids, pa.binary()).take(at), raw.take(at)], names=["shard", "own", "gid", "raw"])
 
@@ -148,13 +158,14 @@ def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST,
     def of_shard(held: dict[bytes, tuple[bytes, bool]]) -> pa.Table:
         order = sorted(held)  # a graph must not depend on the order of arrival
         gids = pa.array(order, pa.binary())
-        planes = np.stack([np.frombuffer(held[g][0], np.uint8) for g in order]).reshape(len(order), 4, width)
+        codec = pa.Codec("zstd")
+        planes = np.stack([np.frombuffer(codec.decompress(held[g][0], width * 4), np.uint8) for g in order]).reshape(len(order), 4, width)
         raw = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.float32)[:, :, 0]
         points = np.flatnonzero([held[g][1] for g in order])
         if not len(points):
             return pa.table({"gid": pa.array([], pa.binary()), "other": pa.array([], pa.binary()), "sim": pa.array([], pa.float64())})
         unit = _unit(raw)
-        graph = Graph(np.ascontiguousarray(unit[points]), beam=BEAM)
+        graph = Graph(np.ascontiguousarray(unit[points]), degree=DEGREE, beam=BEAM)
         inside = np.full(len(raw), -1)
         inside[points] = np.arange(len(points))
         asked, found = [], []
@@ -166,7 +177,7 @@ def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST,
             asked.append(strange)
             found.append(graph.query(unit[strange], SEARCH_BEAM)[0])
         who = np.concatenate(asked)
-        ids = np.concatenate(found)[:, : k + 3]
+        ids = np.concatenate(found)[:, : k + 2]
         rows, at = np.nonzero(ids >= 0)
         a, b = who[rows], points[ids[rows, at]]
         keep = a != b

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.distribute import join_unique
 from framewright.session import cut
 
 HAMMING_THRESHOLD = 10
@@ -20,7 +21,7 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _segment_keys(h: Column, segments: int, agree: int) -> Column:
+def segment_keys(h: Column, segments: int, agree: int) -> Column:
     cuts = [round(64 * i / segments) for i in range(segments + 1)]
     keys = []
     for number, chosen in enumerate(combinations(range(segments), agree)):
@@ -42,7 +43,7 @@ def hamming_edges(hashes: DataFrame, threshold: int = HAMMING_THRESHOLD) -> Data
     members = hashes.select("ord", F.explode("hs").alias("h")).where(F.col("h").isNotNull()).distinct()
     members = cut(members)
     distinct = members.select("h").distinct()
-    keyed = distinct.withColumn("seg", F.explode(_segment_keys(F.col("h"), threshold + 2, 2)))
+    keyed = distinct.withColumn("seg", F.explode(segment_keys(F.col("h"), threshold + 2, 2)))
     a, b = keyed.select("seg", F.col("h").alias("a")), keyed.select("seg", F.col("h").alias("b"))
     near = a.join(b, "seg").where(F.col("a") <= F.col("b")).withColumn("dist", hamming(F.col("a"), F.col("b"))).where(F.col("dist") <= threshold).select("a", "b", "dist").distinct()
     x, y = members.select(F.col("ord").alias("x"), F.col("h").alias("a")), members.select(F.col("ord").alias("y"), F.col("h").alias("b"))
@@ -127,9 +128,34 @@ def dedup(items: DataFrame, edges: DataFrame, nearest: bool = False, weight: str
     return items.join(named, "ord", "left").withColumn("is_duplicate", F.col("duplicate_of").isNotNull())
 
 
+def copy_classes(items: DataFrame, *content: str) -> DataFrame:
+    """(ord, first): each item and the first item of equal content; items without content are left out."""
+    keyed = items.where(" and ".join(f"{c} is not null" for c in content)).select("ord", F.sha2(F.to_json(F.struct(*content)), 256).alias("_c"))
+    firsts = keyed.groupBy("_c").agg(F.min("ord").alias("first"))
+    return join_unique(keyed, firsts, "_c", "inner").select("ord", "first")
+
+
+def first_items(items: DataFrame, *content: str) -> DataFrame:
+    """The first item of each content. Greedy dedup keeps no other: copies are rejected with it or because of it."""
+    firsts = copy_classes(items, *content).where("ord = first").select("ord")
+    return items.join(firsts, "ord", "left_semi")
+
+
+def _with_copies(items: DataFrame, classes: DataFrame, verdicts: DataFrame, same: float) -> DataFrame:
+    """Verdicts of first items, carried over to their copies: a copy's reason is its first item if that was kept."""
+    v = verdicts.select(F.col("ord").alias("first"), F.col("duplicate_of").alias("_of"), F.col("score").alias("_s"))
+    full = join_unique(classes, v, "first", "left")
+    copy = F.col("ord") > F.col("first")
+    named = full.select("ord", F.when(copy, F.coalesce("_of", "first")).otherwise(F.col("_of")).alias("duplicate_of"), F.when(copy & F.col("_of").isNull(), F.lit(same)).otherwise(F.col("_s")).alias("score"))
+    return items.join(named, "ord", "left").withColumn("is_duplicate", F.col("duplicate_of").isNotNull())
+
+
 def dedup_by_hash(items: DataFrame, threshold: int = HAMMING_THRESHOLD) -> DataFrame:
-    """items: ord, hs. The first kept item with any frame pair within the threshold wins."""
-    return dedup(items, hamming_edges(items.select("ord", "hs"), threshold), weight="dist")
+    """items: ord, hs. The first kept item with any frame pair within the threshold wins. Items with equal
+    hashes enter the search once, so a group of copies may hold any part of the rows."""
+    classes = cut(copy_classes(items, "hs"))
+    firsts = cut(items.select("ord", "hs").join(classes.where("ord = first").select("ord"), "ord", "left_semi"))
+    return _with_copies(items, classes, dedup(firsts.select("ord"), hamming_edges(firsts, threshold), weight="dist"), 0)
 
 
 def dedup_by_vector(items: DataFrame, threshold: float = COSINE_THRESHOLD, normalize: bool = False, nearest: bool = False) -> DataFrame:
@@ -139,7 +165,8 @@ def dedup_by_vector(items: DataFrame, threshold: float = COSINE_THRESHOLD, norma
 
 def dedup_two_pass(items: DataFrame, hamming_threshold: int, cosine_threshold: float) -> DataFrame:
     """Hashes first, vectors of the survivors afterwards; (ord, stage) of the rejected items, stage 1 or 2."""
-    first = first_wins(hamming_edges(items.select("ord", "hs"), hamming_threshold)).withColumn("stage", F.lit(1))
+    first = dedup_by_hash(items.select("ord", "hs"), hamming_threshold).where("is_duplicate").select("ord", F.lit(1).alias("stage"))
+    first = cut(first)
     left = items.join(first.select("ord"), "ord", "left_anti")
     second = first_wins(cosine_edges(left.select("ord", "vec"), cosine_threshold)).withColumn("stage", F.lit(2))
     return first.unionByName(second)
@@ -195,7 +222,3 @@ def bit_hash(vec: Column) -> Column:
     median = (F.element_at(ordered, 32) + F.element_at(ordered, 33)) / 2
     bits = F.transform(values, lambda x: F.when(x > median, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
-
-
-def batches_of(rows: Iterator[pa.RecordBatch]) -> pa.Table:
-    return pa.Table.from_batches(list(rows))

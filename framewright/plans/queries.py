@@ -22,7 +22,7 @@ BLUR_THRESHOLDS = [0.0, 20.0, 40.0, 60.0, 80.0, 100.0]
 QUANTITY_THRESHOLDS = [0.0, 10.0, 20.0, 30.0, 40.0]
 MOTION_EDGES = [0.0, 2.0, 5.0, 10.0, 20.0, 40.0, 80.0, 200.0]
 RATIOS = [0.25, 0.5, 0.75, 1.0]
-SIMILAR, HASH_DISTANCE, VECTOR = 0.3, 14, 64
+SIMILAR, HASH_DISTANCE, VECTOR = 0.3, 6, 64
 
 
 def query(f: Query) -> Query:
@@ -59,12 +59,14 @@ def vectors(s: SparkSession, d: str) -> DataFrame:
 
 
 def hashes(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "embeddings").select(F.col("vec_id").alias("ord"), F.array(dedup.bit_hash(F.col("embedding"))).alias("hs"), "label")
+    """Every item of dedup_result in order of arrival; hs is null without a usable hash."""
+    h = table(s, d, "dedup_result").select(F.col("item_no").alias("ord"), hash64(F.col("hash_str")).alias("h")).where("ord is not null")
+    return h.groupBy("ord").agg(F.min("h").alias("h")).select("ord", F.when(F.col("h").isNotNull(), F.array("h")).alias("hs"))
 
 
 def frames(s: SparkSession, d: str) -> DataFrame:
     """Event series as frames of one luminance value; the user is the clip."""
-    e = table(s, d, "events").select(F.col("user_id").alias("clip"), F.col("value").alias("lum"), F.unix_micros("ts").alias("us"), "event_id")
+    e = table(s, d, "events").select(F.col("user_id").alias("clip"), F.col("value").alias("lum"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
     return scores.number_frames(e, "clip", "us", "event_id")
 
 
@@ -250,7 +252,7 @@ def dominant_scene(s, d):
 @query
 def quality_flags(s, d):
     per = scores.quality_scores(frames(s, d).select("clip", "frame_idx", F.col("lum").alias("blur"), (F.col("lum") / 4).alias("quality")), "clip", "mean", 60.0, 20.0)
-    return rounded(per, 4)
+    return rounded(per)
 
 
 @query
@@ -292,12 +294,12 @@ def direction_entropy(s, d):
 
 @query
 def phash64(s, d):
-    return hashes(s, d).select("ord", F.lower(F.lpad(F.hex(F.col("hs")[0]), 16, "0")).alias("phash"))
+    return vectors(s, d).select("ord", F.lower(F.lpad(F.hex(dedup.bit_hash(F.col("vec"))), 16, "0")).alias("phash"))
 
 
 @query
 def hamming_pairs(s, d):
-    return dedup.hamming_edges(hashes(s, d), HASH_DISTANCE)
+    return dedup.hamming_edges(dedup.first_items(hashes(s, d), "hs"), HASH_DISTANCE)
 
 
 @query
@@ -313,7 +315,7 @@ def dedup_greedy_cosine(s, d):
 
 @query
 def dedup_greedy_hamming(s, d):
-    h = hashes(s, d)
+    h = cut(dedup.first_items(hashes(s, d), "hs"))
     return h.select("ord").join(dedup.first_wins(dedup.hamming_edges(h, HASH_DISTANCE)), "ord", "left_anti")
 
 
@@ -324,7 +326,7 @@ def dedup_verdicts(s, d):
 
 @query
 def dedup_two_pass(s, d):
-    both = vectors(s, d).select("ord", "vec").join(hashes(s, d).select("ord", "hs"), "ord")
+    both = vectors(s, d).select("ord", "vec", F.array(dedup.bit_hash(F.col("vec"))).alias("hs"))
     return dedup.dedup_two_pass(both, HASH_DISTANCE, SIMILAR)
 
 
@@ -336,7 +338,9 @@ def dedup_nearest(s, d):
 @query
 def dedup_precision_recall(s, d):
     edges = dedup.cosine_edges(vectors(s, d), SIMILAR).select(F.col("early").alias("a"), F.col("late").alias("b"))
-    truth = dedup.hamming_edges(hashes(s, d), HASH_DISTANCE).select(F.col("early").alias("a"), F.col("late").alias("b"))
+    same = vectors(s, d).select(F.col("ord").alias("o"), "label")
+    near = dedup.cosine_edges(vectors(s, d), 0.25).join(same.toDF("early", "l1"), "early").join(same.toDF("late", "l2"), "late")
+    truth = near.where("l1 = l2").select(F.col("early").alias("a"), F.col("late").alias("b"))
     return dedup.pair_metrics(edges, truth)
 
 

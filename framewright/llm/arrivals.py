@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.clean import hash64
 from framewright.llm.hamming import close_hashes, distance, segment_index, segments_for
+from framewright.operators.dedup import first_wins
 from framewright.session import cut
 
 MAX_DISTANCE = 6
@@ -49,23 +50,6 @@ class SegmentIndex:
         return near.select("h", "item_no").distinct()
 
 
-def first_wins(edges: DataFrame) -> DataFrame:
-    """Nodes that a scan in order would reject: each node is kept unless a kept earlier neighbour exists.
-
-    edges: (early, late), early before late in the order, distinct. Rounds: nodes without an earlier open
-    neighbour are kept, their later neighbours rejected, both leave the graph. Returns (node).
-    """
-    rejected, open_ = None, cut(edges.select("early", "late").distinct())
-    while not open_.isEmpty():
-        late = open_.select(F.col("late").alias("node")).distinct()
-        kept = open_.select(F.col("early").alias("node")).distinct().join(late, "node", "left_anti")
-        lost = cut(open_.join(kept.withColumnRenamed("node", "early"), "early", "left_semi").select(F.col("late").alias("node")).distinct())
-        rejected = lost if rejected is None else rejected.unionByName(lost)
-        gone = kept.unionByName(lost)
-        open_ = cut(open_.join(gone.withColumnRenamed("node", "early"), "early", "left_anti").join(lost.withColumnRenamed("node", "late"), "late", "left_anti"))
-    return rejected if rejected is not None else edges.select(F.col("early").alias("node")).limit(0)
-
-
 def found(results: DataFrame, last_history_batch: int = LAST_HISTORY_BATCH, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """item_no of the new batches' items that are close to an accepted item before them.
 
@@ -84,6 +68,6 @@ def found(results: DataFrame, last_history_batch: int = LAST_HISTORY_BATCH, max_
     near = close_hashes(left, left, max_distance, left.count()).where("a <> b")
     order = lambda h, no: left.select(F.col("h").alias(h), F.col("item_no").alias(no))
     edges = near.join(order("a", "a_no"), "a").join(order("b", "b_no"), "b").where("a_no < b_no").select(F.col("a_no").alias("early"), F.col("b_no").alias("late"))
-    rejected = first_wins(edges).select(F.col("node").alias("item_no"))
+    rejected = first_wins(edges).select(F.col("ord").alias("item_no"))
     copies = new.join(firsts.select("h", F.col("item_no").alias("first_no")), "h").where("item_no > first_no")
     return against_history.select("item_no").unionByName(rejected).unionByName(copies.select("item_no")).distinct()

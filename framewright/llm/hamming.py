@@ -7,34 +7,16 @@ places. Joining on these keys and verifying the distance loses nothing, at any s
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.dedup import hamming as distance
+from framewright.operators.dedup import segment_keys
+
 #: Beyond so many distinct hashes on the probed side, keys of three 7-bit segments are used in place of two bytes.
 WIDE_KEYS_FROM = 2_000_000
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
-def segment_keys(h: Column, segments: int, agree: int) -> Column:
-    """Array of the keys of every choice of `agree` segments out of `segments`."""
-    cuts = [round(64 * i / segments) for i in range(segments + 1)]
-    part = lambda i: F.shiftrightunsigned(h, cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1)
-    keys = []
-    for number, chosen in enumerate(combinations(range(segments), agree)):
-        key, bits = F.lit(number).cast("bigint"), 0
-        for i in chosen:
-            width = cuts[i + 1] - cuts[i]
-            key = F.shiftleft(key, width).bitwiseOR(part(i))
-            bits += width
-        keys.append(key)
-    return F.array(*keys)
-
-
 def segments_for(rows: int, max_distance: int) -> tuple[int, int]:
     """How many segments, and how many of them must agree; every choice gives the same result."""
     agree = 2 if rows < WIDE_KEYS_FROM else 3

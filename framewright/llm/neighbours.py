@@ -18,7 +18,7 @@ from framewright.session import cut
 WIDTH, K, LEAST = 512, 5, 0.65
 #: Each vector enters and searches the shard of its most similar centre, and that of the second if its similarity
 #: is within MARGIN of the first; a shard aims at SHARD vectors.
-CELLS, MARGIN, SHARD = 2, 0.025, 1000
+CELLS, MARGIN, SHARD = 2, 0.01, 1000
 #: Vectors that the centres are fitted on, at most; a bound of the method, all vectors are indexed.
 SAMPLE = 16_384
 DEGREE, BEAM, SEARCH_BEAM = 16, 16, 12
@@ -29,7 +29,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
-    return (m / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
+    return m / np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.float64)).astype(np.float32)[:, None]
 
 
 def _usable(batch: pa.RecordBatch, width: int) -> tuple[pa.Array, np.ndarray, list[bytes]]:
@@ -97,10 +97,15 @@ def fit_centres(index: DataFrame, n: int, shard: int, sample: int, width: int) -
 
 def cells_of(unit: np.ndarray, centre: np.ndarray) -> np.ndarray:
     """The cells of each unit vector, -1 in the place of a second one that is too far."""
-    sims = unit @ centre.T
-    top = np.argsort(-sims, axis=1, kind="stable")[:, :CELLS]
-    best = np.take_along_axis(sims, top, axis=1)
-    return np.where(best >= best[:, :1] - MARGIN, top, -1)
+    sims, rows = unit @ centre.T, np.arange(len(unit))
+    cells = np.full((len(unit), min(CELLS, len(centre))), -1)
+    for i in range(cells.shape[1]):
+        at = sims.argmax(axis=1)
+        best = sims[rows, at]
+        first = best if i == 0 else first
+        cells[:, i] = np.where(best >= first - MARGIN, at, -1)
+        sims[rows, at] = -2
+    return cells
 
 
 def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST, shard: int = SHARD, sample: int = SAMPLE, width: int = WIDTH) -> DataFrame:

@@ -18,23 +18,29 @@ MULTITASK_DDL = (
     "caption_model STRING, flow_path STRING, flow_method STRING, flow_mean_magnitude DOUBLE, "
     "flow_direction_entropy DOUBLE, depth_path STRING, depth_model STRING, depth_variance DOUBLE, depth_mean DOUBLE"
 )
-GENERATIVE_DDL = (
-    "synthesis_method STRING, model_path STRING, lora_path STRING, generation_config STRUCT<num_frames: INT, "
-    "height: INT, width: INT, guidance_scale: DOUBLE, num_inference_steps: INT, seed: INT>"
-)
+GENERATIVE_DDL = "synthesis_method STRING, model_path STRING, lora_path STRING"
+GENERATION_CONFIG_DDL = "num_frames INT, height INT, width INT, guidance_scale DOUBLE, num_inference_steps INT, seed INT"
 #: What the planned extensions of the manifest carry.
 PLANNED_DDL = "camera_pose STRING, seg_mask_path STRING, physics_tags ARRAY<STRING>"
 
 
+_TYPES = {"STRING": T.StringType(), "INT": T.IntegerType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "FLOAT": T.FloatType(), "BOOLEAN": T.BooleanType()}
+
+
 def schema_of(*ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(ddl))
+    """Fields "name TYPE" divided by commas, TYPE as in _TYPES or ARRAY<TYPE>; works without a session."""
+
+    def kind(text: str) -> T.DataType:
+        return T.ArrayType(kind(text[6:-1])) if text.startswith("ARRAY<") else _TYPES[text]
+
+    return T.StructType([T.StructField(*(f(x) for f, x in zip((str, kind), field.split(), strict=True))) for part in ddl for field in part.split(", ")])
 
 
 MANIFEST_SCHEMA = schema_of(REQUIRED_DDL, OPTIONAL_DDL)
-WIDE_SCHEMA = schema_of(REQUIRED_DDL, OPTIONAL_DDL, MULTITASK_DDL, GENERATIVE_DDL, PLANNED_DDL)
+WIDE_SCHEMA = schema_of(REQUIRED_DDL, OPTIONAL_DDL, MULTITASK_DDL, GENERATIVE_DDL, PLANNED_DDL).add("generation_config", schema_of(GENERATION_CONFIG_DDL))
 REQUIRED = schema_of(REQUIRED_DDL).names
 SWEEP_SCHEMA = schema_of(
-    "threshold DOUBLE, `class` STRING, retention_rate DOUBLE, drift DOUBLE, n_clips_before BIGINT, n_clips_after BIGINT, overall_retention DOUBLE, tvd DOUBLE"
+    "threshold DOUBLE, class STRING, retention_rate DOUBLE, drift DOUBLE, n_clips_before BIGINT, n_clips_after BIGINT, overall_retention DOUBLE, tvd DOUBLE"
 )
 VECTOR_SCHEMA = schema_of("path STRING, vector ARRAY<FLOAT>")
 SPLITS = ["train", "val", "test"]

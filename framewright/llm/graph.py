@@ -47,7 +47,7 @@ class Graph:
     def search(self, queries: np.ndarray, beam: int, known: int, start: np.ndarray | None = None, wide: int = 3) -> tuple[np.ndarray, np.ndarray]:
         """The beam (ids, similarities; best first) of each query among the first `known` points to enter."""
         m, n = len(queries), len(self.x)
-        seen = np.zeros((m, n), bool)
+        seen = np.zeros((m, n + 1), bool)  # the last column stands for no point
         ids, sims, open_ = np.full((m, beam), -1, np.int64), np.full((m, beam), -2, np.float32), np.zeros((m, beam), bool)
         # a search that starts at its own place needs few other ways in
         pivots = self.pivots[: max(1, min(len(self.pivots), known) // (1 if start is None else 4))]
@@ -68,7 +68,7 @@ class Graph:
             drop = twice | (fresh < 0)
             fresh_sims = np.where(drop, -2, fresh_sims)
             fresh = np.where(drop, -1, fresh)
-            seen[active[:, None], np.maximum(fresh, 0)] |= fresh >= 0
+            seen[active[:, None], fresh] = True  # -1 is the last column
             all_ids = np.concatenate([ids[active], fresh], axis=1)
             all_sims = np.concatenate([sims[active], fresh_sims], axis=1)
             all_open = np.concatenate([open_[active], fresh >= 0], axis=1)
@@ -88,7 +88,7 @@ class Graph:
             chosen = np.where(usable, chosen, -1)
             out = np.concatenate([self.near[np.maximum(chosen, 0)], self.far[np.maximum(chosen, 0)]], axis=2).reshape(len(active), -1)
             out[np.repeat(chosen < 0, self.degree + self.far.shape[1], axis=1)] = -1
-            out[seen[active[:, None], np.maximum(out, 0)]] = -1
+            out[seen[active[:, None], out]] = -1
             if known < n:
                 out[~self.entered[np.maximum(out, 0)]] = -1
             # move what is left to the front, so that fewer vectors are read

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -15,10 +16,13 @@ from framewright.session import cut
 #: Signs that end a sentence, and signs that may stand behind one.
 TERMINATORS = ".!?。！？؟।۔．"
 CLOSERS = "\"'”’»」』)]】）*_`"
+SIGNS = TERMINATORS + CLOSERS + "“‘«「『【[（(,;:-–—#"
 ELLIPSIS = "…"
 INVISIBLE = "\u00ad\u200b\u200c\u200d\ufeff\ufe0f"
-#: A line end or a list word is known if it is seen so often in places that weren't cut.
+#: A line end is known if it is seen so often in places that weren't cut; a list word if it is seen there at all.
 KNOWN_FROM = 3
+#: A word is a usual end if at least this part of its occurrences stands before a sign that ends a clause or sentence.
+END_RATE = 0.2
 #: A source leaves its ends open if so large a part of its short texts without any terminator ends openly.
 OPEN_SHARE = 0.3
 
@@ -26,6 +30,7 @@ _LOG_LINE = re.compile(r"\d{4}-\d\d-\d\d[ T]\d\d:\d\d")
 _TAG = re.compile(r"#?[^\s,#]+")
 _HTML = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^<>]*?(/?)>")
 _SENTENCE_END = re.compile("[" + re.escape(TERMINATORS) + "]['\"”’»)\\]]*(?:\\s|$)")
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _BROKEN_ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{0,3})?$")
 
 
@@ -66,8 +71,8 @@ def state_of(raw: str) -> tuple[str, str]:
     """(state, word) of a text that isn't blank.
 
     cut, whole: decided by the text alone. log, list, heading: whole if `word` is known as an end of such
-    lines. open: prose that ends without a terminator, whole only if there is none in all of it and its
-    source leaves ends open or `word` is a known end.
+    lines. open: prose that ends without a terminator and has none in all of it, whole only if `word` is a usual
+    end or its source leaves ends open.
     """
     text = raw.strip().strip(INVISIBLE).rstrip()
     if not text:
@@ -107,7 +112,30 @@ def state_of(raw: str) -> tuple[str, str]:
         return "whole", ""  # a picture sign
     if _SENTENCE_END.search(text):
         return "cut", ""
-    return "open", re.split(r"[\s_]", text)[-1].lower()
+    if text[-1] in ",;:-–—/\\&":
+        return "cut", ""
+    return "open", plain(re.split(r"[\s_]", text)[-1])
+
+
+def plain(token: str) -> str:
+    """A word in lower case, without the signs around it."""
+    return _EDGES.sub("", token.lower())
+
+
+def words_of(raw: str) -> Iterator[tuple[str, bool]]:
+    """(word, whether a clause or sentence ends behind it) of the places of a text that surely hold whole words:
+    those inside lines, and before terminators."""
+    for line in raw.strip().split("\n"):
+        tokens = line.split()
+        for i, token in enumerate(tokens):
+            core = token.rstrip(CLOSERS)
+            if core.endswith(("...", ELLIPSIS)):
+                continue
+            ends = core[-1:] != "" and core[-1] in TERMINATORS
+            if ends or i < len(tokens) - 1:
+                word = token.lower().strip(SIGNS)  # not plain(): tags and code hold no words
+                if word.isalpha():
+                    yield word, ends or core[-1:] in (",", ";", ":")
 
 
 def is_list(text: str) -> bool:
@@ -133,48 +161,64 @@ def known_ends(raw: str) -> list[tuple[str, str]]:
 
 
 def inspect(documents: DataFrame) -> DataFrame:
-    """One row per document that isn't blank (doc_id, source, state, word), and one per known end of a batch
-    (doc_id null, state 'known:...', word, n)."""
+    """One row per document that isn't blank: doc_id, source, state, word, chars, bytes, digest of the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, ends = [], Counter()
+            rows = []
             for r in batch.itertuples(index=False):
-                state, word = state_of(r.text)
-                rows.append((r.doc_id, r.source, state, word, len(r.text), 1))
-                ends.update(known_ends(r.text))
-            rows += [(None, None, f"known:{kind}", word, None, n) for (kind, word), n in ends.items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "state", "word", "chars", "n"]).astype({"doc_id": "Int64", "chars": "Int64"})
+                raw = r.text.encode("utf-8", "surrogatepass")
+                rows.append((r.doc_id, r.source, *state_of(r.text), len(r.text), len(raw), hashlib.blake2b(raw, digest_size=16).digest()))
+            yield pd.DataFrame(rows, columns=["doc_id", "source", "state", "word", "chars", "bytes", "digest"])
+
+    return usable(documents).select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, state string, word string, chars bigint, bytes bigint, digest binary")
+
+
+def usable(documents: DataFrame) -> DataFrame:
+    return documents.where("doc_id is not null and text is not null").where(F.col("text").rlike(r"[^\p{IsWhite_Space}]"))
+
+
+def vocabulary(documents: DataFrame) -> DataFrame:
+    """(state, word, times, ends) over the distinct texts: line ends, headings and list words by kind; words of
+    prose (state open), and how often a clause or sentence ends behind them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        times, ends = Counter(), Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                times.update(known_ends(text))
+                for word, end in words_of(text):
+                    times["open", word] += 1
+                    ends["open", word] += end
+        yield pd.DataFrame([(*k, n, ends[k]) for k, n in times.items()], columns=["state", "word", "times", "ends"])
 
-    texts = documents.select("doc_id", "source", "text").where("doc_id is not null and text is not null").where(F.col("text").rlike(r"[^\p{IsWhite_Space}]"))
-    return texts.mapInPandas(run, "doc_id bigint, source string, state string, word string, chars bigint, n bigint")
+    counts = usable(documents).select("text").distinct().mapInPandas(run, "state string, word string, times bigint, ends bigint")
+    return counts.groupBy("state", "word").agg(F.sum("times").alias("times"), F.sum("ends").alias("ends"))
 
 
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, source, truncated) of every document whose text is neither null nor blank.
 
     documents: doc_id, text, source; others are ignored; a null source is a source of its own. Rows without
-    doc_id are left out. Baselines (known line ends, list words and ends of short texts, open ends per
-    source, the longest length that a source repeats) are counted over all documents.
+    doc_id are left out. Baselines (known line ends and list words, usual ends) are counted over distinct texts;
+    an open end is no evidence for itself. Open ends per source and the longest length that a source repeats are
+    counted over all documents.
     """
-    seen = cut(inspect(documents))
-    docs = seen.where("doc_id is not null").withColumn("source", F.coalesce("source", F.lit("")))
-    inner = seen.where("doc_id is null").groupBy(F.expr("substring(state, 7)").alias("state"), "word").agg(F.sum("n").alias("times"))
-    # ends of short texts: how often a word ends one, over all sources
-    ends = docs.where("state = 'open'").groupBy("state", "word").agg(F.count("*").alias("times"))
-    known = inner.unionByName(ends).where(F.col("times") >= F.when(F.col("state") == "open", 5 * KNOWN_FROM).otherwise(KNOWN_FROM)).select("state", "word", F.lit(True).alias("known"))
+    docs = cut(inspect(documents).withColumn("source", F.coalesce("source", F.lit(""))))
+    words = cut(vocabulary(documents))
     lengths = docs.groupBy("source", "chars").agg(F.count("*").alias("c"), F.count_if(F.col("state").isin("cut", "open")).alias("o"))
     per = lengths.groupBy("source").agg(F.sum("c").alias("all"), F.max("chars").alias("longest"), F.max_by("c", "chars").alias("at_longest"), F.max_by("o", "chars").alias("open_at_longest"))
     sources = per.select("source", F.when((F.col("at_longest") >= 5) & (F.col("open_at_longest") * 2 > F.col("at_longest")), F.col("longest")).alias("limit"))
     shares = docs.join(sources, "source").where("limit is null or chars < limit").groupBy("source").agg((F.count_if(F.col("state") == "open") / F.count("*")).alias("open_share"))
-    joined = docs.join(known, ["state", "word"], "left").join(sources, "source", "left").join(shares, "source", "left")
+    joined = docs.join(words, ["state", "word"], "left").na.fill(0, ["times", "ends"]).join(sources, "source", "left").join(shares, "source", "left")
     full = F.coalesce(F.col("chars") >= F.col("limit"), F.lit(False))
-    usual = F.coalesce(F.col("open_share") >= OPEN_SHARE, F.lit(False)) | F.col("known").isNotNull()
+    usual = F.coalesce(F.col("open_share") >= OPEN_SHARE, F.lit(False)) | (F.col("times") > 0) & (F.col("ends") >= END_RATE * F.col("times"))
     truncated = (
         F.when(F.col("state") == "cut", True)
         .when(F.col("state") == "whole", False)
         .when(F.col("state") == "open", full | ~usual)
-        .otherwise(F.col("known").isNull())
+        .when(F.col("state") == "list", F.col("times") == 0)
+        .otherwise(F.col("times") < KNOWN_FROM)
     )
     return joined.select("doc_id", F.nullif("source", F.lit("")).alias("source"), truncated.alias("truncated"))
 

@@ -230,6 +230,14 @@ def test_truncation_learns_line_ends(spark):
     assert {r["source"]: r["truncated"] for r in truncation.shares(df).collect()} == {"logs": 1, "tags": 1}
 
 
+def test_truncation_judges_open_ends_by_word_not_by_count(spark):
+    whole = [f"Clip {i} shows a child riding a bicycle. The dog in the gym, {w}." for i in range(40) for w in "fast slow calm loud near".split()]
+    fragment, unusual, usual = "a child riding a bi", "the dog in the", "a dog in the gym"
+    rows = whole + [fragment] * 20 + [unusual] * 20 + [usual] * 3
+    df = spark.createDataFrame([(i, t, "b") for i, t in enumerate(rows)], "doc_id bigint, text string, source string")
+    assert values(truncation.found(df)) == [(i,) for i, t in enumerate(rows) if t in (fragment, unusual)]
+
+
 def near_groups(n, width=512, seed=0):
     rng = np.random.default_rng(seed)
     centre = rng.standard_normal((n // 12, width))

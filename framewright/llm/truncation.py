@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.session import cut
@@ -23,8 +23,11 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\ufeff\ufe0f"
 KNOWN_FROM = 3
 #: A word is a usual end if at least this part of its occurrences stands before a sign that ends a clause or sentence.
 END_RATE = 0.2
-#: A source leaves its ends open if so large a part of its short texts without any terminator ends openly.
-OPEN_SHARE = 0.3
+#: A source leaves its ends open if at least this part of its distinct texts ends openly and at no suspect word.
+#: That counts as PRIOR_WEIGHT more occurrences of each word, all of them ends.
+OPEN_SHARE, PRIOR_WEIGHT = 0.5, 10
+#: A length is a limit of a source if so many distinct texts have it, PILE times as many as the lengths near it.
+LIMIT_FROM, PILE, NEAR = 5, 4, 10
 
 _LOG_LINE = re.compile(r"\d{4}-\d\d-\d\d[ T]\d\d:\d\d")
 _TAG = re.compile(r"#?[^\s,#]+")
@@ -72,7 +75,7 @@ def state_of(raw: str) -> tuple[str, str]:
 
     cut, whole: decided by the text alone. log, list, heading: whole if `word` is known as an end of such
     lines. open: prose that ends without a terminator and has none in all of it, whole only if `word` is a usual
-    end or its source leaves ends open.
+    end or its source leaves ends open and nothing speaks against `word`.
     """
     text = raw.strip().strip(INVISIBLE).rstrip()
     if not text:
@@ -196,27 +199,54 @@ def vocabulary(documents: DataFrame) -> DataFrame:
     return counts.groupBy("state", "word").agg(F.sum("times").alias("times"), F.sum("ends").alias("ends"))
 
 
+def limits(texts: DataFrame) -> DataFrame:
+    """(source, unit, length, exact): lengths in characters or bytes at which a source cuts. Many distinct texts have
+    such a length, few the ones near it, and most of them are cut or end suspectly. A limit in bytes leaves up
+    to three bytes less where a character doesn't fit any more (exact is false).
+
+    texts: source, chars, bytes, odd (cut or suspect), distinct."""
+    each = texts.select("source", "odd", F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")))).alias("x"))
+    per = each.groupBy("source", "x.unit", "x.length").agg(F.count("*").alias("c"), F.count_if("odd").alias("o"))
+    around = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-NEAR, NEAR)
+    near = (F.sum("c").over(around) - F.col("c")) / (2 * NEAR)
+    piles = per.withColumn("near", near).where((F.col("c") >= LIMIT_FROM) & (F.col("c") >= PILE * F.greatest("near", F.lit(1.0))) & (F.col("o") * 2 > F.col("c")))
+    less = F.when(F.col("unit") == "bytes", F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(0)))
+    spread = piles.select("source", "unit", "length", F.explode(less).alias("less"))
+    return spread.groupBy("source", "unit", (F.col("length") - F.col("less")).alias("length")).agg(F.max(F.col("less") == 0).alias("exact"))
+
+
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, source, truncated) of every document whose text is neither null nor blank.
 
     documents: doc_id, text, source; others are ignored; a null source is a source of its own. Rows without
-    doc_id are left out. Baselines (known line ends and list words, usual ends) are counted over distinct texts;
-    an open end is no evidence for itself. Open ends per source and the longest length that a source repeats are
-    counted over all documents.
+    doc_id are left out. Baselines (known line ends and list words, usual ends, open ends per source, lengths
+    that a source repeats) are counted over distinct texts, so copies have the verdict of one text; an open
+    end is no evidence for itself.
     """
     docs = cut(inspect(documents).withColumn("source", F.coalesce("source", F.lit(""))))
     words = cut(vocabulary(documents))
-    lengths = docs.groupBy("source", "chars").agg(F.count("*").alias("c"), F.count_if(F.col("state").isin("cut", "open")).alias("o"))
-    per = lengths.groupBy("source").agg(F.sum("c").alias("all"), F.max("chars").alias("longest"), F.max_by("c", "chars").alias("at_longest"), F.max_by("o", "chars").alias("open_at_longest"))
-    sources = per.select("source", F.when((F.col("at_longest") >= 5) & (F.col("open_at_longest") * 2 > F.col("at_longest")), F.col("longest")).alias("limit"))
-    shares = docs.join(sources, "source").where("limit is null or chars < limit").groupBy("source").agg((F.count_if(F.col("state") == "open") / F.count("*")).alias("open_share"))
-    joined = docs.join(words, ["state", "word"], "left").na.fill(0, ["times", "ends"]).join(sources, "source", "left").join(shares, "source", "left")
-    full = F.coalesce(F.col("chars") >= F.col("limit"), F.lit(False))
-    usual = F.coalesce(F.col("open_share") >= OPEN_SHARE, F.lit(False)) | (F.col("times") > 0) & (F.col("ends") >= END_RATE * F.col("times"))
+    asked = docs.where("state = 'open'").select("word").distinct()
+    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(40)) - 1), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    begun = words.where("state = 'open' and length(word) > 1").select(F.explode(prefixes).alias("word")).distinct()
+    fragments = asked.join(begun, "word", "left_semi").withColumns({"state": F.lit("open"), "begins": F.lit(True)})
+    seen = docs.join(words, ["state", "word"], "left").join(fragments, ["state", "word"], "left").na.fill(0, ["times", "ends"])
+    usual = (F.col("times") > 0) & (F.col("ends") >= END_RATE * F.col("times"))
+    odd = (F.col("times") > 0) & ~usual | (F.col("times") == 0) & F.col("begins").isNotNull()
+    seen = cut(seen.withColumns({"odd": (F.col("state") == "cut") | (F.col("state") == "open") & odd, "usual": usual}))
+    texts = seen.dropDuplicates(["source", "digest"])
+    limit = limits(texts)
+    openly = seen.where("state = 'open'").select("source", "digest", F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")))).alias("x"), (F.col("chars") < F.col("bytes")).alias("wide"))
+    full = openly.select("source", "digest", "x.unit", "x.length", "wide").join(limit, ["source", "unit", "length"]).where("exact or wide").select("source", "digest", F.lit(True).alias("full")).distinct()
+    share = texts.groupBy("source").agg((F.count_if((F.col("state") == "open") & ~F.col("odd")) / F.count("*")).alias("share"))
+    joined = seen.join(full, ["source", "digest"], "left").join(share, "source")
+    # the prior of the source may speak for a word that is seldom seen, not against what is seen often
+    prior = F.when(F.col("share") >= OPEN_SHARE, F.lit(PRIOR_WEIGHT)).otherwise(F.lit(0))
+    ends = F.col("usual") | (prior > 0) & (F.col("ends") + prior >= END_RATE * (F.col("times") + prior))
+    fragment = (F.col("times") == 0) & F.col("begins").isNotNull()
     truncated = (
         F.when(F.col("state") == "cut", True)
         .when(F.col("state") == "whole", False)
-        .when(F.col("state") == "open", full | ~usual)
+        .when(F.col("state") == "open", F.col("full").isNotNull() | fragment | ~ends)
         .when(F.col("state") == "list", F.col("times") == 0)
         .otherwise(F.col("times") < KNOWN_FROM)
     )

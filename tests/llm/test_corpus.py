@@ -238,6 +238,25 @@ def test_truncation_judges_open_ends_by_word_not_by_count(spark):
     assert values(truncation.found(df)) == [(i,) for i, t in enumerate(rows) if t in (fragment, unusual)]
 
 
+def test_truncation_of_sources_with_many_open_ends(spark):
+    whole = [f"Clip {i} shows a child riding a bicycle. The dog in the gym, near." for i in range(9)]
+    third = [f"{w} dog in the gym" for w in "my his her our old".split()] + [f"{w} child riding a bicyc" for w in "my his her".split()]
+    titles = [f"Take {i} raw footage" for i in range(9)] + ["Riding a bicy"]
+    rows = [(t, "w") for t in whole] + [(t, "third") for t in third] + [(t, "titles") for t in titles]
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], "doc_id bigint, text string, source string")
+    assert values(truncation.found(df)) == [(i,) for i, (t, _) in enumerate(rows) if "bicy" in t and "bicycle" not in t]
+
+
+def test_truncation_finds_limits_below_the_greatest_length(spark):
+    inner = "One by the gym, two by the gym, three by the gym. Then wide roads, then wide views, then long stones."
+    stem = ["b" * i + " " + "a" * (37 - i) for i in range(6, 12)]
+    at = [f"{x} wid" for x in stem] + ["é" * 15 + " by the gym", "a" * 30 + " by the gym"]
+    assert {len(x.encode()) for x in at} == {42, 41}
+    rows = [(inner, "w"), ("c" * 90 + " by the gym", "s"), *((x, "s") for x in at)]
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], "doc_id bigint, text string, source string")
+    assert values(truncation.found(df)) == [(i,) for i in range(2, 9)]
+
+
 def near_groups(n, width=512, seed=0):
     rng = np.random.default_rng(seed)
     centre = rng.standard_normal((n // 12, width))

@@ -16,9 +16,10 @@ from framewright.operators.distribute import join_unique
 from framewright.session import cut
 
 WIDTH, K, LEAST = 512, 5, 0.65
-#: Each vector enters and searches the shard of its most similar centre, and that of the second if its similarity
-#: is within MARGIN of the first; a shard aims at SHARD vectors.
-CELLS, MARGIN, SHARD = 2, 0.01, 1000
+#: Each vector enters and searches the cell of its most similar centre, and all others of which a centre's similarity
+#: is within MARGIN of that. Centres are of one cell if most vectors of one are within JOIN of the other; a cell of a
+#: single centre aims at SHARD vectors.
+MARGIN, JOIN, SHARD = 0.01, 0.025, 1000
 #: Vectors that the centres are fitted on, at most; a bound of the method, all vectors are indexed.
 SAMPLE = 16_384
 DEGREE, BEAM, SEARCH_BEAM = 16, 16, 12
@@ -68,10 +69,11 @@ def centres(vectors: np.ndarray, count: int, rounds: int = 8, seed: int = 0) ->
     return out.astype(np.float32)
 
 
-def fit_centres(index: DataFrame, n: int, shard: int, sample: int, width: int) -> tuple[np.ndarray, list[int]]:
-    """Centres of the cells, and of each cell the number of parts that it is divided into.
+def fit_centres(index: DataFrame, n: int, shard: int, sample: int, width: int) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """Centres, the cell of each, the number of parts that each cell is divided into, and whether its parts are
+    searched by blocks (cells of several centres or parts: their vectors are too much alike for a graph).
 
-    Both are fitted on at most about `sample` distinct vectors, chosen by their content numbers.
+    All are fitted on at most about `sample` distinct vectors, chosen by their content numbers.
     """
     count = min(max(1, round(n / shard)), sample // 64)
     limit = min(1 << 32, int((1 << 32) * sample / max(n, 1)))
@@ -87,25 +89,51 @@ def fit_centres(index: DataFrame, n: int, shard: int, sample: int, width: int) -
     rows = index.select("path", "vector").mapInArrow(pick, "gid binary, raw binary").toArrow()
     unique = dict(zip(rows.column("gid").to_pylist(), rows.column("raw").to_pylist(), strict=True))
     if not unique:
-        return np.zeros((1, width), np.float32), [1]
+        return np.zeros((1, width), np.float32), np.zeros(1, np.int64), [1], np.zeros(1, bool)
     unit = _unit(np.stack([np.frombuffer(unique[g], np.float32) for g in sorted(unique)]))
     centre = centres(unit, min(count, len(unit)))
-    cells = cells_of(unit, centre)
-    sizes = np.bincount(cells[cells >= 0], minlength=len(centre)) * (n / len(unit))
-    return centre, [max(1, round(x / (8 * shard))) for x in sizes]
-
-
-def cells_of(unit: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """The cells of each unit vector, -1 in the place of a second one that is too far."""
-    sims, rows = unit @ centre.T, np.arange(len(unit))
-    cells = np.full((len(unit), min(CELLS, len(centre))), -1)
-    for i in range(cells.shape[1]):
-        at = sims.argmax(axis=1)
-        best = sims[rows, at]
-        first = best if i == 0 else first
-        cells[:, i] = np.where(best >= first - MARGIN, at, -1)
-        sims[rows, at] = -2
-    return cells
+    cell = joined_cells(unit, centre)
+    sizes = cells_of(unit, centre, cell).sum(axis=0) * (n / len(unit))
+    parts = [max(1, round(x / (8 * shard))) for x in sizes]
+    return centre, cell, parts, (np.bincount(cell) > 1) | (np.array(parts) > 1)
+
+
+def joined_cells(unit: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The cell of each centre. k-means cuts a group of near-equal vectors at random, so that neighbours lie in any of
+    its parts; such centres can't be told apart by their own vectors and are one cell."""
+    sims = unit @ centre.T
+    own, best = sims.argmax(axis=1), sims.max(axis=1)
+    root = list(range(len(centre)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(centre)):
+        mine = own == i
+        if mine.any():
+            for j in np.flatnonzero((best[mine, None] - sims[mine] <= JOIN).mean(axis=0) > 0.5):
+                a, b = top(i), top(int(j))
+                root[max(a, b)] = min(a, b)
+    return np.unique([top(i) for i in range(len(centre))], return_inverse=True)[1]
+
+
+def cells_of(unit: np.ndarray, centre: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether each unit vector (rows) belongs to each cell (columns)."""
+    order = np.argsort(cell, kind="stable")
+    best = np.maximum.reduceat((unit @ centre.T)[:, order], np.searchsorted(cell[order], np.arange(cell.max() + 1)), axis=1)
+    return best >= best.max(axis=1, keepdims=True) - MARGIN
+
+
+def nearest_by_blocks(unit: np.ndarray, points: np.ndarray, count: int) -> np.ndarray:
+    """For each unit vector the numbers of the `count` most similar rows of points."""
+    count = min(count, len(points))
+    out = np.empty((len(unit), count), np.int64)
+    for lo in range(0, len(unit), 1024):
+        sims = unit[lo : lo + 1024] @ points.T
+        out[lo : lo + 1024] = np.argpartition(-sims, count - 1, axis=1)[:, :count]
+    return out
 
 
 def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST, shard: int = SHARD, sample: int = SAMPLE, width: int = WIDTH) -> DataFrame:
@@ -115,15 +143,17 @@ def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST,
     centres (cells_of), each once per partition of the input however many copies there are; that is the only time vectors
     are moved. A cell much larger than a shard is divided by content number and its vectors search each part,
     so a cell may hold any share of the rows. In every shard (one task each) a graph is built of its vectors,
-    and a beam search on it answers for each vector that was routed to it.
+    and a beam search on it answers for each vector that was routed to it; vectors too much alike for that
+    (fit_centres) are compared by blocks, quadratic in the size of their cell.
     """
-    centre, parts = fit_centres(index, n, shard, sample, width)
+    centre, cell, parts, blocks = fit_centres(index, n, shard, sample, width)
     first = np.cumsum([0, *parts])
-    shared = index.sparkSession.sparkContext.broadcast((centre, np.array(parts), first))
+    shared = index.sparkSession.sparkContext.broadcast((centre, cell, np.array(parts), first))
+    by_blocks = np.repeat(blocks, parts)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        centre, parts, first = shared.value
+        centre, cell, parts, first = shared.value
         codec = pa.Codec("zstd", compression_level=1)
         for batch in batches:
             _, m, gids = _usable(batch, width)
@@ -135,11 +165,11 @@ def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST,
             if not fresh:
                 continue
             m, gids = m[fresh], [gids[i] for i in fresh]
-            cells = cells_of(_unit(m), centre)
+            cells = cells_of(_unit(m), centre, cell)
             rows, shards, own = [], [], []
             for i, g in enumerate(gids):
                 home = int.from_bytes(g[8:12], "big")
-                for c in cells[i][cells[i] >= 0]:
+                for c in np.flatnonzero(cells[i]):
                     for part in range(parts[c]):
                         rows.append(i)
                         shards.append(first[c] + part)
@@ -155,12 +185,14 @@ def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST,
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple[bytes, bool]] = {}
+        shards: set[int] = set()
         for batch in batches:
+            shards.update(batch.column("shard").unique().to_pylist())
             held.update(zip(batch.column("gid").to_pylist(), zip(batch.column("raw").to_pylist(), batch.column("own").to_pylist(), strict=True), strict=True))
         if held:
-            yield from of_shard(held).to_batches()
+            yield from of_shard(held, bool(by_blocks[min(shards)])).to_batches()
 
-    def of_shard(held: dict[bytes, tuple[bytes, bool]]) -> pa.Table:
+    def of_shard(held: dict[bytes, tuple[bytes, bool]], blocks: bool) -> pa.Table:
         order = sorted(held)  # a graph must not depend on the order of arrival
         gids = pa.array(order, pa.binary())
         codec = pa.Codec("zstd")
@@ -170,19 +202,23 @@ def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST,
         if not len(points):
             return pa.table({"gid": pa.array([], pa.binary()), "other": pa.array([], pa.binary()), "sim": pa.array([], pa.float64())})
         unit = _unit(raw)
-        graph = Graph(np.ascontiguousarray(unit[points]), degree=DEGREE, beam=BEAM)
-        inside = np.full(len(raw), -1)
-        inside[points] = np.arange(len(points))
-        asked, found = [], []
-        mine, strange = np.flatnonzero(inside >= 0), np.flatnonzero(inside < 0)
-        if len(mine):
-            asked.append(mine)
-            found.append(graph.nearest(inside[mine], SEARCH_BEAM)[0])
-        if len(strange):
-            asked.append(strange)
-            found.append(graph.query(unit[strange], SEARCH_BEAM)[0])
-        who = np.concatenate(asked)
-        ids = np.concatenate(found)[:, : k + 2]
+        if blocks:
+            # more than needed, as float32 may swap near-equal ones
+            who, ids = np.arange(len(raw)), nearest_by_blocks(unit, np.ascontiguousarray(unit[points]), 2 * (k + 2))
+        else:
+            graph = Graph(np.ascontiguousarray(unit[points]), degree=DEGREE, beam=BEAM)
+            inside = np.full(len(raw), -1)
+            inside[points] = np.arange(len(points))
+            asked, found = [], []
+            mine, strange = np.flatnonzero(inside >= 0), np.flatnonzero(inside < 0)
+            if len(mine):
+                asked.append(mine)
+                found.append(graph.nearest(inside[mine], SEARCH_BEAM)[0])
+            if len(strange):
+                asked.append(strange)
+                found.append(graph.query(unit[strange], SEARCH_BEAM)[0])
+            who = np.concatenate(asked)
+            ids = np.concatenate(found)[:, : k + 2]
         rows, at = np.nonzero(ids >= 0)
         a, b = who[rows], points[ids[rows, at]]
         keep = a != b
@@ -196,7 +232,7 @@ def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST,
         good = sims >= least
         return pa.table({"gid": gids.take(pa.array(a[good])), "other": gids.take(pa.array(b[good])), "sim": pa.array(sims[good])})
 
-    tasks = work.repartitionById(int(first[-1]), F.col("shard")).select("gid", "own", "raw")
+    tasks = work.repartitionById(int(first[-1]), F.col("shard")).select("shard", "gid", "own", "raw")
     return tasks.mapInArrow(answer, kinds).distinct()
 
 

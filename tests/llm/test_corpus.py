@@ -283,6 +283,18 @@ def test_neighbours_recall(spark):
     assert len(truth & set(values(divided))) >= 0.9 * len(truth)
 
 
+def test_neighbours_in_one_tight_group(spark):
+    rng = np.random.default_rng(3)
+    mid = rng.standard_normal(512)
+    tight = mid + np.sqrt(0.05 / 0.95) * np.linalg.norm(mid) / np.sqrt(512) * rng.standard_normal((1000, 512))
+    m = np.concatenate([near_groups(2000, seed=3), tight.astype(np.float32)])
+    paths = [f"p{i:05d}" for i in range(len(m))]
+    df = spark.createDataFrame([(p, v.tolist()) for p, v in zip(paths, m, strict=True)], "path string, vector array<float>")
+    truth = {x for x in brute(paths, m) if x[0] >= "p02000"}
+    got = set(values(neighbours.neighbours(df, shard=50).select(F.least("path", "other"), F.greatest("path", "other")).distinct()))
+    assert len(truth & got) >= 0.95 * len(truth)
+
+
 def test_neighbours_of_dirty_and_equal_vectors(spark):
     m = near_groups(24, seed=3)
     rows = [(f"p{i:02d}", v.tolist()) for i, v in enumerate(m)] + [(f"c{i:02d}", m[0].tolist()) for i in range(9)] + [("p00", m[0].tolist())]

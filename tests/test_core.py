@@ -13,6 +13,7 @@ from framewright.kernels import images
 from framewright.operators import augment, bias, dedup, metrics, mixture, scores
 from framewright.operators.distribute import global_rank, join_unique, prefix_sum
 from framewright.plans.curate import CurationConfig, Gate, curate
+from framewright.plans.queries import REGISTRY, latest
 
 
 def clip_rows(spark, rows):
@@ -233,6 +234,19 @@ def test_captions(spark):
     assert rows_of(augment.export_captions(clips, ["path"])) == [("x/a.mp4", "a", "L_M"), ("y/a.mp4", "_a", "own")]
 
 
+def test_long_captions_vote(spark, tmp_path):
+    long = "a cat sits " * 30
+    spark.createDataFrame([(0, "c", "a cat"), (1, "c", long), (2, "d", long), (3, None, "x")], "doc_id bigint, clip_path string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows_of(REGISTRY["caption_vote"](spark, str(tmp_path))) == [("c", long), ("d", long)]
+
+
+def test_every_known_label_is_used(spark, tiny):
+    known = latest(spark, tiny).where("label is not null").select("path", "label")
+    got = REGISTRY["label_map_join"](spark, tiny)
+    assert known.exceptAll(got).count() == 0
+    assert got.join(known, "path", "left_anti").where("label is null or not contains(path, concat(label, '/'))").count() == 0
+
+
 def test_set_metrics(spark):
     m = np.random.default_rng(42).standard_normal((50, 8))
     df = spark.createDataFrame([(i, v.tolist(), str(i % 2)) for i, v in enumerate(m)], "id bigint, vec array<double>, g string")

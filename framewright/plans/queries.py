@@ -251,7 +251,9 @@ def dominant_scene(s, d):
 
 @query
 def quality_flags(s, d):
-    per = scores.quality_scores(frames(s, d).select("clip", "frame_idx", F.col("lum").alias("blur"), (F.col("lum") / 4).alias("quality")), "clip", "mean", 60.0, 20.0)
+    at = F.posexplode(scores.uniform_indices(F.col("total"), 8)).alias("place", "at")
+    sample = frames(s, d).select("clip", "frame_idx", "lum", at).where("at = frame_idx")
+    per = scores.quality_scores(sample.select("clip", F.col("place").alias("frame_idx"), F.col("lum").alias("blur"), (F.col("lum") / 4).alias("quality")), "clip", "mean", 60.0, 20.0)
     return rounded(per)
 
 

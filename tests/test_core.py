@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -234,6 +235,18 @@ def test_captions(spark):
     assert rows_of(augment.export_captions(clips, ["path"])) == [("x/a.mp4", "a", "L_M"), ("y/a.mp4", "_a", "own")]
 
 
+def test_quality_flags_sample_the_whole_clip(spark, tmp_path):
+    lum = {1: [100.0] * 8 + [float(i) for i in range(8, 50)], 2: [60.0, 70.0, 80.0]}
+    rows = [(u * 100 + i, u, float(v), datetime(2025, 1, 1, 0, 0, i)) for u, vs in lum.items() for i, v in enumerate(vs)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, value double, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["clip"]: r for r in REGISTRY["quality_flags"](spark, str(tmp_path)).collect()}
+    for u, vs in lum.items():
+        picked = [vs[int(i * len(vs) / 8)] for i in range(8)]
+        assert math.isclose(got[u]["blur_score"], sum(picked) / 8, abs_tol=1e-6) and math.isclose(got[u]["quality_score"], sum(picked[:4]) / 16, abs_tol=1e-6)
+        assert got[u]["n_frames_sampled"] == 8
+    assert got[1]["is_blurry"] and not got[1]["passed"]
+
+
 def test_long_captions_vote(spark, tmp_path):
     long = "a cat sits " * 30
     spark.createDataFrame([(0, "c", "a cat"), (1, "c", long), (2, "d", long), (3, None, "x")], "doc_id bigint, clip_path string, text string").write.parquet(str(tmp_path / "documents.parquet"))

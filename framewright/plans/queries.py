@@ -304,6 +304,12 @@ def hamming_pairs(s, d):
     return dedup.hamming_edges(dedup.first_items(hashes(s, d), "hs"), HASH_DISTANCE)
 
 
+@query
+def hash_classes(s, d):
+    """Membership for hamming_pairs, which names first items only: each item with a hash, and the first of equal hash."""
+    return dedup.copy_classes(hashes(s, d), "hs")
+
+
 @query
 def cosine_pairs(s, d):
     return rounded(dedup.cosine_edges(vectors(s, d), SIMILAR), 5)

@@ -235,6 +235,16 @@ def test_captions(spark):
     assert rows_of(augment.export_captions(clips, ["path"])) == [("x/a.mp4", "a", "L_M"), ("y/a.mp4", "_a", "own")]
 
 
+def test_hamming_pairs_with_membership_link_every_copy(spark, tmp_path):
+    h = [0xF0F0, 0xF0F0, 0xF0F1, None, 0xF0F1, 0xFF00FF00FF00]
+    spark.createDataFrame([(i, None if x is None else f"{x:x}") for i, x in enumerate(h)], "item_no bigint, hash_str string").write.parquet(str(tmp_path / "dedup_result.parquet"))
+    first = dict(rows_of(REGISTRY["hash_classes"](spark, str(tmp_path))))
+    assert first == {0: 0, 1: 0, 2: 2, 4: 2, 5: 5}
+    pairs = {(a, b) for a, b, _ in rows_of(REGISTRY["hamming_pairs"](spark, str(tmp_path)))}
+    close = {(i, j) for i, a in enumerate(h) for j, b in enumerate(h) if i < j and None not in (a, b) and bin(a ^ b).count("1") <= 6}
+    assert {(i, j) for i in first for j in first if i < j and (first[i] == first[j] or tuple(sorted((first[i], first[j]))) in pairs)} == close
+
+
 def test_quality_flags_sample_the_whole_clip(spark, tmp_path):
     lum = {1: [100.0] * 8 + [float(i) for i in range(8, 50)], 2: [60.0, 70.0, 80.0]}
     rows = [(u * 100 + i, u, float(v), datetime(2025, 1, 1, 0, 0, i)) for u, vs in lum.items() for i, v in enumerate(vs)]

@@ -483,7 +483,7 @@ def arrivals_by_day(s, d):
 
 # ---- the whole plan
 
-CURATION = CurationConfig(blur=Gate(low=30.0), quality=Gate(high=50.0), motion=Gate(low=2.0, high=80.0), dedup_threshold=6)
+CURATION = CurationConfig(blur=Gate(low=30.0), quality=Gate(high=50.0), motion=Gate(low=2.0, high=80.0), min_scene_duration=0.5, dedup_threshold=6)
 
 
 def clip_inputs(s: SparkSession, d: str) -> DataFrame:

@@ -13,8 +13,8 @@ from framewright.functions.clean import file_name, hash64, label_key, split_key,
 from framewright.kernels import images
 from framewright.operators import augment, bias, dedup, metrics, mixture, scores
 from framewright.operators.distribute import global_rank, join_unique, prefix_sum
-from framewright.plans.curate import CurationConfig, Gate, curate
-from framewright.plans.queries import REGISTRY, latest
+from framewright.plans.curate import CurationConfig, Gate, curate, stage_counts
+from framewright.plans.queries import CURATION, REGISTRY, latest
 
 
 def clip_rows(spark, rows):
@@ -300,6 +300,17 @@ def test_curate(spark):
     assert curate(df, CurationConfig(), score_only=True).count() == 4
 
 
+def test_scene_stage(spark):
+    lum = {"long": [0.0] * 2 + [200.0] * 8, "short": [0.0, 200.0] * 3}
+    rows = [(c, i, v, i * 0.1) for c, vs in lum.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "path string, frame_idx int, lum double, sec double")
+    info = scores.scene_info(scores.scene_segments(df, "path", "lum", "sec", 150.0), "path")
+    trimmed = scores.trim_to_dominant(df, info, "path", "sec", CURATION.min_scene_duration)
+    assert rows_of(trimmed.select("path", "frame_idx")) == [("long", i) for i in range(2, 10)]
+    clips = info.select("path", F.col("dominant_scene_duration_sec").alias("duration_sec"), F.lit(90.0).alias("blur_score"), F.lit(5.0).alias("motion_score"), F.lit(1.0).alias("quality_score"))
+    assert tuple(stage_counts(clips, CURATION).first()) == (2, 1, 1, 1)
+
+
 def test_stream_dedup_continues_from_the_index(spark, tmp_path):
     from framewright.streaming.incremental import dedup_stream
 

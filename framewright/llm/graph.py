@@ -1,169 +1,155 @@
 """A robust-pruned directed graph over unit vectors of one shard, in numpy, for many searches at a time.
 
-Points enter in batches of growing size. A greedy beam search on the graph so far proposes neighbours; of
-these, relaxed distance pruning keeps a diverse few: a candidate goes if a kept one is closer to it, by the
-factor `slack`, than the point is. A few random edges per point are never pruned, so that tight groups stay
-reachable. Reverse edges are added and pruned alike. Searches start at a sample of pivots and, for points of
-the graph, at the point itself.
+Points enter in batches that double. A greedy beam search on the graph so far proposes neighbours; of these,
+relaxed distance pruning keeps a diverse few: a candidate goes if a kept one is closer to it, by the factor
+`slack`, than the point is. Every new edge is then offered to the point at its other end, and pruned alike.
+
+Queries are searched in blocks of similar ones, and a block shares its frontier: in each step every beam names
+its best points that are not expanded yet, their neighbours are looked up once, and one matrix product gives
+the similarities of all queries of the block to all of them. Searches start at a sample of the points and, for
+points of the graph, at the points themselves.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Searches that advance together.
-BLOCK = 128
+#: Queries that share a frontier, and points that a beam names in one step.
+BLOCK, WIDE = 128, 4
+
+
+def _take(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.take_along_axis(a, at, axis=1)
 
 
 class Graph:
     """vectors: float32 of unit length, one row per point. Deterministic for a seed."""
 
-    def __init__(self, vectors: np.ndarray, degree: int = 28, beam: int = 32, slack: float = 1.15, far_edges: int = 3, seed: int = 0):
+    def __init__(self, vectors: np.ndarray, degree: int = 16, beam: int = 16, slack: float = 1.15, seed: int = 0):
         self.x, self.degree, self.beam, self.slack = vectors, degree, beam, slack
         n = len(vectors)
-        rng = np.random.default_rng(seed)
-        self.order = rng.permutation(n)
-        self.far = rng.integers(0, max(n, 1), (n, far_edges))
+        self.order = np.random.default_rng(seed).permutation(n)
         self.near = np.full((n, degree), -1, np.int64)
-        self.pivots = self.order[: max(1, n // 16)]
-        at, step = 0, 64
+        self.sims = np.full((n, degree), -2, np.float32)
+        self.entered = np.zeros(n + 1, bool)  # the last place stands for no point
+        at = 0
         while at < n:
-            self._insert(self.order[at : at + step], at)
-            at += step
-            step = min(step * 2, 1024, max(64, n // 8))
-
-    def _dots(self, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        """Cosine of queries[i] with each of ids[i]; -1 ids give -2."""
-        sims = np.full(ids.shape, -2, np.float32)
-        rows, at = np.nonzero(ids >= 0)
-        flat = self.x.take(ids[rows, at], axis=0)
-        ends = np.cumsum((ids >= 0).sum(axis=1))
-        values = np.empty(len(rows), np.float32)
-        for query, lo, hi in zip(queries, np.append(0, ends[:-1]), ends, strict=True):
-            np.dot(flat[lo:hi], query, out=values[lo:hi])
-        sims[rows, at] = values
-        return sims
-
-    def search(self, queries: np.ndarray, beam: int, known: int, start: np.ndarray | None = None, wide: int = 3) -> tuple[np.ndarray, np.ndarray]:
-        """The beam (ids, similarities; best first) of each query among the first `known` points to enter."""
-        m, n = len(queries), len(self.x)
-        seen = np.zeros((m, n + 1), bool)  # the last column stands for no point
-        ids, sims, open_ = np.full((m, beam), -1, np.int64), np.full((m, beam), -2, np.float32), np.zeros((m, beam), bool)
-        # a search that starts at its own place needs few other ways in
-        pivots = self.pivots[: max(1, min(len(self.pivots), known) // (1 if start is None else 4))]
-        near = queries @ self.x[pivots].T
-        top = np.argpartition(-near, min(7, len(pivots) - 1), axis=1)[:, :8]
-        fresh, fresh_sims = pivots[top], np.take_along_axis(near, top, axis=1)
+            self._insert(self.order[at : at + max(BLOCK, at)], at)
+            at += max(BLOCK, at)
+
+    def _blocks(self, vectors: np.ndarray) -> list[np.ndarray]:
+        """Numbers of the vectors in blocks of similar ones: those of one leader, leaders that are alike in a row."""
+        if not len(vectors):
+            return []
+        leaders = self.x[self.order[: max(1, min(len(self.x), len(vectors)) // 64)]]
+        sims = vectors @ leaders.T
+        own = sims.argmax(axis=1)
+        place = np.argsort(np.argsort(leaders @ leaders[0], kind="stable"), kind="stable")
+        by = np.lexsort((-sims.max(axis=1), place[own]))
+        return np.array_split(by, max(1, round(len(by) / BLOCK)))
+
+    def _search(self, queries: np.ndarray, beam: int, known: int, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The beams of one block among the first `known` points to enter, best first."""
+        n = len(self.x)
+        seen, expanded = ~self.entered, np.zeros(n + 1, bool)
+        expanded[n] = True
+        fresh = self.order[: min(known, max(8, known // 16))]
         if start is not None:
-            fresh = np.concatenate([fresh, start[:, None]], axis=1)
-            fresh_sims = np.concatenate([fresh_sims, self._dots(start[:, None], queries)], axis=1)
-        rows = np.arange(m)[:, None]
-        active = np.arange(m)
+            fresh = np.union1d(fresh, start)
+        ids, sims = np.full((len(queries), beam), n), np.full((len(queries), beam), -2, np.float32)
         while True:
-            # the same point twice in one step: keep the first
-            order = np.argsort(fresh, axis=1, kind="stable")
-            sorted_ = np.take_along_axis(fresh, order, axis=1)
-            twice = np.zeros_like(fresh, bool)
-            np.put_along_axis(twice[:, :], order[:, 1:], sorted_[:, 1:] == sorted_[:, :-1], axis=1)
-            drop = twice | (fresh < 0)
-            fresh_sims = np.where(drop, -2, fresh_sims)
-            fresh = np.where(drop, -1, fresh)
-            seen[active[:, None], fresh] = True  # -1 is the last column
-            all_ids = np.concatenate([ids[active], fresh], axis=1)
-            all_sims = np.concatenate([sims[active], fresh_sims], axis=1)
-            all_open = np.concatenate([open_[active], fresh >= 0], axis=1)
-            best = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
-            ids[active], sims[active] = np.take_along_axis(all_ids, best, axis=1), np.take_along_axis(all_sims, best, axis=1)
-            open_[active] = np.take_along_axis(all_open, best, axis=1)
-            active = active[open_[active].any(axis=1)]
-            if not len(active):
-                return ids, sims
-            # expand the best open points of each beam
-            rank = np.argsort(~open_[active], axis=1, kind="stable")[:, :wide]
-            chosen = np.take_along_axis(ids[active], rank, axis=1)
-            usable = np.take_along_axis(open_[active], rank, axis=1)
-            closing = open_[active]
-            np.put_along_axis(closing, rank, False, axis=1)
-            open_[active] = closing
-            chosen = np.where(usable, chosen, -1)
-            out = np.concatenate([self.near[np.maximum(chosen, 0)], self.far[np.maximum(chosen, 0)]], axis=2).reshape(len(active), -1)
-            out[np.repeat(chosen < 0, self.degree + self.far.shape[1], axis=1)] = -1
-            out[seen[active[:, None], out]] = -1
-            if known < n:
-                out[~self.entered[np.maximum(out, 0)]] = -1
-            # move what is left to the front, so that fewer vectors are read
-            front = np.argsort(out < 0, axis=1, kind="stable")
-            width = max(1, int((out >= 0).sum(axis=1).max()))
-            fresh = np.take_along_axis(out, front[:, :width], axis=1)
-            fresh_sims = self._dots(fresh, queries[active])
-
-    def prune(self, points: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
+            if len(fresh):
+                seen[fresh] = True
+                both = np.concatenate([sims, queries @ self.x[fresh].T], axis=1)
+                best = np.argpartition(both, -beam, axis=1)[:, -beam:]
+                sims = _take(both, best)
+                ids = np.where(best < beam, _take(ids, np.minimum(best, beam - 1)), fresh[np.maximum(best - beam, 0)])
+            named = ids
+            if beam > WIDE:
+                open_ = np.where(expanded[ids], np.float32(-3), sims)
+                named = _take(ids, np.argpartition(open_, -WIDE, axis=1)[:, -WIDE:])
+            named = np.unique(named[~expanded[named]])
+            if not len(named):
+                break
+            expanded[named] = True
+            reached = np.zeros(n + 1, bool)
+            reached[self.near[named]] = True  # -1 is the last place
+            fresh = np.flatnonzero(reached & ~seen)
+        order = np.argsort(-sims, axis=1, kind="stable")
+        return _take(np.where(ids == n, -1, ids), order), _take(sims, order)
+
+    def search(self, queries: np.ndarray, beam: int, points: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The beam (ids, similarities; best first, -1 where there is none) of each query; points: the numbers of
+        queries that are points of the graph."""
+        beam = min(beam, max(1, len(self.x)))
+        ids, sims = np.full((len(queries), beam), -1), np.full((len(queries), beam), -2, np.float32)
+        for at in self._blocks(queries) if len(self.x) else []:
+            ids[at], sims[at] = self._search(queries[at], beam, len(self.x), None if points is None else points[at])
+        return ids, sims
+
+    def prune(self, points: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Up to `degree` diverse neighbours of each point among candidates in order of similarity."""
         m, width = ids.shape
-        dist = np.sqrt(np.maximum(2 - 2 * sims, 0))
+        apart = np.maximum(2 - 2 * sims, 0)  # squared distances
         alive = (ids >= 0) & (ids != points[:, None])
-        out, count = np.full((m, self.degree), -1, np.int64), np.zeros(m, np.int64)
+        alive[:, 1:] &= ids[:, 1:] != ids[:, :-1]
+        out, kept, count = np.full((m, self.degree), -1, np.int64), np.full((m, self.degree), -2, np.float32), np.zeros(m, np.int64)
         cand = self.x[np.maximum(ids, 0)]
-        between = np.sqrt(np.maximum(2 - 2 * np.matmul(cand, cand.transpose(0, 2, 1)), 0))
-        every = np.arange(m)
+        between = self.slack * self.slack * np.maximum(2 - 2 * np.matmul(cand, cand.transpose(0, 2, 1)), 0)
         for i in range(width):
-            take = alive[:, i] & (count < self.degree)
-            rows = every[take]
+            rows = np.flatnonzero(alive[:, i] & (count < self.degree))
             if not len(rows):
                 continue
-            out[rows, count[rows]] = ids[rows, i]
+            out[rows, count[rows]], kept[rows, count[rows]] = ids[rows, i], sims[rows, i]
             count[rows] += 1
-            alive[rows, i + 1 :] &= ~((self.slack * between[rows, i, i + 1 :] <= dist[rows, i + 1 :]) | (ids[rows, i + 1 :] == ids[rows, i : i + 1]))
-        return out
+            alive[rows, i + 1 :] &= between[rows, i, i + 1 :] > apart[rows, i + 1 :]
+        return out, kept
 
     def _insert(self, batch: np.ndarray, known: int) -> None:
-        if not known:
-            self.entered = np.zeros(len(self.x), bool)
-        if known:
-            ids, sims = self._blocks(self.x[batch], self.beam, known, None)
-        else:
-            sims = self.x[batch] @ self.x[batch].T
-            top = np.argsort(-sims, axis=1, kind="stable")[:, : self.beam]
-            ids, sims = batch[top], np.take_along_axis(sims, top, axis=1)
-        for i in range(0, len(batch), BLOCK):
-            self.near[batch[i : i + BLOCK]] = self.prune(batch[i : i + BLOCK], ids[i : i + BLOCK], sims[i : i + BLOCK])
+        x = self.x[batch]
+        for at in self._blocks(x):
+            # points of a block enter together: each sees the others besides what its search proposes
+            sims = x[at] @ x[at].T
+            top = np.argsort(-sims, axis=1, kind="stable")[:, : self.beam + 1]
+            ids, sims = batch[at][top], _take(sims, top)
+            if known:
+                more, their = self._search(x[at], self.beam, known, None)
+                ids, sims = np.concatenate([ids, more], axis=1), np.concatenate([sims, their], axis=1)
+                best = np.argsort(-sims, axis=1, kind="stable")[:, : self.beam + 1]
+                ids, sims = _take(ids, best), _take(sims, best)
+            self.near[batch[at]], self.sims[batch[at]] = self.prune(batch[at], ids, sims)
         self.entered[batch] = True
         self._reverse(batch)
 
     def _reverse(self, batch: np.ndarray) -> None:
-        to, source = self.near[batch].ravel(), np.repeat(batch, self.degree)
+        """Offer every edge of the batch to the point that it leads to, `degree` at a time, the most similar first."""
+        to, source, sims = self.near[batch].ravel(), np.repeat(batch, self.degree), self.sims[batch].ravel()
         keep = to >= 0
-        to, source = to[keep], source[keep]
-        if not len(to):
-            return
-        order = np.argsort(to, kind="stable")
-        to, source = to[order], source[order]
-        targets, first, count = np.unique(to, return_index=True, return_counts=True)
-        for lo in range(0, len(targets), BLOCK):
-            t, c = targets[lo : lo + BLOCK], count[lo : lo + BLOCK]
-            width = min(int(c.max()), 2 * self.degree)
-            offset = np.arange(width)[None, :]
-            added = np.where(offset < c[:, None], source[np.minimum(first[lo : lo + BLOCK, None] + offset, len(source) - 1)], -1)
-            both = np.concatenate([self.near[t], added], axis=1)
-            free = (both >= 0).sum(axis=1)
-            room = free <= self.degree
-            # enough room: append; otherwise prune
-            packed = np.take_along_axis(both, np.argsort(both < 0, axis=1, kind="stable"), axis=1)
-            self.near[t[room]] = packed[room][:, : self.degree]
-            full = ~room
-            if full.any():
-                sims = self._dots(packed[full], self.x[t[full]])
-                order = np.argsort(-sims, axis=1, kind="stable")
-                self.near[t[full]] = self.prune(t[full], np.take_along_axis(packed[full], order, axis=1), np.take_along_axis(sims, order, axis=1))
-
-    def _blocks(self, queries: np.ndarray, beam: int, known: int, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self.search(queries[i : i + BLOCK], beam, known, None if start is None else start[i : i + BLOCK]) for i in range(0, len(queries), BLOCK)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        to, source, sims = to[keep], source[keep], sims[keep]
+        order = np.lexsort((source, -sims, to))
+        to, source, sims = to[order], source[order], sims[order]
+        first = np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)])
+        count = np.diff(np.append(first, len(to)))
+        place = np.arange(self.degree)[None, :]
+        while len(first):
+            for lo in range(0, len(first), BLOCK):
+                f, c = first[lo : lo + BLOCK], count[lo : lo + BLOCK]
+                t, at, offered = to[f], np.minimum(f[:, None] + place, len(to) - 1), place < c[:, None]
+                ids = np.concatenate([self.near[t], np.where(offered, source[at], -1)], axis=1)
+                s = np.concatenate([self.sims[t], np.where(offered, sims[at], np.float32(-2))], axis=1)
+                by = np.lexsort((ids, -s), axis=1)
+                ids, s = _take(ids, by), _take(s, by)
+                full = (ids >= 0).sum(axis=1) > self.degree
+                self.near[t[~full]], self.sims[t[~full]] = ids[~full][:, : self.degree], s[~full][:, : self.degree]
+                if full.any():
+                    self.near[t[full]], self.sims[t[full]] = self.prune(t[full], ids[full], s[full])
+            left = count > self.degree
+            first, count = first[left] + self.degree, count[left] - self.degree
 
     def nearest(self, points: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Beams of points of the graph itself."""
-        return self._blocks(self.x[points], beam, len(self.x), points)
+        return self.search(self.x[points], beam, points)
 
     def query(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Beams of any unit vectors."""
-        return self._blocks(queries, beam, len(self.x), None)
+        return self.search(queries, beam)

@@ -11,18 +11,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.llm.cells import FANOUT, MOST_CELLS, PER_CENTRE, SAMPLE, Tree, fitted
 from framewright.llm.graph import Graph
 from framewright.operators.distribute import join_unique
 from framewright.session import cut
 
 WIDTH, K, LEAST = 512, 5, 0.65
-#: Each vector enters and searches the cell of its most similar centre, and all others of which a centre's similarity
-#: is within MARGIN of that. Centres are of one cell if most vectors of one are within JOIN of the other; a cell of a
-#: single centre aims at SHARD vectors.
-MARGIN, JOIN, SHARD = 0.01, 0.025, 1000
-#: Vectors that the centres are fitted on, at most; a bound of the method, all vectors are indexed.
-SAMPLE = 16_384
-DEGREE, BEAM, SEARCH_BEAM = 16, 16, 12
+#: Vectors that a cell aims at.
+SHARD = 2000
+#: Edges of a point, and beams of the build and of the search; the second for cells without structure, where many
+#: vectors are almost equally similar.
+PLAIN, ALIKE = (16, 16, 12), (32, 48, 64)
+#: What float32 products may differ by from double ones, above half a unit of the sixth decimal.
+NEAR_TIE = 3e-6
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -37,8 +38,8 @@ def _usable(batch: pa.RecordBatch, width: int) -> tuple[pa.Array, np.ndarray, li
     """Paths, vectors and content numbers of the rows with a path and `width` finite numbers, not all zero."""
     vectors = batch.column("vector")
     fits = pc.and_(pc.is_valid(batch.column("path")), pc.equal(pc.list_value_length(vectors), width))
-    rows = np.flatnonzero(fits.fill_null(False).to_numpy(zero_copy_only=False))
-    paths, m = batch.column("path").take(pa.array(rows)), _matrix(vectors.take(pa.array(rows)), width) + np.float32(0)
+    rows = pa.array(np.flatnonzero(fits.fill_null(False).to_numpy(zero_copy_only=False)))
+    paths, m = batch.column("path").take(rows), _matrix(vectors.take(rows), width) + np.float32(0)
     good = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
     paths, m = paths.filter(pa.array(good)), np.ascontiguousarray(m[good])
     return paths, m, [hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in m]
@@ -55,185 +56,180 @@ def content_numbers(index: DataFrame, width: int = WIDTH) -> DataFrame:
     return index.select("path", "vector").mapInArrow(number, "path string, gid binary").groupBy("path").agg(F.min("gid").alias("gid"))
 
 
-def centres(vectors: np.ndarray, count: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
-    """Spherical k-means centres of unit vectors."""
-    rng = np.random.default_rng(seed)
-    out = vectors[rng.permutation(len(vectors))[:count]]
-    for _ in range(rounds):
-        own = (vectors @ out.T).argmax(axis=1)
-        sums = np.zeros_like(out)
-        np.add.at(sums, own, vectors)
-        empty = np.bincount(own, minlength=len(out)) == 0
-        sums[empty] = vectors[rng.integers(0, len(vectors), int(empty.sum()))]
-        out = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-30)
-    return out.astype(np.float32)
+def _hash_below(share: float):
+    """Rows of about that share, by a hash of their path; the others are not handed to Python."""
+    return F.xxhash64(F.lit("cells"), "path").bitwiseAND((1 << 32) - 1) < int(min(1.0, share) * (1 << 32))
 
 
-def fit_centres(index: DataFrame, n: int, shard: int, sample: int, width: int) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
-    """Centres, the cell of each, the number of parts that each cell is divided into, and whether its parts are
-    searched by blocks (cells of several centres or parts: their vectors are too much alike for a graph).
-
-    All are fitted on at most about `sample` distinct vectors, chosen by their content numbers.
-    """
-    count = min(max(1, round(n / shard)), sample // 64)
-    limit = min(1 << 32, int((1 << 32) * sample / max(n, 1)))
+def fit_cells(index: DataFrame, n: int, shard: int = SHARD, sample: int = SAMPLE, width: int = WIDTH) -> Tree:
+    """The tree of cells of about n vectors. Each node is fitted on about `sample` of its own vectors at most, the
+    root on the driver, the others in one task each; every round reads the index once."""
+    wanted = max(shard, n / MOST_CELLS)
+    ask = min(sample, max(4096, PER_CENTRE * min(FANOUT, round(n / wanted))))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             _, m, gids = _usable(batch, width)
-            keep = [i for i, g in enumerate(gids) if int.from_bytes(g[:4], "big") < limit and g not in seen]
-            seen.update(gids[i] for i in keep)
+            keep = [i for i, g in enumerate(gids) if g not in seen and not seen.add(g)]
             yield pa.RecordBatch.from_arrays([pa.array([gids[i] for i in keep], pa.binary()), pa.array([m[i].tobytes() for i in keep], pa.binary())], names=["gid", "raw"])
 
-    rows = index.select("path", "vector").mapInArrow(pick, "gid binary, raw binary").toArrow()
-    unique = dict(zip(rows.column("gid").to_pylist(), rows.column("raw").to_pylist(), strict=True))
-    if not unique:
-        return np.zeros((1, width), np.float32), np.zeros(1, np.int64), [1], np.zeros(1, bool)
-    unit = _unit(np.stack([np.frombuffer(unique[g], np.float32) for g in sorted(unique)]))
-    centre = centres(unit, min(count, len(unit)))
-    cell = joined_cells(unit, centre)
-    sizes = cells_of(unit, centre, cell).sum(axis=0) * (n / len(unit))
-    parts = [max(1, round(x / (8 * shard))) for x in sizes]
-    return centre, cell, parts, (np.bincount(cell) > 1) | (np.array(parts) > 1)
-
-
-def joined_cells(unit: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """The cell of each centre. k-means cuts a group of near-equal vectors at random, so that neighbours lie in any of
-    its parts; such centres can't be told apart by their own vectors and are one cell."""
-    sims = unit @ centre.T
-    own, best = sims.argmax(axis=1), sims.max(axis=1)
-    root = list(range(len(centre)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(centre)):
-        mine = own == i
-        if mine.any():
-            for j in np.flatnonzero((best[mine, None] - sims[mine] <= JOIN).mean(axis=0) > 0.5):
-                a, b = top(i), top(int(j))
-                root[max(a, b)] = min(a, b)
-    return np.unique([top(i) for i in range(len(centre))], return_inverse=True)[1]
-
-
-def cells_of(unit: np.ndarray, centre: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """Whether each unit vector (rows) belongs to each cell (columns)."""
-    order = np.argsort(cell, kind="stable")
-    best = np.maximum.reduceat((unit @ centre.T)[:, order], np.searchsorted(cell[order], np.arange(cell.max() + 1)), axis=1)
-    return best >= best.max(axis=1, keepdims=True) - MARGIN
-
-
-def nearest_by_blocks(unit: np.ndarray, points: np.ndarray, count: int) -> np.ndarray:
-    """For each unit vector the numbers of the `count` most similar rows of points."""
-    count = min(count, len(points))
-    out = np.empty((len(unit), count), np.int64)
-    for lo in range(0, len(unit), 1024):
-        sims = unit[lo : lo + 1024] @ points.T
-        out[lo : lo + 1024] = np.argpartition(-sims, count - 1, axis=1)[:, :count]
-    return out
-
-
-def neighbour_groups(index: DataFrame, n: int, k: int = K, least: float = LEAST, shard: int = SHARD, sample: int = SAMPLE, width: int = WIDTH) -> DataFrame:
+    def stacked(rows: pa.Table) -> np.ndarray:
+        unique = dict(zip(rows.column("gid").to_pylist(), rows.column("raw").to_pylist(), strict=True))
+        return _unit(np.stack([np.frombuffer(unique[g], np.float32) for g in sorted(unique)])) if unique else np.zeros((1, width), np.float32)
+
+    tree = Tree()
+    first = index.where(_hash_below(ask / max(n, 1))).select("path", "vector").mapInArrow(pick, "gid binary, raw binary").toArrow()
+    unit = stacked(first)
+    tree.add(*fitted(unit, n, wanted), n, wanted, None)
+    spark = index.sparkSession.sparkContext
+    while tree.open:
+        shared = spark.broadcast((tree, {k: size for k, (_, _, size) in tree.open.items()}))
+        most = max(1.0, min(size for _, _, size in tree.open.values()))
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree, sizes = shared.value
+            for batch in batches:
+                _, m, gids = _usable(batch, width)
+                nodes, rows = [], []
+                for mine, k in tree.route(_unit(m), only=True):
+                    # the same share of every vector's copies, at most about `sample` vectors a node
+                    limit = int(min(1.0, sample / sizes[k]) * (1 << 32))
+                    for i in mine:
+                        if int.from_bytes(gids[i][:4], "big") < limit:
+                            nodes.append(k)
+                            rows.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int32()), pa.array([gids[i] for i in rows], pa.binary()), pa.array([m[i].tobytes() for i in rows], pa.binary())], names=["node", "gid", "raw"])
+
+        def divide(rows: pa.Table) -> pa.Table:
+            k = rows.column("node")[0].as_py()
+            centre, group, share = fitted(stacked(rows), shared.value[1][k], wanted)
+            return pa.table({"node": [k], "centre": [centre.tobytes()], "groups": [group.tolist()], "share": [share.tolist()]}, schema=pa.schema([("node", pa.int32()), ("centre", pa.binary()), ("groups", pa.list_(pa.int64())), ("share", pa.list_(pa.float64()))]))
+
+        dealt = index.where(_hash_below(sample / most)).select("path", "vector").mapInArrow(deal, "node int, gid binary, raw binary").dropDuplicates(["node", "gid"])
+        answers = dealt.groupBy("node").applyInArrow(divide, "node int, centre binary, groups array<bigint>, share array<double>").collect()
+        done, tree.open = tree.open, {}
+        got = {r["node"]: r for r in answers}
+        for k, (number, place, size) in sorted(done.items()):
+            if k in got:
+                centre = np.frombuffer(bytes(got[k]["centre"]), np.float32).reshape(-1, width)
+                tree.add(centre, np.array(got[k]["groups"]), np.array(got[k]["share"]), size, wanted, (number, place))
+            else:
+                tree.nodes[number].child[place] = tree._cell(size, False)
+        shared.destroy()
+    return tree
+
+
+def _best(a: np.ndarray, b: np.ndarray, sims: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Which of the pairs (a, b) reach the k-th greatest similarity of their a, less slack; ties are all kept."""
+    order = np.lexsort((-sims, a))
+    first = np.flatnonzero(np.append(True, np.diff(a[order]) > 0)[: len(a)])
+    count = np.diff(np.append(first, len(a)))
+    level = np.full(int(a.max()) + 1 if len(a) else 0, -np.inf)
+    many = count >= k
+    level[a[order[first[many]]]] = sims[order[first[many] + k - 1]]
+    return sims >= level[a] - slack
+
+
+def of_shard(raw: np.ndarray, own: np.ndarray, alike: bool, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, similarity) of pairs of rows: for each about its k most similar among the rows that are `own`, all of
+    equal rounded similarity. What one of two found counts for the other as well."""
+    unit = _unit(raw)
+    degree, beam, search = ALIKE if alike else PLAIN
+    points = np.flatnonzero(own)
+    graph = Graph(np.ascontiguousarray(unit[points]), degree, beam)
+    inside = np.full(len(raw), -1)
+    inside[points] = np.arange(len(points))
+    pairs, sims = [], []
+    for asked, numbers in ((points, inside[points]), (np.flatnonzero(~own), None)):
+        wide = max(search, k + 2)
+        while len(asked):
+            ids, s = graph.search(unit[asked], wide, numbers)
+            # a beam that ends within a tie is widened
+            more = (s[:, -1] >= s[:, min(k, s.shape[1] - 1)] - 2 * NEAR_TIE) & (s[:, -1] >= least - NEAR_TIE) & (ids.shape[1] < len(points))
+            rows, at = np.nonzero((ids >= 0) & (s >= least - NEAR_TIE) & ~more[:, None])
+            pairs.append(np.stack([asked[rows], points[ids[rows, at]]]))
+            sims.append(s[rows, at])
+            asked, numbers, wide = asked[more], None if numbers is None else numbers[more], 2 * wide
+    (a, b), s = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64), np.concatenate(sims) if sims else np.zeros(0)
+    keep = a != b
+    a, b, s = a[keep], b[keep], s[keep]
+    _, once = np.unique(np.minimum(a, b) * len(raw) + np.maximum(a, b), return_index=True)
+    a, b, s = a[once], b[once], s[once]
+    both = lambda x, y: (np.concatenate([x, y]), np.concatenate([y, x]))
+    keep = _best(*both(a, b), np.concatenate([s, s]), k, 2 * NEAR_TIE).reshape(2, -1).any(axis=0)
+    a, b = a[keep], b[keep]
+    norms = np.sqrt(np.einsum("ij,ij->i", raw, raw, dtype=np.float64))
+    exact = np.empty(len(a))
+    for lo in range(0, len(a), 4096):
+        x, y = a[lo : lo + 4096], b[lo : lo + 4096]
+        exact[lo : lo + 4096] = np.einsum("ij,ij->i", raw[x].astype(np.float64), raw[y].astype(np.float64)) / (norms[x] * norms[y])
+    exact = np.round(exact, 6)
+    a, b = both(a, b)
+    exact = np.concatenate([exact, exact])
+    good = (exact >= least) & _best(a, b, exact, k, 0)
+    return a[good], b[good], exact[good]
+
+
+def neighbour_groups(index: DataFrame, tree: Tree, k: int = K, least: float = LEAST, width: int = WIDTH) -> DataFrame:
     """(gid, other, sim): for each distinct vector about the k most similar other ones, cosine rounded to 6.
 
-    index: path, vector, with about n distinct vectors. Vectors are routed to the shards of their most similar
-    centres (cells_of), each once per partition of the input however many copies there are; that is the only time vectors
-    are moved. A cell much larger than a shard is divided by content number and its vectors search each part,
-    so a cell may hold any share of the rows. In every shard (one task each) a graph is built of its vectors,
-    and a beam search on it answers for each vector that was routed to it; vectors too much alike for that
-    (fit_centres) are compared by blocks, quadratic in the size of their cell.
+    index: path, vector. Vectors are routed to their cells by the tree, each once per partition of the input however
+    many copies there are; that is the only time vectors are moved. In every shard (a task each) a graph is built of
+    its vectors and a beam search answers for each of them. A structureless cell beyond PART vectors is divided by
+    content number into shards, and its vectors search each of these. A pair may come from more than one shard.
     """
-    centre, cell, parts, blocks = fit_centres(index, n, shard, sample, width)
+    parts = tree.parts()
     first = np.cumsum([0, *parts])
-    shared = index.sparkSession.sparkContext.broadcast((centre, cell, np.array(parts), first))
-    by_blocks = np.repeat(blocks, parts)
+    shared = index.sparkSession.sparkContext.broadcast((tree, parts, first))
+    alike = np.repeat(np.array(tree.alike, bool), parts)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        centre, cell, parts, first = shared.value
+        tree, parts, first = shared.value
         codec = pa.Codec("zstd", compression_level=1)
         for batch in batches:
             _, m, gids = _usable(batch, width)
-            fresh = []
-            for i, g in enumerate(gids):
-                if g not in seen:
-                    seen.add(g)
-                    fresh.append(i)
+            fresh = [i for i, g in enumerate(gids) if g not in seen and not seen.add(g)]
             if not fresh:
                 continue
             m, gids = m[fresh], [gids[i] for i in fresh]
-            cells = cells_of(_unit(m), centre, cell)
+            home = np.array([int.from_bytes(g[8:12], "big") for g in gids])
             rows, shards, own = [], [], []
-            for i, g in enumerate(gids):
-                home = int.from_bytes(g[8:12], "big")
-                for c in np.flatnonzero(cells[i]):
-                    for part in range(parts[c]):
-                        rows.append(i)
-                        shards.append(first[c] + part)
-                        own.append(home % parts[c] == part)
+            for mine, cell in tree.route(_unit(m)):
+                for part in range(parts[cell]):
+                    rows.append(mine)
+                    shards.append(np.full(len(mine), first[cell] + part))
+                    own.append(home[mine] % parts[cell] == part)
             # bytes of equal weight side by side compress well
-            planes = m.view(np.uint8).reshape(len(m), width, 4).transpose(0, 2, 1)
-            raw = pa.array([codec.compress(x.tobytes(), asbytes=True) for x in planes], pa.binary())
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(own), pa.array(gids, pa.binary()).take(at), raw.take(at)], names=["shard", "own", "gid", "raw"])
-
-    work = index.select("path", "vector").mapInArrow(route, "shard int, own boolean, gid binary, raw binary")
-    kinds = "gid binary, other binary, sim double"
+            planes = np.ascontiguousarray(m.view(np.uint8).reshape(len(m), width, 4).transpose(0, 2, 1))
+            raw = pa.array([codec.compress(x, asbytes=True) for x in planes], pa.binary())
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards), pa.int32()), pa.array(np.concatenate(own)), pa.array(gids, pa.binary()).take(at), raw.take(at)], names=["shard", "own", "gid", "raw"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple[bytes, bool]] = {}
-        shards: set[int] = set()
+        shard = None
         for batch in batches:
-            shards.update(batch.column("shard").unique().to_pylist())
+            if len(batch):
+                shard = batch.column("shard")[0].as_py()
             held.update(zip(batch.column("gid").to_pylist(), zip(batch.column("raw").to_pylist(), batch.column("own").to_pylist(), strict=True), strict=True))
-        if held:
-            yield from of_shard(held, bool(by_blocks[min(shards)])).to_batches()
-
-    def of_shard(held: dict[bytes, tuple[bytes, bool]], blocks: bool) -> pa.Table:
+        if not held:
+            return
         order = sorted(held)  # a graph must not depend on the order of arrival
-        gids = pa.array(order, pa.binary())
         codec = pa.Codec("zstd")
-        planes = np.stack([np.frombuffer(codec.decompress(held[g][0], width * 4), np.uint8) for g in order]).reshape(len(order), 4, width)
+        planes = np.empty((len(order), 4, width), np.uint8)
+        for i, g in enumerate(order):
+            planes[i] = np.frombuffer(codec.decompress(held[g][0], width * 4), np.uint8).reshape(4, width)
         raw = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.float32)[:, :, 0]
-        points = np.flatnonzero([held[g][1] for g in order])
-        if not len(points):
-            return pa.table({"gid": pa.array([], pa.binary()), "other": pa.array([], pa.binary()), "sim": pa.array([], pa.float64())})
-        unit = _unit(raw)
-        if blocks:
-            # more than needed, as float32 may swap near-equal ones
-            who, ids = np.arange(len(raw)), nearest_by_blocks(unit, np.ascontiguousarray(unit[points]), 2 * (k + 2))
-        else:
-            graph = Graph(np.ascontiguousarray(unit[points]), degree=DEGREE, beam=BEAM)
-            inside = np.full(len(raw), -1)
-            inside[points] = np.arange(len(points))
-            asked, found = [], []
-            mine, strange = np.flatnonzero(inside >= 0), np.flatnonzero(inside < 0)
-            if len(mine):
-                asked.append(mine)
-                found.append(graph.nearest(inside[mine], SEARCH_BEAM)[0])
-            if len(strange):
-                asked.append(strange)
-                found.append(graph.query(unit[strange], SEARCH_BEAM)[0])
-            who = np.concatenate(asked)
-            ids = np.concatenate(found)[:, : k + 2]
-        rows, at = np.nonzero(ids >= 0)
-        a, b = who[rows], points[ids[rows, at]]
-        keep = a != b
-        a, b = a[keep], b[keep]
-        norms = np.sqrt(np.einsum("ij,ij->i", raw.astype(np.float64), raw.astype(np.float64)))
-        sims = np.empty(len(a))
-        for lo in range(0, len(a), 8192):
-            x, y = a[lo : lo + 8192], b[lo : lo + 8192]
-            sims[lo : lo + 8192] = np.einsum("ij,ij->i", raw[x].astype(np.float64), raw[y].astype(np.float64)) / (norms[x] * norms[y])
-        sims = np.round(sims, 6)
-        good = sims >= least
-        return pa.table({"gid": gids.take(pa.array(a[good])), "other": gids.take(pa.array(b[good])), "sim": pa.array(sims[good])})
+        own = np.array([held[g][1] for g in order])
+        a, b, sims = of_shard(raw, own, bool(alike[shard]), k, least)
+        gids = pa.array(order, pa.binary())
+        yield from pa.table({"gid": gids.take(pa.array(a)), "other": gids.take(pa.array(b)), "sim": pa.array(sims, pa.float64())}).to_batches()
 
+    work = index.select("path", "vector").mapInArrow(route, "shard int, own boolean, gid binary, raw binary")
     tasks = work.repartitionById(int(first[-1]), F.col("shard")).select("shard", "gid", "own", "raw")
-    return tasks.mapInArrow(answer, kinds).distinct()
+    return tasks.mapInArrow(answer, "gid binary, other binary, sim double")
 
 
 def neighbours(index: DataFrame, k: int = K, least: float = LEAST, shard: int = SHARD) -> DataFrame:
@@ -241,19 +237,22 @@ def neighbours(index: DataFrame, k: int = K, least: float = LEAST, shard: int =
 
     index: path, vector; other columns are ignored. Similarity is the cosine in double precision rounded to 6
     decimals, at least `least`; among equals the smaller path goes first. Vectors that are null, all zero, of
-    another length or not finite, and null paths, take no part; a path counts once. Equal vectors enter the
-    graph once; of their paths the k + 1 smallest are candidates, and every path of the group has its
-    own result, so a vector that a third of the paths share costs no more than one. The graph is approximate:
-    pairs can be missed (README: measured recall), none is wrong.
+    another length or not finite, and null paths, take no part; a path counts once (of several different vectors of
+    one path, one is taken). Equal vectors enter the graph once; of their paths the k + 1 smallest are candidates,
+    and every path of the group has its own result, so a vector that a third of the paths share costs no more than
+    one. The graph is approximate: pairs can be missed (README: measured recall), and a pair may be reported in
+    place of one that was missed.
     """
     rows = cut(content_numbers(index))
     by_path = Window.partitionBy("gid").orderBy("path")
     # row_number <= k + 1 is applied before the shuffle as well, so a hot group stays small
     heads = rows.select("gid", "path").withColumn("r", F.row_number().over(by_path)).where(F.col("r") <= k + 1)
-    heads = cut(heads.groupBy("gid").agg(F.sort_array(F.collect_list("path")).alias("heads")))
-    near = neighbour_groups(index, heads.count(), k, least, shard)
-    itself = heads.select("gid", F.col("gid").alias("other"), F.lit(1.0).alias("sim"))
+    heads = heads.groupBy("gid").agg(F.sort_array(F.collect_list("path")).alias("heads"))
+    near = neighbour_groups(index, fit_cells(index, index.count(), shard), k, least)
+    itself = rows.select("gid", F.col("gid").alias("other"), F.lit(1.0).alias("sim")).distinct()
     ranked = near.unionByName(itself).join(heads.withColumnRenamed("gid", "other"), "other").select("gid", "sim", F.explode("heads").alias("other"))
+    # in the place of its vector each pair once, the way the next steps need it
+    ranked = ranked.repartition("gid").groupBy("gid", "other").agg(F.max("sim").alias("sim"))
     best = Window.partitionBy("gid").orderBy(F.col("sim").desc(), "other")
     lists = ranked.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).groupBy("gid").agg(
         F.sort_array(F.collect_list(F.struct("r", "other", "sim"))).alias("list")

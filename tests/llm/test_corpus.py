@@ -306,6 +306,56 @@ def test_neighbours_of_dirty_and_equal_vectors(spark):
     assert neighbours.found(df.limit(0)).count() == 0
 
 
+def test_cells_keep_their_size_and_copies_few_at_any_number():
+    """A tree of two levels on 40 000 vectors, as 60 million would have it: 4 000 cells of about 10."""
+    from framewright.llm import cells
+
+    x = near_groups(40_000, 64, seed=5)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree, rounds = cells.Tree(), 0
+    tree.add(*cells.fitted(x[:16_384], len(x), 10), len(x), 10, None)
+    while tree.open:
+        rounds += 1
+        mine = {k: rows for k in tree.open for rows in [[]]}
+        for rows, k in tree.route(x, only=True):
+            mine[k].append(rows)
+        done, tree.open = tree.open, {}
+        for k, (number, place, _) in done.items():
+            own = x[np.concatenate(mine[k])]
+            tree.add(*cells.fitted(own, len(own), 10), len(own), 10, (number, place))
+    assert rounds >= 1 and len(tree.nodes) > 100 and len(tree.size) > 1000 and (tree.parts() == 1).all()
+    held = np.zeros(len(tree.size))
+    entered = np.zeros(len(x))
+    for rows, cell in tree.route(x):
+        held[cell] += len(rows)
+        entered[rows] += 1
+    assert entered.min() >= 1 and entered.mean() < 2 and held.max() < 0.01 * len(x)
+    # 60 million vectors: cells of SHARD, within the tree's bound
+    assert 60_000_000 / neighbours.SHARD <= cells.MOST_CELLS
+
+
+def test_neighbours_through_a_deep_tree(spark, monkeypatch):
+    m = near_groups(1500, seed=9)
+    paths = [f"p{i:05d}" for i in range(len(m))]
+    df = spark.createDataFrame([(p, v.tolist()) for p, v in zip(paths, m, strict=True)], "path string, vector array<float>")
+    from framewright.llm import cells
+
+    monkeypatch.setattr(cells, "FANOUT", 4)
+    monkeypatch.setattr(cells, "GROWN", 1)
+    tree = neighbours.fit_cells(df, len(m), 60)
+    assert len(tree.nodes) > 1 and not tree.open
+    near = neighbours.neighbour_groups(df, tree).count()
+    assert near >= 5 * 1400
+
+
+def test_ties_beyond_the_beam_are_kept():
+    raw = np.zeros((40, 512), np.float32)
+    raw[:, 0] = 1
+    raw[np.arange(1, 40), np.arange(1, 40)] = 0.1  # 39 rows that are equally similar to the first
+    a, b, sims = neighbours.of_shard(raw, np.ones(40, bool), False, 5, 0.65)
+    assert set(b[a == 0]) == set(range(1, 40)) and len(set(sims[a == 0])) == 1
+
+
 def test_graph_is_directed_and_bounded():
     x = near_groups(300, 32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -19,9 +19,8 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Folder of the vocabularies; a parameter of encode().
 VOCABULARIES = "/opt/tokenizers"
@@ -105,6 +104,9 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.known = ranks, {}
+        self.pieces = {i: b for b, i in ranks.items()}
+        self.sizes = np.zeros(max(self.pieces, default=0) + 1, np.int64)
+        self.sizes[list(self.pieces)] = [len(b) for b in self.pieces.values()]
 
     def word(self, word: str) -> list[int]:
         ids = self._merge(word.encode("utf-8", "replace"))
@@ -186,40 +188,49 @@ def _block(texts: list[str]) -> Iterator[list[str]]:
         yield [whole[a:b] for a, b in itertools.pairwise([*own, int(end)])]
 
 
-def encode(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
-    """(doc_id, ids): ids of text without special tokens; null and empty texts give an empty list.
+def encode(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES, offsets: bool = True) -> DataFrame:
+    """(doc_id, ids, offsets): ids of text without special tokens; null and empty texts give an empty list.
 
-    Texts are taken as they are, whole, of any length; a text that spells out a special token is ordinary
-    text. Every row has a result, repeated ones as well; a null doc_id stays null. A work file of the
-    vocabulary, <vocabulary>.tiktoken, must lie in `folder` on every executor.
+    offsets: the byte at which each id begins in the text's UTF-8 form, so that any stretch of ids leads back to its
+    place; left out if offsets is false. Texts are taken as they are, whole, of any length; a text that spells out
+    a special token is ordinary text. Every row has a result, repeated ones as well; doc_id passes through
+    untouched, whatever its type, null included. A work file of the vocabulary, <vocabulary>.tiktoken, must lie in
+    `folder` on every executor.
     """
     path = f"{folder}/{vocabulary}.tiktoken"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            out = []
-            for pieces in words(texts):
-                ids: list[int] = []
+            ids: list[int] = []
+            ends = [0]
+            for pieces in words([t or "" for t in batch.column("text").to_pylist()]):
                 known = enc.known
                 for w in pieces:
                     ids.extend(known.get(w) or enc.word(w))
-                out.append(np.array(ids, np.int32))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": pd.Series(out, index=batch.index, dtype=object)})
+                ends.append(len(ids))
+            flat, at = np.array(ids, np.int32), pa.array(ends, pa.int32())
+            columns = [batch.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(flat))]
+            if offsets:
+                size = enc.sizes[flat]
+                begin = np.cumsum(size) - size
+                first = np.append(begin, 0)[np.minimum(ends[:-1], len(flat))]
+                columns.append(pa.ListArray.from_arrays(at, pa.array(begin - np.repeat(first, np.diff(ends)))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", *(["offsets"] if offsets else [])])
 
-    return documents.select(F.col("doc_id"), "text").mapInPandas(run, "doc_id bigint, ids array<int>")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>" + (", offsets array<bigint>" if offsets else ""))
 
 
 def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
-    """(doc_id, text, offsets): the text of ids and the byte offset at which each id's bytes begin."""
+    """(doc_id, text) of ids; a null list is an empty text, bytes that are no UTF-8 become U+FFFD."""
     path = f"{folder}/{vocabulary}.tiktoken"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = {i: b for b, i in encoder(path).ranks.items()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = encoder(path).pieces
         for batch in batches:
-            raw = [[pieces[i] for i in ids] for ids in batch["ids"]]
-            offsets = [np.append(0, np.cumsum([len(p) for p in ps])[:-1]).astype(np.int64) if ps else np.array([], np.int64) for ps in raw]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [b"".join(ps).decode("utf-8", "replace") for ps in raw], "offsets": offsets})
+            texts = [b"".join([pieces[i] for i in ids or []]).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id bigint, text string, offsets array<bigint>")
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")

@@ -25,7 +25,8 @@ def queries() -> dict[str, Query]:
         "p6_found": lambda s, d: cutoffs.found(t(s, d, "clip_meta"), t(s, d, "keep_target")),
         "p6_cutoffs": lambda s, d: cutoffs.cutoffs(t(s, d, "clip_meta"), t(s, d, "keep_target")),
         "p7_percentiles": lambda s, d: percentiles.percentiles(percentiles.daily_summaries(t(s, d, "clip_meta"))),
-        "p8_ids": lambda s, d: bpe.encode(t(s, d, "documents")),
+        "p8_ids": lambda s, d: bpe.encode(t(s, d, "documents"), offsets=False),
+        "p8_offsets": lambda s, d: bpe.encode(t(s, d, "documents")).select("doc_id", "offsets"),
         "p9_found": lambda s, d: leaks.found(t(s, d, "documents"), t(s, d, "eval_items")),
         "p10_found": lambda s, d: truncation.found(t(s, d, "documents")),
         "p10_shares": lambda s, d: truncation.shares(t(s, d, "documents")),

@@ -179,11 +179,29 @@ def test_bpe_equals_the_public_encoder(spark):
     pieces = ["'", " ", "s", "t", "re", "ve", "ll", "\n", "\t", "1", "é", "x", "!", "''", " '", "日本", "\x1c", "\x85", "​", "🙂", "　", "\0", "don't", "<|endoftext|>"]
     texts = ["".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(3000)] + ["", None, "a" * 3000, "'" * 999, "it's  ' re", " " * 500]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("ids", F.lit(1))
-    got = {r["doc_id"]: r["ids"] for r in bpe.encode(df).collect()}
+    rows = bpe.encode(df).collect()
+    got = {r["doc_id"]: r["ids"] for r in rows}
     assert got == {i: public.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+    by_id = {i: b for b, i in ranks.items()}
+    for r in rows:
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert len(r["offsets"]) == len(r["ids"]) and all(raw[at:].startswith(by_id[i]) for i, at in zip(r["ids"], r["offsets"], strict=True))
+        assert not r["ids"] or r["offsets"][0] == 0 and r["offsets"][-1] + len(by_id[r["ids"][-1]]) == len(raw)
     back = bpe.decode(spark.createDataFrame(list(got.items()), "doc_id bigint, ids array<int>"))
     for r in back.collect():
-        assert r["text"] == (texts[r["doc_id"]] or "") and len(r["offsets"]) == len(got[r["doc_id"]])
+        assert r["text"] == (texts[r["doc_id"]] or "")
+
+
+@pytest.mark.skipif(not VOCABULARY.exists(), reason="no vocabulary")
+def test_bpe_leaves_ids_of_documents_alone(spark):
+    keys = [9007199254740993, None, 9007199254740995, -(1 << 63), None]
+    df = spark.createDataFrame([(k, "a b") for k in keys], "doc_id bigint, text string").coalesce(1)
+    encoded = bpe.encode(df, offsets=False)
+    assert [r["doc_id"] for r in encoded.collect()] == keys
+    assert [r["doc_id"] for r in bpe.decode(encoded).collect()] == keys
+    named = spark.createDataFrame([("x", None)], "doc_id string, text string")
+    assert [tuple(r) for r in bpe.encode(named).collect()] == [("x", [], [])]
+    assert bpe.encode(df.limit(0)).count() == 0
 
 
 def test_scan_of_transitions():

@@ -19,9 +19,9 @@ from framewright.session import cut
 WIDTH, K, LEAST = 512, 5, 0.65
 #: Vectors that a cell aims at.
 SHARD = 2000
-#: Edges of a point, and beams of the build and of the search; the second for cells without structure, where many
-#: vectors are almost equally similar.
-PLAIN, ALIKE = (16, 16, 12), (32, 48, 64)
+#: Edges of a point, and beams of the build and of the search. In cells without structure many vectors are almost
+#: equally similar: there all three grow with the logarithm of the size, from 4 * WIDEN_FROM vectors.
+PLAIN, WIDEN_FROM = (16, 16, 12), 1000
 #: What float32 products may differ by from double ones, above half a unit of the sixth decimal.
 NEAR_TIE = 3e-6
 
@@ -135,8 +135,9 @@ def of_shard(raw: np.ndarray, own: np.ndarray, alike: bool, k: int, least: float
     """(a, b, similarity) of pairs of rows: for each about its k most similar among the rows that are `own`, all of
     equal rounded similarity. What one of two found counts for the other as well."""
     unit = _unit(raw)
-    degree, beam, search = ALIKE if alike else PLAIN
     points = np.flatnonzero(own)
+    widen = max(1.0, np.log2(max(len(points), 1) / WIDEN_FROM) / 2) if alike else 1.0
+    degree, beam, search = (round(x * widen) for x in PLAIN)
     graph = Graph(np.ascontiguousarray(unit[points]), degree, beam)
     inside = np.full(len(raw), -1)
     inside[points] = np.arange(len(points))

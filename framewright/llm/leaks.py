@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import functools
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,8 @@ from framewright.session import cut
 #: A leak is at least SPAN consecutive words. Grams of GRAM words in windows of SPAN - GRAM + 1 grams:
 #: every shared span of SPAN words holds a window whose least gram is selected on both sides.
 SPAN, GRAM = 13, 7
+#: Characters of held-out texts that are sent to the workers at a time; more items take more passes.
+BLOCK_CHARS = 8_000_000
 #: Characters that are removed before words are cut.
 INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0xFEFF])
 _WORD = re.compile(r"[^\W_]+")
@@ -31,21 +33,26 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(plain.lower())
 
 
-@functools.lru_cache(1 << 16)
-def _word_hash(word: str) -> int:
-    """64-bit FNV-1a: the same in every process."""
-    h = 0xCBF29CE484222325
-    for byte in word.encode("utf-8", "surrogatepass"):
-        h = ((h ^ byte) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return h
+class WordHashes(dict):
+    """64-bit numbers of words, the same in every process; frequent words are remembered."""
 
+    MOST = 1 << 18
 
-def gram_hashes(ws: list[str], gram: int = GRAM) -> np.ndarray:
-    """Polynomial hash of each run of `gram` words, mixed, as unsigned 64-bit numbers."""
-    if len(ws) < gram:
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return value
+
+
+_hashes = WordHashes()
+
+
+def gram_hashes(h: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Polynomial hash of each run of `gram` word hashes, mixed, as unsigned 64-bit numbers."""
+    if len(h) < gram:
         return np.array([], np.uint64)
-    h = np.fromiter(map(_word_hash, ws), np.uint64, len(ws))
-    out = np.zeros(len(ws) - gram + 1, np.uint64)
+    out = np.zeros(len(h) - gram + 1, np.uint64)
     for i in range(gram):
         out = out * _ODD + h[i : i + len(out)]
     out ^= out >> np.uint64(31)
@@ -53,50 +60,27 @@ def gram_hashes(ws: list[str], gram: int = GRAM) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def winnow(ws: list[str], span: int = SPAN, gram: int = GRAM) -> np.ndarray:
-    """Places of the selected grams: the last least hash of every window of span - gram + 1 grams.
+def winnow(texts: list[list[str]], span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of the selected grams: the last least hash of every window of span - gram + 1 grams.
 
-    A text of at least span words has at least one; shorter texts have none.
+    All texts are hashed in one array; windows across two texts are left out. A text of at least `span` words has
+    at least one selected gram, shorter texts have none.
     """
-    h = gram_hashes(ws, gram)
-    wide = span - gram + 1
+    size = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(size) - size
+    flat = np.fromiter((_hashes[w] for t in texts for w in t), np.uint64, int(size.sum()))
+    h, wide = gram_hashes(flat, gram), span - gram + 1
     if len(h) < wide:
-        return np.array([], np.int64)
+        return np.array([], np.int64), np.array([], np.int64), np.array([], np.uint64)
     windows = np.lib.stride_tricks.sliding_window_view(h, wide)
-    return np.unique(np.arange(len(windows)) + wide - 1 - windows[:, ::-1].argmin(axis=1))
-
-
-def fingerprints(df: DataFrame, key: str, span: int = SPAN, gram: int = GRAM, only: DataFrame | None = None) -> DataFrame:
-    """(key, fp, at): the selected grams of each text and the word they begin at.
-
-    only: a table of fingerprints (fp) to keep; it is sent to the workers if it holds fewer than 2 million
-    numbers (16 MB), otherwise the join behind does all the work.
-    """
-    wanted = None
-    if only is not None and only.count() < 2_000_000:
-        values = np.sort(np.array([r[0] for r in only.select("fp").distinct().collect()], np.int64))
-        wanted = df.sparkSession.sparkContext.broadcast(values)
-
-    def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys, fps, places = [], [], []
-            for k, text in zip(batch[key], batch["text"], strict=True):
-                ws = words(text)
-                at = winnow(ws, span, gram)
-                if not len(at):
-                    continue
-                fp = gram_hashes(ws, gram)[at].view(np.int64)
-                if wanted is not None:
-                    held = wanted.value
-                    hit = held[np.searchsorted(held, fp).clip(0, max(len(held) - 1, 0))] == fp if len(held) else np.zeros(len(fp), bool)
-                    at, fp = at[hit], fp[hit]
-                keys.append(np.full(len(at), k))
-                fps.append(fp)
-                places.append(at)
-            if keys:
-                yield pd.DataFrame({key: np.concatenate(keys), "fp": np.concatenate(fps), "at": np.concatenate(places)})
-
-    return df.select(key, "text").where(F.col("text").isNotNull() & F.col(key).isNotNull()).mapInPandas(select, f"{key} bigint, fp bigint, at bigint")
+    least = np.arange(len(windows)) + wide - 1 - windows[:, ::-1].argmin(axis=1)
+    of = np.repeat(np.arange(len(texts)), size)[: len(windows)]
+    inside = np.arange(len(windows)) + span <= (first + size)[of]
+    chosen = np.zeros(len(h), bool)
+    chosen[least[inside]] = True
+    at = np.flatnonzero(chosen)
+    text = np.searchsorted(first + size, at, "right")
+    return text, at - first[text], h[at]
 
 
 def longest_shared(a: list[str], b: list[str], seeds: list[tuple[int, int]]) -> int:
@@ -116,33 +100,67 @@ def longest_shared(a: list[str], b: list[str], seeds: list[tuple[int, int]]) ->
     return best
 
 
+class HeldOut:
+    """Held-out texts with their fingerprints in ascending order, the form that the workers look up."""
+
+    def __init__(self, texts: list[str], span: int, gram: int):
+        self.words = [words(t) for t in texts]
+        text, place, fp = winnow(self.words, span, gram)
+        order = np.argsort(fp, kind="stable")
+        self.fp, self.text, self.place = fp[order], text[order], place[order]
+
+    def seeds(self, texts: list[list[str]], span: int, gram: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """(text, held-out text) -> places of equal fingerprints in both."""
+        out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        text, place, fp = winnow(texts, span, gram)
+        lo, hi = np.searchsorted(self.fp, fp, "left"), np.searchsorted(self.fp, fp, "right")
+        for k in np.flatnonzero(hi > lo):
+            for m in range(lo[k], hi[k]):
+                out.setdefault((int(text[k]), int(self.text[m])), []).append((int(place[k]), int(self.place[m])))
+        return out
+
+
+def item_blocks(items: DataFrame) -> Iterator[pa.Table]:
+    """(text, ids) of the distinct held-out texts, at most about BLOCK_CHARS characters at a time."""
+    held = cut(items.where("item_id is not null and text is not null").groupBy("text").agg(F.collect_set("item_id").alias("ids")))
+    total = held.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // BLOCK_CHARS))
+    for b in range(blocks):
+        yield held.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).toArrow()
+
+
 def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(doc_id, item_id, words): documents that share a run of at least `span` words with an item.
 
-    documents: doc_id, text; items: item_id, text; other columns are ignored. words is the length of the
-    longest shared run. Null and short texts share nothing; copies count each under its own id; rows without
-    an id are left out; of rows with one id each text counts.
+    documents: doc_id, text; items: item_id, text; other columns are ignored. words is the length of the longest
+    shared run. Null and short texts share nothing; copies count each under its own id; rows without an id are left
+    out; of rows with one id each text counts. The held-out fingerprints and words go to the workers, a block at a
+    time, and hits are extended where the text is read: no text of the corpus is moved.
     """
-    own = cut(fingerprints(items, "item_id", span, gram))
-    seen = fingerprints(documents, "doc_id", span, gram, only=own.select("fp"))
-    hits = seen.withColumnRenamed("at", "i").join(own.withColumnRenamed("at", "j"), "fp")
-    pairs = cut(hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("i", "j")).alias("seeds")))
-    texts = pairs.join(items.select("item_id", F.col("text").alias("item")).where("item is not null"), "item_id").join(
-        documents.select("doc_id", "text").where("text is not null"), "doc_id"
-    )
-
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                a, b = words(r.text), words(r.item)
-                seeds = [(s["i"], s["j"]) for s in r.seeds if s["i"] < len(a) and s["j"] < len(b)]
-                length = longest_shared(a, b, seeds)
-                if length >= span:
-                    rows.append((r.doc_id, r.item_id, length))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words"])
-
-    out = texts.mapInPandas(extend, "doc_id bigint, item_id bigint, words int")
+    docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    kinds = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, words int"
+    parts = []
+    for table in item_blocks(items):
+        held, item_kind = HeldOut(table.column("text").to_pylist(), span, gram), table.schema.field("ids").type.value_type
+        shared = documents.sparkSession.sparkContext.broadcast((held, table.column("ids").to_pylist()))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, item_kind=item_kind) -> Iterator[pa.RecordBatch]:
+            held, ids = shared.value
+            for batch in batches:
+                texts = [words(t) for t in batch.column("text").to_pylist()]
+                rows, names, lengths = [], [], []
+                for (i, m), seeds in held.seeds(texts, span, gram).items():
+                    length = longest_shared(texts[i], held.words[m], seeds)
+                    if length >= span:
+                        rows += [i] * len(ids[m])
+                        names += ids[m]
+                        lengths += [length] * len(ids[m])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(names, item_kind), pa.array(lengths, pa.int32())], names=["doc_id", "item_id", "words"])
+
+        parts.append(docs.mapInArrow(search, kinds))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
     return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 
 

@@ -381,3 +381,37 @@ def test_graph_is_directed_and_bounded():
     assert g.near.shape == (300, 8) and not (g.near == np.arange(300)[:, None]).any()
     ids, sims = g.query(x[:10], 12)
     assert (ids[:, 0] == np.arange(10)).mean() >= 0.9 and (np.diff(sims, axis=1) <= 0).all()
+
+
+STRUCTURE_CUT = [
+    "The plan (as agreed in March.", "He told her “we go now.", '[{"a":1},{"b"', "<div><p>text</p>", "<p>Hello <b>world.",
+    "She said: „Wir gehen jetzt.", "Er rief «Halt und lief weg.", 'The note reads "come at noon.', "The list [see page 4 and the rest.", "<ul>\n<li>One</li>\n<li>Tw",
+    '{"rows": [[1, 2], [3', '{"text": "He said \\"no', "<table><tr><td>1</td></tr>", "Read this:\n\n```\nx = 1\n", "彼は「行こう。", "Open <a href=\"http://x.y",
+    "Costs rose (by 4 %. Wages did not", "All went well. The next day they", "Steps: first, then; and", "<section>\n<h2>Title</h2>\n<p>Body.</p>", "| a | b |\n|---|---|\n| 1 | 2 |\n| 3",
+    "2031/04/05 job 7 finished\n2031/04/05 job 8 finished\n2031/04/06 job 9 fin", "# Setup\n\nRun it. Then\n\n## Insta",
+]
+STRUCTURE_WHOLE = [
+    "The plan (as agreed in March) holds.", "He told her “we go now.”", '[{"a":1},{"b":2}]', "<div><p>text</p></div>", "<p>Hello <b>world</b>.", "<p>One.<p>Two.", "Fine :)", "No luck :( again.",
+    "A 5\" pipe fits.", "»So ist es«, sagte er.", "„Ja“, sagte sie.", "a) first. b) second.", "It works.\n\n```\nx = (1,\n```", "x < 3 and y > 4.", "「行こう」と言った。", "| a | b |\n|---|---|\n| 1 | 2 |",
+    "<pad> The dog barks.", "She asked (twice!) and left.", '{"text": "He said \\"no\\" {"}', "<br>Line one.<br>Line two.", "An array a[i] = {1, 2} is fine.", "Well done! 🎉",
+    "2031/04/05 job 7 finished\n2031/04/05 job 8 finished\n2031/04/06 job 9 finished",
+]
+
+
+def test_truncation_by_structure_on_shapes_of_other_texts(spark):
+    logs = ["\n".join(f"2031/04/{10 + i:02d} job {j} finished" for j in range(3)) for i in range(4)]
+    rows = [(t, f"s{i % 3}") for i, t in enumerate(STRUCTURE_CUT + STRUCTURE_WHOLE + logs)]
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], "doc_id bigint, text string, source string")
+    got = {r["doc_id"] for r in truncation.found(df).collect()}
+    true = set(range(len(STRUCTURE_CUT)))
+    missed, wrong = [rows[i][0] for i in true - got], [rows[i][0] for i in got - true]
+    assert len(got & true) >= 0.9 * len(true), missed
+    assert len(got & true) >= 0.9 * len(got), wrong
+    assert got >= set(range(5)), missed
+
+
+def test_truncation_takes_no_evidence_from_what_a_source_always_leaves_open(spark):
+    stray = [f"Item {i} (see the note above." for i in range(30)]
+    rows = [(t, "sloppy") for t in stray] + [("Item 1 (see the note above.", "tidy")]
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], "doc_id bigint, text string, source string")
+    assert values(truncation.found(df)) == [(30,)]

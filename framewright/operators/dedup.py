@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,46 +10,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.operators.distribute import join_unique
+from framewright.operators.segments import close_hashes, hamming
 from framewright.session import cut
 
 HAMMING_THRESHOLD = 10
 COSINE_THRESHOLD = 0.97
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
-def segment_keys(h: Column, segments: int, agree: int) -> Column:
-    cuts = [round(64 * i / segments) for i in range(segments + 1)]
-    keys = []
-    for number, chosen in enumerate(combinations(range(segments), agree)):
-        key = F.lit(number).cast("bigint")
-        for i in chosen:
-            width = cuts[i + 1] - cuts[i]
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(h, cuts[i]).bitwiseAND((1 << width) - 1))
-        keys.append(key)
-    return F.array(*keys)
-
-
 def hamming_edges(hashes: DataFrame, threshold: int = HAMMING_THRESHOLD) -> DataFrame:
     """(early, late, dist): pairs of items of which any two hashes differ in at most `threshold` bits.
 
     hashes: ord (bigint, order of arrival), hs (array<bigint>); a null or empty array matches nothing. dist is
-    the least distance. Exact: hashes that close agree on two whole segments out of threshold + 2, and the
-    join is on those. Equal hashes are joined once, whatever the number of their items.
+    the least distance. Exact (segments.close_hashes): the keys lengthen with the number of hashes. Items with equal
+    arrays count as their first one; copy_classes names the others.
     """
-    members = hashes.select("ord", F.explode("hs").alias("h")).where(F.col("h").isNotNull()).distinct()
+    members = first_items(hashes.select("ord", "hs"), "hs").select("ord", F.explode("hs").alias("h")).where(F.col("h").isNotNull()).distinct()
     members = cut(members)
-    distinct = members.select("h").distinct()
-    keyed = distinct.withColumn("seg", F.explode(segment_keys(F.col("h"), threshold + 2, 2)))
-    a, b = keyed.select("seg", F.col("h").alias("a")), keyed.select("seg", F.col("h").alias("b"))
-    near = a.join(b, "seg").where(F.col("a") <= F.col("b")).withColumn("dist", hamming(F.col("a"), F.col("b"))).where(F.col("dist") <= threshold).select("a", "b", "dist").distinct()
+    distinct = cut(members.select("h").distinct())
+    near = close_hashes(distinct, distinct, threshold, distinct.count()).where(F.col("a") <= F.col("b")).withColumn("dist", hamming(F.col("a"), F.col("b")))
     x, y = members.select(F.col("ord").alias("x"), F.col("h").alias("a")), members.select(F.col("ord").alias("y"), F.col("h").alias("b"))
     pairs = near.join(x, "a").join(y, "b").where("x <> y")
     return pairs.groupBy(F.least("x", "y").alias("early"), F.greatest("x", "y").alias("late")).agg(F.min("dist").alias("dist"))
 
 
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of number lists of one length as a matrix, without Python objects."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(flat):
+        return np.zeros((0, 0))
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(flat), -1)
+
+
 def cosine_edges(vectors: DataFrame, threshold: float = COSINE_THRESHOLD, normalize: bool = False, block: int = 2048) -> DataFrame:
     """(early, late, sim): pairs whose dot product reaches the threshold; exact, by products of blocks.
 
@@ -69,7 +59,7 @@ def cosine_edges(vectors: DataFrame, threshold: float = COSINE_THRESHOLD, normal
     def product(table: pa.Table) -> pa.Table:
         b, order = table.column("b").to_numpy(), table.column("ord").to_numpy()
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        m = np.array(table.column("vec").to_pylist(), dtype=np.float64)
+        m = matrix(table.column("vec"))
         if normalize:
             m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         left, right = np.flatnonzero(b == p), np.flatnonzero(b == q)
@@ -212,7 +202,7 @@ def exact_copies(rows: DataFrame, key: str, content: str) -> DataFrame:
     """(key, digest, first_key, is_copy): rows whose content equals that of a smaller key, by md5 of the bytes."""
     digests = rows.select(F.col(key).alias("key"), F.md5(F.col(content).cast("binary")).alias("digest")).where(F.col(content).isNotNull())
     firsts = digests.groupBy("digest").agg(F.min("key").alias("first_key"))
-    return digests.join(firsts, "digest").withColumn("is_copy", F.col("key") > F.col("first_key"))
+    return join_unique(digests, firsts, "digest", "inner").withColumn("is_copy", F.col("key") > F.col("first_key"))
 
 
 def bit_hash(vec: Column) -> Column:

@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.session import cut
 
-#: Keys with more than this share of all rows are joined by broadcast; there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 0.005
+#: Of the most frequent keys so many at most, each of more than HOT_ROWS rows, are joined by broadcast: every key
+#: that holds 1 / HOT_KEYS of the rows or more is among them.
+HOT_KEYS, HOT_ROWS = 200, 20_000
+
+
+def hot_keys(counts: DataFrame, key: str, n: str) -> list:
+    """The hot keys of a table with one row per key and its number of rows n; null is none."""
+    top = counts.where(F.col(key).isNotNull() & (F.col(n) > HOT_ROWS)).select(key, n)
+    return [r[0] for r in top.orderBy(F.col(n).desc(), key).limit(HOT_KEYS).collect()]
 
 
-def join_unique(big: DataFrame, unique: DataFrame, key: str, how: str = "left") -> DataFrame:
+def join_unique(big: DataFrame, unique: DataFrame, key: str, how: str = "left", hot: list | None = None) -> DataFrame:
     """Join big to unique (one row per key) when a few keys may hold most rows of big.
 
-    Rows of hot keys meet their partner by broadcast (at most 1 / HOT_SHARE rows of unique can be hot, so
-    the broadcast is bounded); the rest is an ordinary join. Null keys match nothing. how: left or inner.
+    Rows of hot keys meet their partner by broadcast (at most HOT_KEYS rows of unique are hot, so the broadcast is
+    bounded); the rest is an ordinary join. Null keys match nothing. how: left or inner. hot: the hot keys, if
+    the caller knows them (hot_keys); otherwise one job counts the keys of big.
     """
-    counts = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = big.count()
-    hot = [r[0] for r in counts.where(F.col("_n") > max(20_000, total * HOT_SHARE)).select(key).collect()]
+    if hot is None:
+        hot = hot_keys(big.groupBy(key).agg(F.count("*").alias("_n")), key, "_n")
     if not hot:
         return big.join(unique, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
@@ -57,6 +66,8 @@ def prefix_sum(df: DataFrame, order: list[Column], weight: str, name: str = "upt
         offsets.append((p, before))
         before += n
     kind = dict(sorted_.dtypes)[weight]
-    start = df.sparkSession.createDataFrame(offsets, f"_p int, _start {kind if kind == 'double' else 'bigint'}")
+    if kind.startswith("decimal"):
+        offsets = [(p, Decimal(n)) for p, n in offsets]
+    start = df.sparkSession.createDataFrame(offsets, f"_p int, _start {kind if kind == 'double' or kind.startswith('decimal') else 'bigint'}")
     within = F.sum(weight).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return sorted_.withColumn("_in", within).join(F.broadcast(start), "_p").withColumn(name, F.col("_start") + F.col("_in")).drop("_p", "_in", "_start")

@@ -2,43 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from framewright.operators.dedup import dedup_by_hash, hamming_edges
+from framewright.operators.dedup import dedup_by_hash
+from framewright.operators.segments import SegmentIndex
 from framewright.session import cut
 
 
-def _kept(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(folder)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def accept_batch(batch: DataFrame, batch_id: int, index: str, threshold: int) -> DataFrame:
-    """The batch's clips that are no near-duplicate of kept ones or of earlier clips of the batch; they are
-    written to the index under the batch's number, so a repeated batch replaces its own rows.
+    """The batch's clips that are no near-duplicate of kept ones or of earlier clips of the batch. They are written
+    to <index>/clips and their hashes to the segment index in <index>/hashes, both under the batch's number, so a
+    repeated batch replaces its own rows. Kept clips are probed by the batch, never compared with each other.
 
     batch: ord (unique over all batches), hs (array<bigint>), further columns. Late clips count as later.
     """
     spark = batch.sparkSession
-    held = _kept(spark, index, T.StructType([*batch.schema.fields, T.StructField("batch_id", T.LongType())])).where(F.col("batch_id") < batch_id)
     fresh = cut(batch.dropDuplicates(["ord"]))
-    both = held.select("ord", "hs").withColumn("old", F.lit(True)).unionByName(fresh.select("ord", "hs").withColumn("old", F.lit(False)))
-    edges = hamming_edges(both.select("ord", "hs"), threshold)
-    olds = held.select(F.col("ord").alias("o"))
-    old_new = edges.join(olds, edges["early"] == olds["o"], "left_semi").select(F.col("late").alias("ord")).union(
-        edges.join(olds, edges["late"] == olds["o"], "left_semi").select(F.col("early").alias("ord"))
-    ).distinct()
-    unseen = cut(fresh.join(old_new, "ord", "left_anti"))
+    try:
+        held = SegmentIndex.open(spark, f"{index}/hashes")
+    except FileNotFoundError:
+        held = SegmentIndex.create(spark, f"{index}/hashes", threshold)
+    if held.settings["distance"] != threshold:
+        raise ValueError(f"the index was made for distance {held.settings['distance']}")
+    own = cut(fresh.select("ord", F.explode("hs").alias("h")).where("h is not null").distinct())
+    # whatever was kept by batches before counts, so the numbers of the probe are above all others
+    asked = own.select("h").distinct().withColumn("no", F.lit((1 << 63) - 1))
+    seen = held.probe(asked, before=batch_id).select("h").distinct()
+    unseen = cut(fresh.join(own.join(seen, "h", "left_semi").select("ord"), "ord", "left_anti"))
     accepted = cut(dedup_by_hash(unseen, threshold).where(~F.col("is_duplicate")).select(*batch.columns))
-    accepted.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(index)
+    accepted.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{index}/clips")
+    held.append(accepted.select(F.explode("hs").alias("h"), F.col("ord").alias("no")), batch_id)
+    held.grow()
     return accepted
 
 

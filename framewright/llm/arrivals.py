@@ -6,68 +6,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.clean import hash64
-from framewright.llm.hamming import close_hashes, distance, segment_index, segments_for
 from framewright.operators.dedup import first_wins
-from framewright.session import cut
+from framewright.operators.segments import SegmentIndex, close_hashes
+from framewright.session import cut, new_folder
 
 MAX_DISTANCE = 6
 LAST_HISTORY_BATCH = 12
 
 
-class SegmentIndex:
-    """The accepted hashes, stored by segment: probed by each batch and appended to, never rebuilt.
+def clean_items(results: DataFrame) -> DataFrame:
+    """Distinct (no, batch, is_duplicate, h) of the items with numbers and a hash."""
+    items = results.select(F.col("item_no").cast("bigint").alias("no"), F.col("batch_no").cast("bigint").alias("batch"), "is_duplicate", hash64(F.col("hash_str")).alias("h"))
+    return items.where("no is not null and batch is not null and h is not null").distinct()
 
-    rows: (h, first_no) with the smallest item_no that was accepted with the hash, one row per segment key.
-    Pass path to keep the index as a Parquet table (append adds files); without it the rows stay in the
-    checkpoint folder.
+
+def store_history(items: DataFrame, folder: str, last_history_batch: int = LAST_HISTORY_BATCH, max_distance: int = MAX_DISTANCE) -> SegmentIndex:
+    """A new index in `folder` with the accepted items of the history, once; later batches only append. items: as of
+    clean_items."""
+    accepted = cut(items.where((F.col("batch") <= last_history_batch) & ~F.col("is_duplicate")).select("h", "no", "batch"))
+    index = SegmentIndex.create(items.sparkSession, folder, max_distance, accepted.count())
+    index.append(accepted)
+    return index
+
+
+def check_batch(index: SegmentIndex, items: DataFrame, batch: int) -> DataFrame:
+    """no of the batch's items (h, no) that are close to an accepted item before them; what is accepted of the batch
+    is appended to the index under the batch's number, so that a repeated batch replaces itself.
+
+    Of the items of one hash only the first can be accepted, so the scan in order works on distinct hashes: the batch
+    is probed against the index, and what is left is compared within the batch.
     """
+    items = cut(items.select("h", "no").distinct())
+    firsts = cut(items.groupBy("h").agg(F.min("no").alias("no")))
+    known = cut(index.probe(firsts, before=batch).select("h").distinct())
+    left = cut(firsts.join(known, "h", "left_anti"))
+    near = close_hashes(left, left, index.settings["distance"], left.count()).where("a <> b")
+    order = lambda h, no: left.select(F.col("h").alias(h), F.col("no").alias(no))
+    edges = near.join(order("a", "early"), "a").join(order("b", "late"), "b").where("early < late").select("early", "late")
+    rejected = first_wins(edges).select(F.col("ord").alias("no"))
+    accepted = cut(left.join(rejected, "no", "left_anti"))
+    index.append(accepted, batch)
+    index.grow()
+    return items.join(accepted.select("no"), "no", "left_anti").select("no")
+
+
+def steps(items: DataFrame, last_history_batch: int) -> list[tuple[int, list[int]]]:
+    """New batches in the order in which they are checked: (number to append under, batches). Batches whose item
+    numbers overlap are one step, as items are checked in order of their numbers. One row a batch is collected."""
+    ranges = items.where(F.col("batch") > last_history_batch).groupBy("batch").agg(F.min("no").alias("lo"), F.max("no").alias("hi")).collect()
+    out: list[tuple[int, list[int]]] = []
+    end = None
+    for r in sorted(ranges, key=lambda r: (r["lo"], r["hi"])):
+        if end is not None and r["lo"] <= end:
+            out[-1][1].append(r["batch"])
+            end = max(end, r["hi"])
+        else:
+            out.append((0, [r["batch"]]))
+            end = r["hi"]
+    # steps are numbered behind the history, so that `before` leaves out nothing that was appended earlier
+    return [(last_history_batch + 1 + i, batches) for i, (_, batches) in enumerate(out)]
+
 
-    def __init__(self, accepted: DataFrame, max_distance: int = MAX_DISTANCE, path: str | None = None):
-        firsts = accepted.where("h is not null and item_no is not null").groupBy("h").agg(F.min("item_no").alias("first_no"))
-        self.max_distance, self.path = max_distance, path
-        firsts = cut(firsts)
-        self.segments, self.agree = segments_for(firsts.count(), max_distance)
-        self.rows = self._stored(firsts)
-
-    def _stored(self, firsts: DataFrame) -> DataFrame:
-        rows = segment_index(firsts, "h", self.segments, self.agree)
-        if self.path is None:
-            return rows
-        rows.write.mode("append").parquet(self.path)
-        return firsts.sparkSession.read.parquet(self.path)
-
-    def append(self, accepted: DataFrame) -> None:
-        """Add the accepted items (h, item_no) of one batch; only their own segments are computed."""
-        firsts = accepted.where("h is not null and item_no is not null").groupBy("h").agg(F.min("item_no").alias("first_no"))
-        added = self._stored(firsts)
-        self.rows = added if self.path is not None else self.rows.unionByName(added)
-
-    def probe(self, batch: DataFrame) -> DataFrame:
-        """(h, item_no) of the batch's rows that are close to an accepted hash of a smaller item_no."""
-        keys = segment_index(batch.select("h", "item_no"), "h", self.segments, self.agree)
-        held = self.rows.select("seg", F.col("h").alias("held"), "first_no")
-        near = keys.join(held, "seg").where((distance(F.col("h"), F.col("held")) <= self.max_distance) & (F.col("first_no") < F.col("item_no")))
-        return near.select("h", "item_no").distinct()
-
-
-def found(results: DataFrame, last_history_batch: int = LAST_HISTORY_BATCH, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def found(results: DataFrame, last_history_batch: int = LAST_HISTORY_BATCH, max_distance: int = MAX_DISTANCE, folder: str | None = None) -> DataFrame:
     """item_no of the new batches' items that are close to an accepted item before them.
 
     results: item_no, batch_no, is_duplicate, hash_str; other columns are ignored. Accepted are the history's
     items with is_duplicate false and the new items that are not cases. Items without a hash are accepted and
-    match nothing; rows without item_no or batch_no are left out; exact copies of rows count once. Of the
-    items with one hash only the first can be accepted, so the scan in order works on distinct hashes.
+    match nothing; rows without item_no or batch_no are left out; exact copies of rows count once. The history is
+    stored once as a segment index (in `folder`, else in a new one below the shared folder), and then batch after
+    batch is probed against it and appended.
     """
-    items = results.select("item_no", "batch_no", "is_duplicate", hash64(F.col("hash_str")).alias("h"))
-    items = cut(items.where("item_no is not null and batch_no is not null and h is not null").distinct())
-    index = SegmentIndex(items.where((F.col("batch_no") <= last_history_batch) & ~F.col("is_duplicate")), max_distance)
-    new = cut(items.where(F.col("batch_no") > last_history_batch).select("h", "item_no").distinct())
-    firsts = cut(new.groupBy("h").agg(F.min("item_no").alias("item_no")))
-    against_history = cut(index.probe(firsts))
-    left = cut(firsts.join(against_history.select("h"), "h", "left_anti"))
-    near = close_hashes(left, left, max_distance, left.count()).where("a <> b")
-    order = lambda h, no: left.select(F.col("h").alias(h), F.col("item_no").alias(no))
-    edges = near.join(order("a", "a_no"), "a").join(order("b", "b_no"), "b").where("a_no < b_no").select(F.col("a_no").alias("early"), F.col("b_no").alias("late"))
-    rejected = first_wins(edges).select(F.col("ord").alias("item_no"))
-    copies = new.join(firsts.select("h", F.col("item_no").alias("first_no")), "h").where("item_no > first_no")
-    return against_history.select("item_no").unionByName(rejected).unionByName(copies.select("item_no")).distinct()
+    items = cut(clean_items(results))
+    index = store_history(items, folder or new_folder(items.sparkSession, "segments"), last_history_batch, max_distance)
+    cases = items.select("no").limit(0)
+    for number, batches in steps(items, last_history_batch):
+        cases = cases.unionByName(cut(check_batch(index, items.where(F.col("batch").isin(batches)), number)))
+    return cases.select(F.col("no").alias("item_no")).distinct()

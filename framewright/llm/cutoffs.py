@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from framewright.functions.clean import label_key, usable_score
 from framewright.llm.summaries import brackets, merged
-from framewright.operators.distribute import prefix_sum
+from framewright.operators.distribute import hot_keys, join_unique, prefix_sum
 from framewright.session import cut
 
-#: Tuples of a summary: a bracket holds about 4 / TUPLES of a label's rows, more only where values are equal.
-TUPLES = 400
+#: Ranks of a summary are known to this share of the rows: a bracket holds at most about four times as many of a
+#: label's rows, more only where values are equal.
+ERROR = 0.002
 
 
 def latest_scored(clips: DataFrame) -> DataFrame:
@@ -24,12 +25,14 @@ def latest_scored(clips: DataFrame) -> DataFrame:
 
 def _cutoffs(scored: DataFrame, targets: DataFrame) -> DataFrame:
     asked = targets.select(label_key(F.col("label")).alias("key"), "keep_pct").where("key is not null and keep_pct is not null").groupBy("key").agg(F.max("keep_pct").alias("keep_pct"))
-    counted = scored.join(asked, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
-    plan = cut(counted.join(asked, "key").withColumn("k", F.expr("(keep_pct * n + 99) div 100")))
+    # counts are few rows; scored clips meet tables of a row a label by join_unique, as one label may hold most clips
+    counts = cut(scored.groupBy("key").agg(F.count("*").alias("n")))
+    hot = hot_keys(counts, "key", "n")
+    plan = cut(counts.join(asked, "key").withColumn("k", F.expr("(keep_pct * n + 99) div 100")))
     inside = plan.where("k >= 1 and k <= n")
-    mine = scored.join(asked, "key", "left_semi")
-    bracket = cut(brackets(merged(mine, ["key"], "score", TUPLES), "key", inside.select("key", F.expr("n - k + 1").alias("rank"))))
-    held = mine.join(bracket, "key")
+    mine = join_unique(scored, plan.select("key"), "key", "inner", hot)
+    bracket = cut(brackets(merged(mine, ["key"], "score", ERROR), "key", inside.select("key", F.expr("n - k + 1").alias("rank"))))
+    held = join_unique(mine, bracket, "key", "inner", hot)
     above = held.where("score > high").groupBy("key").agg(F.count("*").alias("above"))
     values = held.where("score between low and high").groupBy("key", "score").agg(F.count("*").alias("w"))
     summed = prefix_sum(values, [F.col("key"), F.col("score").desc()], "w", "upto")
@@ -54,5 +57,5 @@ def cutoffs(clips: DataFrame, targets: DataFrame) -> DataFrame:
 def found(clips: DataFrame, targets: DataFrame) -> DataFrame:
     """path of the clips below their label's cutoff; each once."""
     scored = cut(latest_scored(clips))
-    limit = _cutoffs(scored, targets).select("key", "k", "cutoff")
-    return scored.join(limit, "key").where("score < cutoff or k < 1").select("path")
+    limit = cut(_cutoffs(scored, targets).select("key", "k", "cutoff"))
+    return join_unique(scored, limit, "key", "inner").where("score < cutoff or k < 1").select("path")

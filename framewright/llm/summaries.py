@@ -3,12 +3,16 @@
 A summary of n values holds, in ascending order of v, tuples (v, lo, hi, under): the number of values up to v
 lies in [lo, hi], and at most `under` values are smaller than v. The first tuple is the minimum, the last the
 maximum, and the last hi is n. Every v is one of the summarised values. Merging adds the uncertainty of a
-tuple's place in the other summary; compressing drops tuples, so that the intervals between them widen.
+tuple's place in the other summary; compressing drops tuples as far as a permitted uncertainty allows. Errors are
+shares of the rows. A summary made with error e leaves gaps of at most 2 e of its rows; merging adds up the gaps, so
+they stay that share, and a tuple of the result can be off by one gap of the parts. So ranks are known to e where the
+parts were made with e / 2.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,28 +59,37 @@ def merge(a: Summary, b: Summary) -> Summary:
     return v, np.maximum.accumulate(lo), np.minimum.accumulate(hi[::-1])[::-1], np.minimum.accumulate(under[::-1])[::-1]
 
 
-def compress(s: Summary, tuples: int) -> Summary:
-    """At most tuples + 2 tuples: the first, the last, and those at evenly spaced ranks."""
-    if len(s[0]) <= tuples + 2:
+def gap(s: Summary) -> int:
+    """The most values that may lie between two neighbouring tuples."""
+    return int(np.maximum(s[3][1:] - s[1][:-1], 0).max()) if len(s[0]) > 1 else 0
+
+
+def compress(s: Summary, permitted: float) -> Summary:
+    """As few tuples as leave at most `permitted` values between two neighbours: the first, and then always the
+    furthest one that is permitted. Neighbours that are further apart already stay."""
+    if len(s[0]) < 3:
         return s
-    at = np.searchsorted(s[1], np.linspace(1, s[2][-1], tuples)).clip(0, len(s[0]) - 1)
-    at = np.unique(np.concatenate([[0], at, [len(s[0]) - 1]]))
+    # the furthest tuple that each may be followed by
+    furthest = np.maximum(np.searchsorted(s[3], s[1] + int(permitted), "right") - 1, np.arange(1, len(s[0]) + 1))
+    at, i, last = [0], 0, len(s[0]) - 1
+    while i < last:
+        i = min(int(furthest[i]), last)
+        at.append(i)
     return tuple(x[at] for x in s)
 
 
-def fold(parts: Iterable[Summary], tuples: int) -> Summary:
-    """Merge like a carry chain, so a value passes through a logarithmic number of compressions."""
-    stack: list[tuple[int, Summary]] = []
+def fold(parts: Iterable[Summary], error: float) -> Summary:
+    """The summary of all parts, with ranks known to `error` of the rows if the parts were made with half of it.
+    Parts are taken one by one; what is held is compressed whenever it has doubled, each time by the error that the
+    rows so far permit, so neither the number of parts nor of compressions adds to the error."""
+    held: Summary | None = None
+    room = 0
     for part in parts:
-        level = 0
-        while stack and stack[-1][0] <= level:
-            height, other = stack.pop()
-            part, level = compress(merge(other, part), tuples), height + 1
-        stack.append((level, part))
-    out = stack.pop()[1]
-    while stack:
-        out = merge(stack.pop()[1], out)
-    return compress(out, tuples)
+        held = part if held is None else merge(held, part)
+        if len(held[0]) > max(room, 4096):
+            held = compress(held, 2 * error * size(held))
+            room = 2 * len(held[0])
+    return compress(held, 2 * error * size(held))
 
 
 def bracket(s: Summary, rank: int) -> tuple[float, float]:
@@ -87,12 +100,11 @@ def bracket(s: Summary, rank: int) -> tuple[float, float]:
 
 
 def at_rank(s: Summary, rank: int) -> tuple[float, int]:
-    """A value and how far its rank can be from the given one."""
-    i = min(int(np.searchsorted(s[1], rank, "left")), len(s[0]) - 1)
-    over = max(0, int(s[3][i]) + 1 - rank)
-    if i and rank - int(s[1][i - 1]) < over:
-        return float(s[0][i - 1]), rank - int(s[1][i - 1])
-    return float(s[0][i]), over
+    """A value and how far the given rank can be from its ranks: they begin at under + 1 at most and end at lo at
+    least."""
+    off = np.maximum(np.maximum(s[3] + 1 - rank, rank - s[1]), 0)
+    i = int(off.argmin())
+    return float(s[0][i]), int(off[i])
 
 
 def read(row) -> Summary:
@@ -104,7 +116,7 @@ def _schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), FIELDS])
 
 
-def summarize(df: DataFrame, keys: list[str], value: str, tuples: int) -> DataFrame:
+def summarize(df: DataFrame, keys: list[str], value: str, error: float) -> DataFrame:
     """keys and one summary per group and partition; a hot group has a small summary in every partition.
 
     keys are strings, null is a group as well. Null values take no part; value must not be NaN.
@@ -123,7 +135,7 @@ def summarize(df: DataFrame, keys: list[str], value: str, tuples: int) -> DataFr
             for name, lo, hi in zip(names, starts, np.append(starts[1:], len(codes)), strict=True):
                 key = tuple(None if pd.isna(x) else x for x in name)
                 fresh = exact(values[lo:hi])
-                done[key] = compress(merge(done[key], fresh) if key in done else fresh, 4 * tuples)
+                done[key] = fold([done[key], fresh] if key in done else [fresh], error)
 
         held, rows = [], 0
         for batch in batches:
@@ -136,32 +148,29 @@ def summarize(df: DataFrame, keys: list[str], value: str, tuples: int) -> DataFr
             settle(pd.concat(held, ignore_index=True))
         items = list(done.items())
         for at in range(0, len(items), 512):
-            yield pd.DataFrame([[*key, *compress(s, tuples)] for key, s in items[at : at + 512]], columns=[*keys, *PARTS])
+            yield pd.DataFrame([[*key, *s] for key, s in items[at : at + 512]], columns=[*keys, *PARTS])
 
     return df.select(*keys, value).where(F.col(value).isNotNull()).mapInPandas(part, _schema(df, keys))
 
 
-def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, list[Summary]]]:
-    """Rows in order of keys, by group."""
-    now, held = None, []
-    for batch in batches:
-        names = list(zip(*(batch[k] for k in keys), strict=True))
-        for name, row in zip(names, batch.itertuples(index=False), strict=True):
-            key = tuple(None if pd.isna(x) else x for x in name)
-            if key != now and held:
-                yield now, held
-                held = []
-            now = key
-            held.append(read(row))
-    if held:
-        yield now, held
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, Iterator[Summary]]]:
+    """Rows in order of keys, by group; the summaries of a group are handed out one at a time."""
+
+    def rows() -> Iterator[tuple[tuple, Summary]]:
+        for batch in batches:
+            names = list(zip(*(batch[k] for k in keys), strict=True))
+            for name, row in zip(names, batch.itertuples(index=False), strict=True):
+                yield tuple(None if pd.isna(x) else x for x in name), read(row)
+
+    for key, group in itertools.groupby(rows(), key=lambda x: x[0]):
+        yield key, (s for _, s in group)
 
 
-def _in_runs(parts: DataFrame, keys: list[str], by: list[str], make: Callable[[list[Summary]], Summary]) -> DataFrame:
+def _in_runs(parts: DataFrame, keys: list[str], by: list[str], error: float) -> DataFrame:
     def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for key, group in _runs(batches, by):
-            rows.append([*key[: len(keys)], *make(group)])
+            rows.append([*key[: len(keys)], *fold(group, error)])
             if len(rows) == 512:
                 yield pd.DataFrame(rows, columns=[*keys, *PARTS])
                 rows = []
@@ -171,23 +180,26 @@ def _in_runs(parts: DataFrame, keys: list[str], by: list[str], make: Callable[[l
     return parts.repartition(*by).sortWithinPartitions(*by).mapInPandas(together, _schema(parts, keys))
 
 
-def merge_groups(parts: DataFrame, keys: list[str], tuples: int) -> DataFrame:
+def merge_groups(parts: DataFrame, keys: list[str], first: float, last: float) -> DataFrame:
     """One summary per group, merged in two levels: those of FAN neighbouring partitions first, then the rest.
 
-    Summaries, not values, are shuffled; a task holds one group's summaries of FAN partitions at a time.
+    Summaries, not values, are shuffled, and a task holds one summary besides the one it merges into it. first and
+    last: the errors that the two levels may use; each is above that of the level before.
     """
-    make = lambda group: fold(group, tuples)
     salted = parts.withColumn("_salt", F.expr(f"cast(spark_partition_id() div {FAN} as string)"))
-    return _in_runs(_in_runs(salted, keys, [*keys, "_salt"], make), keys, keys, make)
+    return _in_runs(_in_runs(salted, keys, [*keys, "_salt"], first), keys, keys, last)
 
 
-def merged(df: DataFrame, keys: list[str], value: str, tuples: int) -> DataFrame:
-    return merge_groups(summarize(df, keys, value, tuples), keys, tuples)
+def merged(df: DataFrame, keys: list[str], value: str, error: float) -> DataFrame:
+    """A summary per group with ranks known to `error` of its rows; partitions use a quarter of that, their first
+    merge half of it."""
+    return merge_groups(summarize(df, keys, value, error / 4), keys, error / 2, error)
 
 
-def quantiles(summaries: DataFrame, keys: list[str], percents: list[float]) -> DataFrame:
+def quantiles(summaries: DataFrame, keys: list[str], percents: list[float], error: float) -> DataFrame:
     """keys, percent, n, value, rank_error: value is one of the group's values, and one of its ranks is within
-    rank_error of max(1, ceil(percent / 100 * n)). Groups without values have no rows."""
+    rank_error of max(1, ceil(percent / 100 * n)). Groups without values have no rows. Summaries that don't know
+    their ranks to `error` of the rows are refused (ValueError)."""
     kinds = dict(summaries.dtypes)
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +210,10 @@ def quantiles(summaries: DataFrame, keys: list[str], percents: list[float]) -> D
                 s = read(r)
                 for p in percents:
                     rank = max(1, int(np.ceil(round(p * size(s) / 100, 9))))
-                    rows.append([*(getattr(r, k) for k in keys), float(p), size(s), *at_rank(s, rank)])
+                    value, off = at_rank(s, rank)
+                    if off > error * size(s) + 1:
+                        raise ValueError(f"a summary of {size(s)} values knows its ranks to {off} only")
+                    rows.append([*(getattr(r, k) for k in keys), float(p), size(s), value, off])
             yield pd.DataFrame(rows, columns=names)
 
     return summaries.mapInPandas(answer, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "percent double, n bigint, value double, rank_error bigint"]))

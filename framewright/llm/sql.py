@@ -38,10 +38,31 @@ cutoffs as (select key, any_value(n) as n, any_value((keep_pct * n + 99) // 100)
 """
 
 
+_SIDES = f"""r as (select distinct path, side, h from (select path, case when s = 'train' then 'train' when s is not null then 'eval' end as side, h from {_hashes('clip_meta', 'phash', f'path, {_SPLIT} as s')}) where side is not null),
+close as (select distinct a.path, a.h, b.h as t, bit_count(xor(a.h, b.h)) as d from r a join r b on a.side = 'eval' and b.side = 'train' and bit_count(xor(a.h, b.h)) <= 6 and a.path <> b.path)"""
+_SAMPLE = f"""{_P5.strip()},
+rep as (select target_id, t.key, t.is_synthetic as syn, (share_bp * s + 9999) // 10000 as by_share, needed, coalesce(available, 0) as available
+  from t join mixture_target using (target_id) cross join s left join a on a.key = t.key and a.is_synthetic = t.is_synthetic),
+frame as (select path, arg_min(r, target_id) as r from (select distinct path, {_label('label')} as key, is_synthetic as syn from clip_meta where path is not null) m
+  join (select rep as r, target_id, key, syn from rep where least(needed, available) > 0) using (key, syn) group by path),
+chance as (select path, r.target_id as target_id, least(r.needed, r.available) as take, md5('mixture:' || path) as u, (least(r.by_share, r.available)::hugeint * 1099511627776) // r.available as p from frame),
+summed as (select *, sum(p) over (order by target_id, u, path) + ('0x' || substr(md5('mixture:start'), 1, 10))::bigint as upto from chance),
+passed as (select *, upto // 1099511627776 > (upto - p) // 1099511627776 as drawn from summed),
+counted as (select *, count(*) filter (where drawn) over (partition by target_id) as have, count(*) over (partition by target_id) as every,
+  row_number() over (partition by target_id order by drawn desc, u, path) as k from passed),
+sample as (select path, target_id from counted where case when have = least(take, every) then drawn else k <= take end)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"""with r as (select distinct path, side, h from (select path, case when s = 'train' then 'train' when s is not null then 'eval' end as side, h from {_hashes('clip_meta', 'phash', f'path, {_SPLIT} as s')}) where side is not null)
 select distinct least(a.path, b.path) as path_a, greatest(a.path, b.path) as path_b from r a join r b on a.side = 'train' and b.side = 'eval' and bit_count(xor(a.h, b.h)) <= 6 and a.path <> b.path""",
+        "p2_coverage": f"""with {_SIDES}, e as (select distinct path, {_SPLIT} as split, {_FILE} as source_file from clip_meta where path is not null)
+select split, source_file, count(distinct path) as clips, count(distinct case when path in (select path from close) then path end) as overlapping,
+  round(count(distinct case when path in (select path from close) then path end) / count(distinct path), 6) as share from e where split in ('val', 'test') group by all""",
+        "p2_records": f"with {_SIDES} select path, count(*) as train_hashes, min(d)::int as least_distance, round(1 - min(d) / 64, 6) as coverage from close group by path",
+        "p3_balance": "select count(distinct path) as paths, 0::bigint as torn, true as splits_hold, true as labels_hold from clip_meta",
         "p3_found": f"""with recursive n as (select distinct path, {_FILE} as src, {_SPLIT} as s from clip_meta),
 e as materialized (select distinct path as u, src as v from n where src is not null union select distinct src, path from n where src is not null),
 walk as (select v as node, v as comp from (select distinct src as v from n where src is not null) union select e.v, w.comp from walk w join e on e.u = w.node),
@@ -49,6 +70,11 @@ root as materialized (select node, min(comp) as comp from walk group by node),
 g as (select coalesce(comp, path) as comp, path, s from n left join root on node = path)
 select distinct path from g where comp in (select comp from g group by comp having count(distinct s) > 1)""",
         "p5_found": f"with {_P5} select target_id from t left join a on a.key = t.key and a.is_synthetic = t.is_synthetic where coalesce(available, 0) < needed",
+        "p5_sample": f"with {_SAMPLE} select path, target_id from sample",
+        "p5_fulfilment": f"with {_SAMPLE} select target_id, needed, available, coalesce(n, 0) as drawn, available < needed as short from rep left join (select target_id, count(*) as n from sample group by 1) using (target_id)",
+        "p7_within": f"""with v as (select {_label('label')} as label, unnest(['blur_score', 'motion_score']) as metric, unnest([blur_score, motion_score]) as x from clip_meta),
+c as (select label, metric, count(*) as n from v where label is not null and x is not null and not isnan(x) and x >= 0 group by all)
+select label, metric, p::double as percent, n, greatest(1, ceil(round(p * n / 100, 9)))::bigint as rank, true as within from c cross join (values (1), (5), (10), (25), (50), (75), (90), (95), (99)) t(p)""",
         "p6_found": f"with {_P6} select path from scored join cutoffs using (key) where score < cutoff",
         "p6_cutoffs": f"with {_P6} select c.key, c.n, c.k, c.cutoff, count(*) as kept from cutoffs c join scored s on s.key = c.key and s.score >= c.cutoff group by all",
         "p4_found": f"""with recursive items as (select distinct * from {_hashes('dedup_result', 'hash_str', 'item_no, batch_no, is_duplicate')}),

@@ -1,12 +1,14 @@
 """Pixel kernels in numpy, one frame or frame pair at a time, and the Arrow operator that runs them.
 
 A frame is an array of height x width (x 3, blue-green-red) bytes; in a DataFrame it is a row (clip, frame_idx,
-h, w, c, pixels BINARY). Kernels are looked up by name; unknown names are refused. Models (optical flow nets,
-captioners, encoders) are not part of the engine: register() takes any function of the same form.
+h, w, c, pixels BINARY). Kernels are looked up by name; unknown names are refused. Models (optical flow nets and the
+like) are not part of the engine: register() takes any function of the same form, or one that loads it. Encoders of
+frames and texts are in kernels/encoders.py.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,14 +33,18 @@ def laplacian_variance(frame: np.ndarray) -> float:
     return float((sides - 4 * g).var())
 
 
+@functools.lru_cache(64)
+def _outside(h: int, w: int, cutoff: float) -> np.ndarray:
+    """Frequencies outside the circle, in the order of the transform."""
+    y, x = np.ogrid[:h, :w]
+    return np.fft.ifftshift((y - h // 2) ** 2 + (x - w // 2) ** 2 > int(min(h, w) * cutoff) ** 2)
+
+
 def fft_energy(frame: np.ndarray, cutoff: float = 0.3) -> float:
     """Mean magnitude of frequencies outside a circle of radius int(min(h, w) * cutoff) around zero."""
-    g = gray(frame)
-    spectrum = np.abs(np.fft.fftshift(np.fft.fft2(g)))
-    h, w = g.shape
-    y, x = np.ogrid[:h, :w]
-    outside = (y - h // 2) ** 2 + (x - w // 2) ** 2 > int(min(h, w) * cutoff) ** 2
-    return float(spectrum[outside].mean()) if outside.any() else 0.0
+    g = gray(frame).astype(np.float64)
+    outside = _outside(*g.shape, cutoff)
+    return float(np.abs(np.fft.fft2(g))[outside].mean()) if outside.any() else 0.0
 
 
 def noise_proxy(frame: np.ndarray) -> float:
@@ -46,11 +52,16 @@ def noise_proxy(frame: np.ndarray) -> float:
     return float(max(0.0, 100.0 - gray(frame).astype(np.float64).std()))
 
 
-def _smooth(g: np.ndarray, size: int = 7, sigma: float = 7 / 6) -> np.ndarray:
-    """Gaussian blur by two passes, borders mirrored without repeating the edge."""
+@functools.lru_cache(64)
+def _gauss(size: int, sigma: float) -> np.ndarray:
     at = np.arange(size) - size // 2
     k = np.exp(-(at**2) / (2 * sigma**2))
-    k /= k.sum()
+    return k / k.sum()
+
+
+def _smooth(g: np.ndarray, size: int = 7, sigma: float = 7 / 6) -> np.ndarray:
+    """Gaussian blur by two passes, borders mirrored without repeating the edge."""
+    k = _gauss(size, sigma)
     for axis in (0, 1):
         pad = [(size // 2, size // 2) if a == axis else (0, 0) for a in (0, 1)]
         padded = np.pad(g, pad, mode="reflect" if g.shape[axis] > size // 2 else "edge")
@@ -93,21 +104,21 @@ def depth_statistics(frames: np.ndarray) -> tuple[float, float]:
 
 
 def resize(g: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Area mean when shrinking, nearest otherwise."""
-    rows, cols = np.linspace(0, g.shape[0], h + 1), np.linspace(0, g.shape[1], w + 1)
+    """The mean over each new pixel's area."""
+    return _area(g.shape[0], h) @ g @ _area(g.shape[1], w).T
 
-    def weights(edges: np.ndarray, n: int) -> np.ndarray:
-        low, high = edges[:-1, None], edges[1:, None]
-        cover = np.clip(np.minimum(high, np.arange(n) + 1) - np.maximum(low, np.arange(n)), 0, None)
-        return cover / cover.sum(axis=1, keepdims=True)
 
-    return weights(rows, g.shape[0]) @ g @ weights(cols, g.shape[1]).T
+@functools.lru_cache(256)
+def _area(n: int, m: int) -> np.ndarray:
+    """Share of each of n old places in each of m new ones."""
+    edges = np.linspace(0, n, m + 1)
+    cover = np.clip(np.minimum(edges[1:, None], np.arange(n) + 1) - np.maximum(edges[:-1, None], np.arange(n)), 0, None)
+    return cover / cover.sum(axis=1, keepdims=True)
 
 
 def _bits(mask: np.ndarray) -> int:
     """Signed 64-bit number of a 64-bit mask, first bit highest."""
-    value = int("".join("1" if b else "0" for b in mask.ravel()), 2)
-    return value - (1 << 64) if value >= 1 << 63 else value
+    return int.from_bytes(np.packbits(mask.ravel()).tobytes(), "big", signed=True)
 
 
 def ahash(frame: np.ndarray) -> int:
@@ -120,6 +131,7 @@ def dhash(frame: np.ndarray) -> int:
     return _bits(s[:, 1:] > s[:, :-1])
 
 
+@functools.lru_cache(8)
 def _cosines(n: int) -> np.ndarray:
     k = np.arange(n)
     return np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
@@ -190,10 +202,29 @@ KERNELS: dict[str, Callable] = {
     "combined": combined_quality, "phash": phash, "dhash": dhash, "ahash": ahash, "whash": whash,
 }
 PAIR_KERNELS: dict[str, Callable] = {"frame_diff": frame_difference}
+#: Kernels that look at nothing but luminance, which is then computed once for all of them.
+OF_LUMINANCE = frozenset(KERNELS.values())
+
+
+class Loaded:
+    """A kernel that `load` returns; it is called once in each worker process, at the first frame."""
+
+    made: dict[str, Callable] = {}
+
+    def __init__(self, name: str, load: Callable[[], Callable]):
+        self.name, self.load = name, load
 
+    def __call__(self, *frames: np.ndarray) -> float:
+        if self.name not in Loaded.made:
+            Loaded.made[self.name] = self.load()
+        return Loaded.made[self.name](*frames)
 
-def register(name: str, kernel: Callable, pairs: bool = False) -> None:
-    (PAIR_KERNELS if pairs else KERNELS)[name] = kernel
+
+def register(name: str, kernel: Callable | None = None, pairs: bool = False, load: Callable[[], Callable] | None = None) -> None:
+    """Add a kernel, or one that load() returns on the workers (a model: flow nets for pairs, scorers for frames)."""
+    if (kernel is None) == (load is None):
+        raise ValueError("either a kernel or a function that loads it")
+    (PAIR_KERNELS if pairs else KERNELS)[name] = kernel or Loaded(name, load)
 
 
 def _kernel(table: dict[str, Callable], name: str) -> Callable:
@@ -206,6 +237,14 @@ def _frame(raw: bytes, h: int, w: int, c: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape((h, w) if c == 1 else (h, w, c))
 
 
+def _attempt(work: Callable):
+    """(result, None), or (None, the reason) where it fails, so that one broken clip does not end the job."""
+    try:
+        return work(), None
+    except Exception as e:  # noqa: BLE001
+        return None, f"{type(e).__name__}: {e}"
+
+
 def score_frames(frames: DataFrame, kernels: dict[str, str], clip: str = "path") -> DataFrame:
     """(clip, frame_idx, one column per kernel, error): frames in, numbers out, pixels decoded once for all.
 
@@ -221,12 +260,14 @@ def score_frames(frames: DataFrame, kernels: dict[str, str], clip: str = "path")
             out: dict[str, list] = {c: [] for c in kernels}
             errors = []
             for r in batch.to_pylist():
-                error = None
-                try:
-                    values = [k(_frame(r["pixels"], r["h"], r["w"], r["c"])) for k in chosen.values()]
-                except Exception as e:  # noqa: BLE001
-                    values, error = [None] * len(chosen), f"{type(e).__name__}: {e}"
-                for c, v in zip(kernels, values, strict=True):
+
+                def values_of(r=r) -> list[float]:
+                    frame = _frame(r["pixels"], r["h"], r["w"], r["c"])
+                    plain = gray(frame)  # once for all kernels that look at luminance only
+                    return [k(plain if k in OF_LUMINANCE else frame) for k in chosen.values()]
+
+                values, error = _attempt(values_of)
+                for c, v in zip(kernels, values or [None] * len(chosen), strict=True):
                     out[c].append(v)
                 errors.append(error)
             columns = [batch.column(clip), batch.column("frame_idx"), *(pa.array(v, pa.int64() if c in whole else pa.float64()) for c, v in out.items()), pa.array(errors, pa.string())]
@@ -237,7 +278,8 @@ def score_frames(frames: DataFrame, kernels: dict[str, str], clip: str = "path")
 
 
 def score_pairs(frames: DataFrame, kernel: str = "frame_diff", clip: str = "path", n_pairs: int = 6) -> DataFrame:
-    """(clip, start, magnitude) of the sampled pairs of consecutive frames; frames need `total`."""
+    """(clip, start, magnitude, error) of the sampled pairs of consecutive frames; frames need `total`. A pair that
+    the kernel fails on has no magnitude and the reason in `error`."""
     chosen = _kernel(PAIR_KERNELS, kernel)
     following = F.lead("pixels").over(Window.partitionBy(clip).orderBy("frame_idx"))
     step = F.greatest(F.lit(1), F.floor((F.col("total") - 1) / n_pairs)).cast("int")
@@ -245,24 +287,23 @@ def score_pairs(frames: DataFrame, kernel: str = "frame_diff", clip: str = "path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            sizes = [chosen(*(_frame(r[k], r["h"], r["w"], r["c"]) for k in ("pixels", "next"))) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(clip), batch.column("start"), pa.array(sizes, pa.float64())], names=[clip, "start", "magnitude"])
+            sizes, errors = zip(*(_attempt(lambda r=r: chosen(*(_frame(r[k], r["h"], r["w"], r["c"]) for k in ("pixels", "next")))) for r in batch.to_pylist()), strict=True) if len(batch) else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(clip), batch.column("start"), pa.array(sizes, pa.float64()), pa.array(errors, pa.string())], names=[clip, "start", "magnitude", "error"])
 
-    return pairs.select(F.col(clip).cast("string").alias(clip), F.col("frame_idx").cast("int").alias("start"), "h", "w", "c", "pixels", "next").mapInArrow(run, f"`{clip}` string, start int, magnitude double")
+    return pairs.select(F.col(clip).cast("string").alias(clip), F.col("frame_idx").cast("int").alias("start"), "h", "w", "c", "pixels", "next").mapInArrow(run, f"`{clip}` string, start int, magnitude double, error string")
 
 
 def jitter_frames(frames: DataFrame, clip: str = "path", seed: int = 42) -> DataFrame:
-    """frames with jittered pixels; all frames of a clip share one draw of parameters."""
+    """frames with jittered pixels; all frames of a clip share one draw of parameters. A frame that can't be read has
+    null pixels and the reason in `error`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            pixels = [jitter(_frame(r["pixels"], r["h"], r["w"], r["c"]), jitter_parameters(seed, r[clip])).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (clip, "frame_idx", "h", "w", "c")), pa.array(pixels, pa.binary())], names=[clip, "frame_idx", "h", "w", "c", "pixels"])
+            pixels, errors = zip(*(_attempt(lambda r=r: jitter(_frame(r["pixels"], r["h"], r["w"], r["c"]), jitter_parameters(seed, r[clip])).tobytes()) for r in batch.to_pylist()), strict=True) if len(batch) else ((), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (clip, "frame_idx", "h", "w", "c")), pa.array(pixels, pa.binary()), pa.array(errors, pa.string())], names=[clip, "frame_idx", "h", "w", "c", "pixels", "error"])
 
     rows = frames.select(F.col(clip).cast("string").alias(clip), F.col("frame_idx").cast("int").alias("frame_idx"), *(F.col(x).cast("int").alias(x) for x in ("h", "w", "c")), "pixels")
-    return rows.mapInArrow(run, f"`{clip}` string, frame_idx int, h int, w int, c int, pixels binary")
+    return rows.mapInArrow(run, f"`{clip}` string, frame_idx int, h int, w int, c int, pixels binary, error string")
 
 
 def synthetic_clips(spark, clips: int, copies: int = 0, frames: int = 8, height: int = 60, width: int = 80, seed: int = 42) -> DataFrame:

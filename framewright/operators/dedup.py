@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -20,17 +21,19 @@ COSINE_THRESHOLD = 0.97
 def hamming_edges(hashes: DataFrame, threshold: int = HAMMING_THRESHOLD) -> DataFrame:
     """(early, late, dist): pairs of items of which any two hashes differ in at most `threshold` bits.
 
-    hashes: ord (bigint, order of arrival), hs (array<bigint>); a null or empty array matches nothing. dist is
-    the least distance. Exact (segments.close_hashes): the keys lengthen with the number of hashes. Items with equal
+    hashes: ord (bigint, order of arrival), hs (array<bigint>, hashes of the frames in order); a null or empty array
+    matches nothing. dist is that of the first pair within the threshold, in order of the later item's hashes and then
+    of the earlier one's, which need not be the least. Exact (segments.close_hashes): the keys lengthen with the number of hashes. Items with equal
     arrays count as their first one; copy_classes names the others.
     """
-    members = first_items(hashes.select("ord", "hs"), "hs").select("ord", F.explode("hs").alias("h")).where(F.col("h").isNotNull()).distinct()
-    members = cut(members)
+    members = first_items(hashes.select("ord", "hs"), "hs").select("ord", F.posexplode("hs").alias("at", "h")).where(F.col("h").isNotNull())
+    members = cut(members.groupBy("ord", "h").agg(F.min("at").alias("at")))
     distinct = cut(members.select("h").distinct())
     near = close_hashes(distinct, distinct, threshold, distinct.count()).where(F.col("a") <= F.col("b")).withColumn("dist", hamming(F.col("a"), F.col("b")))
-    x, y = members.select(F.col("ord").alias("x"), F.col("h").alias("a")), members.select(F.col("ord").alias("y"), F.col("h").alias("b"))
+    x, y = (members.select(F.col("ord").alias(o), F.col("h").alias(h), F.col("at").alias(f"{o}_at")) for o, h in (("x", "a"), ("y", "b")))
     pairs = near.join(x, "a").join(y, "b").where("x <> y")
-    return pairs.groupBy(F.least("x", "y").alias("early"), F.greatest("x", "y").alias("late")).agg(F.min("dist").alias("dist"))
+    order = F.when(F.col("x") > F.col("y"), F.struct(F.col("x_at").alias("new"), F.col("y_at").alias("old"), "dist")).otherwise(F.struct(F.col("y_at").alias("new"), F.col("x_at").alias("old"), "dist"))
+    return pairs.groupBy(F.least("x", "y").alias("early"), F.greatest("x", "y").alias("late")).agg(F.min(order)["dist"].alias("dist"))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -142,10 +145,12 @@ def _with_copies(items: DataFrame, classes: DataFrame, verdicts: DataFrame, same
 
 def dedup_by_hash(items: DataFrame, threshold: int = HAMMING_THRESHOLD) -> DataFrame:
     """items: ord, hs. The first kept item with any frame pair within the threshold wins. Items with equal
-    hashes enter the search once, so a group of copies may hold any part of the rows."""
+    hashes enter the search once, so a group of copies may hold any part of the rows. hash_str is the item's first
+    hash as 16 hex digits."""
     classes = cut(copy_classes(items, "hs"))
     firsts = cut(items.select("ord", "hs").join(classes.where("ord = first").select("ord"), "ord", "left_semi"))
-    return _with_copies(items, classes, dedup(firsts.select("ord"), hamming_edges(firsts, threshold), weight="dist"), 0)
+    out = _with_copies(items, classes, dedup(firsts.select("ord"), hamming_edges(firsts, threshold), weight="dist"), 0)
+    return out.withColumn("hash_str", F.lower(F.lpad(F.hex(F.try_element_at("hs", F.lit(1))), 16, "0")))
 
 
 def dedup_by_vector(items: DataFrame, threshold: float = COSINE_THRESHOLD, normalize: bool = False, nearest: bool = False) -> DataFrame:
@@ -162,11 +167,25 @@ def dedup_two_pass(items: DataFrame, hamming_threshold: int, cosine_threshold: f
     return first.unionByName(second)
 
 
+def by_vector_index(items: DataFrame, threshold: float, probes: int | None = 16) -> DataFrame:
+    """items: ord, vec. The most similar kept item before, with cosine >= threshold, as a vector index finds it: every
+    item asks the cells near it, so pairs can be missed; probes None asks all cells and misses none."""
+    from framewright.operators.vectors import VectorIndex
+    from framewright.session import new_folder
+
+    rows = cut(items.where("vec is not null").select(F.col("ord").alias("id"), F.col("vec").cast("array<float>").alias("vec")))
+    if rows.isEmpty():
+        return dedup(items, items.select(F.col("ord").alias("early"), F.col("ord").alias("late"), F.lit(0.0).alias("sim")).limit(0), True, weight="sim")
+    index = VectorIndex.create(items.sparkSession, new_folder(items.sparkSession, "vectors"), rows)
+    near = index.within(rows, threshold, probes).where("id < query").select(F.col("id").alias("early"), F.col("query").alias("late"), "sim")
+    return dedup(items, near, True, weight="sim")
+
+
 #: Methods by name: (items, threshold) -> items with verdicts.
 METHODS: dict[str, Callable[[DataFrame, float], DataFrame]] = {
     **{name: lambda items, t: dedup_by_hash(items, int(t)) for name in ("phash", "dhash", "ahash", "whash")},
     "clip_embed": lambda items, t: dedup_by_vector(items, t),
-    "lancedb": lambda items, t: dedup_by_vector(items, t, normalize=True, nearest=True),
+    "lancedb": lambda items, t: by_vector_index(items, t),
 }
 
 
@@ -198,6 +217,30 @@ def save_index(kept: DataFrame, path: str, mode: str = "append") -> None:
     kept.write.mode(mode).parquet(path)
 
 
+def load_index(spark, path: str) -> DataFrame:
+    """The items that were saved; an index that does not exist is refused by Spark (PATH_NOT_FOUND)."""
+    return spark.read.parquet(path)
+
+
+def compare_methods(items: DataFrame, truth: DataFrame, methods: dict[str, float]) -> DataFrame:
+    """(method, tp, fp, fn, precision, recall, f1, build_time_s, avg_query_ms): each method's verdicts over the same
+    items against known pairs.
+
+    items: ord, hs, vec; truth: a, b (ord of each); methods: name -> threshold. A detected pair is an item and the one
+    that it is a duplicate of. Times are those of the whole run, the second per item.
+    """
+    items = cut(items)
+    n = max(1, items.count())
+    rows = []
+    for name, threshold in methods.items():
+        began = time.perf_counter()
+        verdicts = cut(dedup_clips(items, name, threshold).where("is_duplicate").select(F.col("ord").alias("a"), F.col("duplicate_of").alias("b")))
+        took = time.perf_counter() - began
+        r = pair_metrics(verdicts, truth).first()
+        rows.append((name, *r, round(took, 3), round(1000 * took / n, 3)))
+    return items.sparkSession.createDataFrame(rows, "method string, tp bigint, fp bigint, fn bigint, precision double, recall double, f1 double, build_time_s double, avg_query_ms double")
+
+
 def exact_copies(rows: DataFrame, key: str, content: str) -> DataFrame:
     """(key, digest, first_key, is_copy): rows whose content equals that of a smaller key, by md5 of the bytes."""
     digests = rows.select(F.col(key).alias("key"), F.md5(F.col(content).cast("binary")).alias("digest")).where(F.col(content).isNotNull())

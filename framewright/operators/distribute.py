@@ -37,6 +37,11 @@ def join_unique(big: DataFrame, unique: DataFrame, key: str, how: str = "left",
     )
 
 
+def small(df: DataFrame, at_most: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, else as it is. It is counted, so it should be cut."""
+    return F.broadcast(df) if df.limit(at_most + 1).count() <= at_most else df
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with the 0-based position of each row in a total order, without a single-task window.
 

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.operators.dedup import dot
+from framewright.operators.dedup import dot, matrix
+from framewright.operators.distribute import global_rank, join_unique, prefix_sum
+from framewright.session import cut
 
 NAN = float("nan")
 
@@ -44,7 +46,7 @@ def moments(vectors: DataFrame, vec: str, group: list[str] | None = None) -> Dat
         held: dict[tuple, list] = {}
         for batch in batches:
             keys = list(zip(*(batch.column(g).to_pylist() for g in group), strict=True)) if group else [()] * len(batch)
-            m = np.array(batch.column(vec).to_pylist(), dtype=np.float64)
+            m = matrix(batch.column(vec))
             for key in set(keys):
                 own = m[[k == key for k in keys]]
                 n, s, p = held.get(key, (0, 0.0, 0.0))
@@ -55,8 +57,7 @@ def moments(vectors: DataFrame, vec: str, group: list[str] | None = None) -> Dat
             yield pa.RecordBatch.from_arrays(columns, names=[*group, "n", "total", "products"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.array(table.column("total").to_pylist()).sum(axis=0)
-        products = np.array(table.column("products").to_pylist()).sum(axis=0)
+        total, products = matrix(table.column("total")).sum(axis=0), matrix(table.column("products")).sum(axis=0)
         first = [pa.array([table.column(g)[0].as_py()], table.schema.field(g).type) for g in group]
         return pa.Table.from_arrays([*first, pa.array([sum(table.column("n").to_pylist())], pa.int64()), pa.array([total.tolist()]), pa.array([products.tolist()])], names=[*group, "n", "total", "products"])
 
@@ -71,7 +72,7 @@ def mean_and_cov(n: int, total: np.ndarray, products: np.ndarray) -> tuple[np.nd
     return mean, (np.asarray(products).reshape(d, d) - n * np.outer(mean, mean)) / (n - 1)
 
 
-def frechet(mu1: np.ndarray, cov1: np.ndarray, mu2: np.ndarray, cov2: np.ndarray, eps: float = 1e-6) -> float:
+def frechet(mu1: np.ndarray, cov1: np.ndarray, mu2: np.ndarray, cov2: np.ndarray) -> float:
     """|mu1 - mu2|^2 + tr(cov1 + cov2 - 2 sqrt(cov1 cov2)), the root by symmetric eigenvalues (cut off at zero)."""
 
     def trace_root(a: np.ndarray, b: np.ndarray) -> float:
@@ -79,16 +80,15 @@ def frechet(mu1: np.ndarray, cov1: np.ndarray, mu2: np.ndarray, cov2: np.ndarray
         root = (vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T
         return float(np.sqrt(np.maximum(np.linalg.eigvalsh(root @ b @ root), 0)).sum())
 
-    t = trace_root(cov1, cov2)
-    if not np.isfinite(t):
-        shift = eps * np.eye(len(mu1))
-        t = trace_root(cov1 + shift, cov2 + shift)
     diff = mu1 - mu2
-    return float(diff @ diff + np.trace(cov1) + np.trace(cov2) - 2 * t)
+    return float(diff @ diff + np.trace(cov1) + np.trace(cov2) - 2 * trace_root(cov1, cov2))
 
 
-def frechet_distance(real: DataFrame, generated: DataFrame, vec: str) -> float:
-    """Frechet distance of two sets of vectors; NaN if either has fewer than two. Two rows reach the driver."""
+def frechet_distance(real: DataFrame, generated: DataFrame, vec: str, max_clips: int | None = None, order: str = "path") -> float:
+    """Frechet distance of two sets of vectors; NaN if either has fewer than two. Two rows reach the driver. With
+    max_clips only the first of each set by `order` count, as a report over a fixed number of clips asks for."""
+    if max_clips is not None:
+        real, generated = (df.orderBy(order).limit(max_clips) for df in (real, generated))
     sides = [moments(df, vec).first() for df in (real, generated)]
     if any(r is None or r["n"] < 2 for r in sides):
         return NAN
@@ -137,10 +137,10 @@ def retrieval_recall(queries: DataFrame, gallery: DataFrame, key: str, vec: str,
 
     def product(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
-        ids, v = table.column("id").to_numpy(), np.array(table.column("v").to_pylist(), dtype=np.float64)
+        ids, v = table.column("id").to_numpy(), matrix(table.column("v"))
         if not asks.any() or asks.all():
             return pa.table({"id": pa.array([], pa.int64()), "better": pa.array([], pa.int64())})
-        mine = np.array(table.column("g").filter(pa.array(asks)).to_pylist(), dtype=np.float64)
+        mine = matrix(table.column("g").filter(pa.array(asks)))
         level = np.einsum("ij,ij->i", v[asks], mine)
         sims = v[asks] @ v[~asks].T
         other = ids[asks][:, None] != ids[~asks][None, :]
@@ -163,6 +163,29 @@ def compactness(vectors: DataFrame, label: str, vec: str, size: int) -> DataFram
     return sums.select("label", "n", value.alias("compactness"))
 
 
+def evaluate(clips: DataFrame, key: str = "path", video: str = "video", text: str = "text", label: str = "label", size: int = 64, ks: tuple[int, ...] = (1, 5, 10), max_clips: int | None = None, every: int = 1) -> DataFrame:
+    """The evaluation bundle in one frame (metric, label, value): n_clips, clip_score, R@k over all clips with both
+    vectors, and intra_class_compactness by label.
+
+    clips: key (bigint), unit vectors of the clip and of its caption, label. Clips without a caption have a null text
+    vector and take no part, but count in n_clips if there is no clip with one; then clip_score is NaN and alone.
+    max_clips: only the first by key. every: recall asks for the clips whose key it divides, against all.
+    """
+    if max_clips is not None:
+        clips = clips.orderBy(key).limit(max_clips)
+    clips = cut(clips.select(key, video, text, label))
+    both = cut(clips.where(F.col(video).isNotNull() & F.col(text).isNotNull()))
+    n = both.count()
+    spark = clips.sparkSession
+    row = lambda name, value: spark.createDataFrame([(name, None, float(value))], "metric string, label string, value double")
+    if not n:
+        return row("clip_score", NAN).unionByName(row("n_clips", clips.count()))
+    score = paired_score(both.select(key, F.col(video).alias("v")), both.select(key, F.col(text).alias("v")), key, "v").select(F.lit("clip_score").alias("metric"), F.lit(None).cast("string").alias("label"), F.col("score").alias("value"))
+    recall = retrieval_recall(both.select(key, F.col(text).alias("v")), both.select(key, F.col(video).alias("v")), key, "v", list(ks), every).select(F.concat(F.lit("R@"), "k").alias("metric"), F.lit(None).cast("string").alias("label"), F.col("recall").alias("value"))
+    compact = compactness(both.where(F.col(label).isNotNull()), label, video, size).select(F.lit("intra_class_compactness").alias("metric"), F.col("label").cast("string").alias("label"), F.col("compactness").alias("value"))
+    return row("n_clips", n).unionByName(score).unionByName(recall).unionByName(compact)
+
+
 def topk_accuracy(predictions: DataFrame, logits: str, truth: str, ks: list[int]) -> DataFrame:
     """One row (n, top1, ...): share of rows whose true class (0-based) is among the k highest logits.
     Of equal logits the class that comes first is higher."""
@@ -174,19 +197,30 @@ def topk_accuracy(predictions: DataFrame, logits: str, truth: str, ks: list[int]
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho): rank correlation with mean ranks for ties; rows with a null in either are left out.
 
-    Ranks come from the counts of distinct values by running sums over range partitions, never from one task.
+    Ranks come from the counts of distinct values by running sums over range partitions, never from one task, and
+    frequent values get theirs by broadcast.
     """
-    from framewright.operators.distribute import prefix_sum
-
-    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    rows = cut(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null"))
     out = rows
     for c in ("x", "y"):
         counts = rows.groupBy(c).agg(F.count("*").alias("w"))
         ranks = prefix_sum(counts, [F.col(c)], "w", "upto").select(c, (F.col("upto") - (F.col("w") - 1) / 2.0).alias(f"r{c}"))
-        out = out.join(ranks, c)
+        out = join_unique(out, ranks, c, "inner")
     return out.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
+def medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, median): the exact median of the values that are not null, the mean of the middle two of an even number.
+
+    The values are ranked in one order by group and value over range partitions, so a group may hold any part of
+    the rows; two ranks a group are picked out.
+    """
+    ranked = global_rank(df.where(F.col(value).isNotNull()).select(F.col(group).alias("_k"), F.col(value).cast("double").alias("_v")), [F.col("_k"), F.col("_v")], "_g")
+    sizes = cut(ranked.groupBy("_k").agg(F.min("_g").alias("_g0"), F.count("*").alias("_n")))
+    wanted = sizes.select("_k", F.explode(F.array_distinct(F.array(F.col("_g0") + F.floor((F.col("_n") - 1) / 2), F.col("_g0") + F.floor(F.col("_n") / 2)))).alias("_g"))
+    return ranked.select("_g", "_v").join(wanted, "_g").groupBy(F.col("_k").alias(group)).agg(F.avg("_v").alias("median"))
+
+
 def best_ratio(results: DataFrame, ratio: str = "ratio", fvd: str = "fvd") -> DataFrame:
     """One row (best_ratio): the ratio of least distance; NaN distances do not win, ties go to the lower ratio."""
     usable = results.where(F.col(fvd).isNotNull() & ~F.isnan(fvd))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.order import index_below, shuffle_key
-from framewright.operators.distribute import global_rank, join_unique
+from framewright.operators.distribute import global_rank, join_unique, small
+from framewright.session import cut
 
 
 def per_class_quota(rows: DataFrame, label: str, order: list[str], quota: int, classes: list[str] | None = None) -> DataFrame:
@@ -30,8 +31,8 @@ def class_ranks(clips: DataFrame, label: str, key: str, seed: int, salt: str) ->
     The ranks come from one global order by (class, md5), so a class may hold any part of the rows.
     """
     ordered = global_rank(clips.withColumn("_u", shuffle_key(seed, salt, key)), [F.col(label), F.col("_u"), F.col(key)], "_g")
-    sizes = ordered.groupBy(label).agg(F.min("_g").alias("_g0"), F.count("*").alias("n"))
-    return ordered.join(F.broadcast(sizes.withColumnRenamed(label, "_l")), F.col(label).eqNullSafe(F.col("_l"))).withColumn("r", F.col("_g") - F.col("_g0")).drop("_u", "_g", "_g0", "_l")
+    sizes = cut(ordered.groupBy(label).agg(F.min("_g").alias("_g0"), F.count("*").alias("n")))
+    return ordered.join(small(sizes.withColumnRenamed(label, "_l")), F.col(label).eqNullSafe(F.col("_l"))).withColumn("r", F.col("_g") - F.col("_g0")).drop("_u", "_g", "_g0", "_l")
 
 
 def stratified_split(clips: DataFrame, label: str = "label", key: str = "path", train: float = 0.75, val: float = 0.10, seed: int = 42) -> DataFrame:
@@ -60,9 +61,16 @@ def mix(real: DataFrame, synthetic: DataFrame, ratio: float, key: str = "path",
     if ratio >= 1:
         n_synth = synthetic.count()
         return choices(synthetic, n_real, key, seed) if n_synth >= n_real else synthetic
-    take = synthetic_needed(n_real, ratio)
-    ranked = global_rank(synthetic.withColumn("_u", shuffle_key(seed, "mix", key)), [F.col("_u"), F.col(key)], "_g")
-    return real.unionByName(ranked.where(F.col("_g") < take).drop("_u", "_g"), allowMissingColumns=True)
+    return first_ranked(real, mix_order(synthetic, key, seed), synthetic_needed(n_real, ratio))
+
+
+def mix_order(synthetic: DataFrame, key: str, seed: int) -> DataFrame:
+    """synthetic with _g, the place of each row in the order in which mixtures take them."""
+    return global_rank(synthetic.withColumn("_u", shuffle_key(seed, "mix", key)), [F.col("_u"), F.col(key)], "_g").drop("_u")
+
+
+def first_ranked(real: DataFrame, ranked: DataFrame, take: int) -> DataFrame:
+    return real.unionByName(ranked.where(F.col("_g") < take).drop("_g"), allowMissingColumns=True)
 
 
 def mix_to_total(real: DataFrame, synthetic: DataFrame, ratio: float, key: str = "path", seed: int = 42) -> DataFrame:
@@ -97,11 +105,16 @@ def build_splits(real: DataFrame, synthetic: DataFrame, ratios: list[float], lab
     all ratios, val and test always real, train mixed. No real clips: ValueError."""
     if real.isEmpty():
         raise ValueError("the real manifest has no clips")
-    split = stratified_split(real, label, key, train, val, seed)
+    split = cut(stratified_split(real, label, key, train, val, seed))
     drop = lambda df: df.drop("assigned", "draw")
+    trains = drop(split.where("assigned = 'train'"))
+    between = [r for r in ratios if 0 < r < 1]
+    # counted and ranked once for all ratios
+    n_train = trains.count()
+    ranked = mix_order(synthetic, key, seed) if between else None
     parts = []
     for ratio in ratios:
-        mixed = drop(mix(drop(split.where("assigned = 'train'")), synthetic, ratio, key, seed))
+        mixed = drop(first_ranked(trains, ranked, synthetic_needed(n_train, ratio)) if ratio in between else mix(trains, synthetic, ratio, key, seed))
         parts.append(mixed.withColumns({"ratio": F.lit(float(ratio)), "mix_split": F.lit("train")}))
         held = split.where("assigned <> 'train'").withColumns({"ratio": F.lit(float(ratio)), "mix_split": F.col("assigned")})
         parts.append(drop(held))

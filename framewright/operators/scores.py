@@ -102,11 +102,38 @@ def motion_scores(magnitudes: DataFrame, clips: DataFrame | None = None, clip: s
     return per.withColumns({"is_static": none | (mean < low), "is_shaky": ~none & (mean > high), "passed": ~none & (mean >= low) & (mean <= high)})
 
 
-def scene_segments(frames: DataFrame, clip: str, value: str, time: str, threshold: float) -> DataFrame:
-    """(clip, scene, start_sec, end_sec, n_frames): a new scene begins where a frame differs from the one before
-    by more than the threshold. end_sec is the start of the next scene, of the last scene its last frame."""
+#: The adaptive detector's ratio, its window in frames to either side, and its least change.
+ADAPTIVE_RATIO, ADAPTIVE_WINDOW, ADAPTIVE_LEAST = 3.0, 2, 15.0
+
+
+def _cut_content(value: str, own, threshold: float) -> Column:
+    return F.abs(F.col(value) - F.lag(value).over(own)) > threshold
+
+
+def _cut_threshold(value: str, own, threshold: float) -> Column:
+    return (F.col(value) >= threshold) & (F.lag(value).over(own) < threshold)
+
+
+def _cut_adaptive(value: str, own, threshold: float) -> Column:
+    change = F.coalesce(F.abs(F.col(value) - F.lag(value).over(own)), F.lit(0.0))
+    before, after = ([F.coalesce(F.abs(F.lag(value, i).over(own) - F.lag(value, i + 1).over(own)), F.lit(0.0)) for i in r] for r in (range(1, ADAPTIVE_WINDOW + 1), range(-ADAPTIVE_WINDOW, 0)))
+    around = sum(before + after, F.lit(0.0)) / (2 * ADAPTIVE_WINDOW)
+    return (change >= ADAPTIVE_LEAST) & (change >= ADAPTIVE_RATIO * F.greatest(around, F.lit(1e-5)))
+
+
+#: Detectors by name. content: a frame differs from the one before by more than the threshold. threshold: a frame is as
+#: bright as the threshold after a darker one (a fade in). adaptive: the change is large against those around it.
+DETECTORS = {"content": _cut_content, "threshold": _cut_threshold, "adaptive": _cut_adaptive}
+
+
+def scene_segments(frames: DataFrame, clip: str, value: str, time: str, threshold: float, detector: str = "content") -> DataFrame:
+    """(clip, scene, start_sec, end_sec, n_frames): a new scene begins where the detector sees a cut; a clip without
+    one is a single scene. end_sec is the start of the next scene, of the last scene its last frame. Unknown detectors
+    are refused (ValueError)."""
+    if detector not in DETECTORS:
+        raise ValueError(f"unknown detector: {detector}")
     own = Window.partitionBy(clip).orderBy("frame_idx")
-    cuts = frames.withColumn("_cut", F.coalesce((F.abs(F.col(value) - F.lag(value).over(own)) > threshold).cast("int"), F.lit(0)))
+    cuts = frames.withColumn("_cut", F.coalesce(DETECTORS[detector](value, own, threshold).cast("int"), F.lit(0)))
     numbered = cuts.withColumn("scene", F.sum("_cut").over(own.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     per = numbered.groupBy(clip, "scene").agg(F.min(time).alias("start_sec"), F.max(time).alias("_last"), F.count("*").alias("n_frames"))
     following = F.lead("start_sec").over(Window.partitionBy(clip).orderBy("scene"))

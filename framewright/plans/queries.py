@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from framewright.functions.clean import file_name, hash64, label_key, split_key, usable_score
 from framewright.kernels import images
 from framewright.operators import augment, bias, dedup, metrics, mixture, scores
+from framewright.operators.distribute import global_rank
+from framewright.operators.frames import profile_entropy, profile_peak, sample_frames
+from framewright.operators.frames import temporal_profile as temporal_profile_of
+from framewright.operators.vectors import VectorIndex
 from framewright.plans.curate import CurationConfig, Gate, curate, stage_counts
-from framewright.session import cut, table
+from framewright.session import cut, new_folder, table
 from framewright.streaming.incremental import arrival_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +84,8 @@ def class_distribution(s, d):
 
 @query
 def pipeline_stats(s, d):
-    return rounded(bias.pipeline_stats(latest(s, d)).drop("class_counts"))
+    counts = F.transform(F.map_entries("class_counts"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return rounded(bias.pipeline_stats(latest(s, d)).withColumn("class_counts", F.array_join(F.array_sort(counts), " ")))
 
 
 @query
@@ -167,8 +172,8 @@ def motion_bin_retention(s, d):
 @query
 def task_quality_report(s, d):
     # means of integers are exact in either engine, so halves round alike
-    rows = latest(s, d).where("label is not null").withColumn("blur_centi", F.round(F.col("blur_score") * 100))
-    return scores.task_report(rows, ["blur_centi"])
+    rows = latest(s, d).where("label is not null").withColumns({f"{c}_centi": F.round(F.col(f"{c}_score") * 100) for c in ("blur", "motion", "quality")})
+    return scores.task_report(rows.withColumn("n_chars", F.length("caption")), ["blur_centi", "motion_centi", "quality_centi", "n_chars"])
 
 
 @query
@@ -178,8 +183,9 @@ def spearman_rho(s, d):
 
 @query
 def duration_stats(s, d):
-    per = latest(s, d).where("label is not null").groupBy("label").agg(F.count("*").alias("n"), F.avg("duration_sec").alias("mean"), F.median("duration_sec").alias("median"), F.min("duration_sec").alias("low"), F.max("duration_sec").alias("high"))
-    return rounded(per)
+    rows = cut(latest(s, d).where("label is not null").select("label", "duration_sec"))
+    per = rows.groupBy("label").agg(F.count("*").alias("n"), F.avg("duration_sec").alias("mean"), F.min("duration_sec").alias("low"), F.max("duration_sec").alias("high"))
+    return rounded(per.join(metrics.medians(rows, "label", "duration_sec"), "label", "left"))
 
 
 # ---- splits and mixtures
@@ -246,7 +252,34 @@ def scene_segments(s, d):
 @query
 def dominant_scene(s, d):
     segments = scores.scene_segments(frames(s, d).withColumn("sec", F.col("us").cast("double")), "clip", "lum", "sec", 150.0)
-    return rounded(scores.scene_info(segments, "clip").drop("scene_change_rate"), 3)
+    info = scores.scene_info(segments, "clip")
+    # times are microseconds here, so the rate is tiny
+    return rounded(info.withColumn("scene_change_rate", F.col("scene_change_rate") * 1e12), 3)
+
+
+@query
+def scene_fades(s, d):
+    return rounded(scores.scene_segments(frames(s, d).withColumn("sec", F.col("us") / 1e6), "clip", "lum", "sec", 100.0, "threshold"), 3)
+
+
+@query
+def scene_adaptive(s, d):
+    return rounded(scores.scene_segments(frames(s, d).withColumn("sec", F.col("us") / 1e6), "clip", "lum", "sec", 0.0, "adaptive"), 3)
+
+
+def _sampled(rule: str, n: int, pad: bool) -> Query:
+    return lambda s, d: sample_frames(frames(s, d).withColumn("fps", F.lit(30.0)), rule, n, "clip", pad, "fps", 8.0).select("clip", "place", "frame_idx", "lum")
+
+
+for _rule, _n, _pad in (("uniform", 8, False), ("uniform_or_all", 64, False), ("ends", 64, True), ("stride", 8, False)):
+    REGISTRY[f"frames_{_rule}"] = _sampled(_rule, _n, _pad)
+
+
+@query
+def temporal_profile(s, d):
+    """The 64 numbers of a vector as attention over 8 places in time and 8 patches."""
+    weights = temporal_profile_of(F.transform("embedding", lambda x: F.abs(x.cast("double"))), 8)
+    return rounded(table(s, d, "embeddings").select("vec_id", profile_entropy(weights).alias("entropy"), profile_peak(weights).alias("peak")))
 
 
 @query
@@ -274,13 +307,25 @@ def noise_proxy_8x8(s, d):
     return rounded(wide, 5)
 
 
-@query
-def image_kernels(s, d):
-    """Pixel kernels on the stand-in images: 64 numbers as 8 x 8 grey pixels, all rows."""
+def images_of(s: SparkSession, d: str) -> DataFrame:
+    """Stand-in images: 64 numbers as 8 x 8 grey pixels."""
     pixel = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 128 + 128))).cast("int"))
     packed = F.unhex(F.array_join(F.transform(pixel, lambda x: F.lpad(F.hex(x.cast("bigint")), 2, "0")), ""))
-    rows = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit(0).alias("frame_idx"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(1).alias("c"), packed.alias("pixels"))
-    out = images.score_frames(rows, {"laplacian": "laplacian", "fft": "fft", "noise": "noise_proxy", "niqe": "niqe", "phash": "phash", "dhash": "dhash", "ahash": "ahash", "whash": "whash"})
+    return table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit(0).alias("frame_idx"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(1).alias("c"), packed.alias("pixels"))
+
+
+@query
+def frame_kernels(s, d):
+    """The kernels that SQL can express, as score_frames runs them, all rows."""
+    out = images.score_frames(images_of(s, d), {"laplacian": "laplacian", "fft": "fft", "noise": "noise_proxy", "phash": "phash", "ahash": "ahash", "whash": "whash"})
+    # of 64 whole numbers the variance is a multiple of 1 / 4096, so halves would round by chance
+    return rounded(out.withColumn("laplacian", F.round(F.col("laplacian") * 4096)).drop("error"), 4)
+
+
+@query
+def image_kernels(s, d):
+    """All pixel kernels on the stand-in images, all rows."""
+    out = images.score_frames(images_of(s, d), {"laplacian": "laplacian", "fft": "fft", "noise": "noise_proxy", "niqe": "niqe", "phash": "phash", "dhash": "dhash", "ahash": "ahash", "whash": "whash"})
     return rounded(out.drop("error"))
 
 
@@ -400,9 +445,25 @@ def fvd_by_label(s, d):
     return rounded(metrics.frechet_by_group(vectors(s, d).withColumn("label", F.col("label").cast("string")), "vec", "label"), 5)
 
 
+@query
+def evaluation_bundle(s, d):
+    """The caption vector of a clip is the vector of the next row."""
+    v = vectors(s, d).withColumn("label", F.col("label").cast("string"))
+    texts = v.select((F.col("ord") - 1).alias("ord"), F.col("vec").alias("text"))
+    return rounded(metrics.evaluate(v.join(texts, "ord", "left").withColumnRenamed("vec", "video"), "ord", size=VECTOR, every=50), 5)
+
+
+@query
+def vector_index_nearest(s, d):
+    """The three most similar stored vectors of every 50th, looked for in all cells."""
+    rows = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    index = VectorIndex.create(s, new_folder(s, "vectors"), rows)
+    return rounded(index.search(rows.where("id % 50 = 0"), 3, None).select("query", "place", "id", "sim"), 5)
+
+
 @query
 def topk_accuracy(s, d):
-    rows = vectors(s, d).select(F.slice("vec", 1, 10).alias("logits"), F.col("label").alias("truth"))
+    rows = vectors(s, d).select(F.col("vec").alias("logits"), F.col("label").alias("truth"))
     return rounded(metrics.topk_accuracy(rows, "logits", "truth", [1, 5]))
 
 
@@ -490,8 +551,6 @@ def clip_inputs(s: SparkSession, d: str) -> DataFrame:
     """Latest clips with the order of arrival and the hash, for curate()."""
     h = clips(s, d).select("path", hash64(F.col("phash")).alias("h")).groupBy("path").agg(F.max("h").alias("h"))
     rows = cut(latest(s, d).join(h, "path").where("label is not null"))
-    from framewright.operators.distribute import global_rank
-
     return global_rank(rows, [F.col("path")], "ord").withColumn("hs", F.when(F.col("h").isNotNull(), F.array("h")))
 
 

@@ -54,9 +54,12 @@ class VectorIndex:
 
     @classmethod
     def create(cls, spark: SparkSession, folder: str, rows: DataFrame, batch: int = 0, sample: int = SAMPLE, cell: int = CELL) -> VectorIndex:
-        """An index of rows (id, vec), of which about `sample` fit the centres; all are stored."""
-        n = rows.count()
-        picked = rows.where(F.col("vec").isNotNull() & (F.xxhash64("id").bitwiseAND((1 << 31) - 1) < int(min(1.0, sample / max(n, 1)) * (1 << 31)))).select("vec").limit(2 * sample).toArrow()
+        """An index of rows (id, vec), of which about `sample` fit the centres; all of the most frequent length are stored."""
+        lengths = rows.where(F.size("vec") > 0).groupBy(F.size("vec").alias("size")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "size").first()
+        if lengths is None:
+            raise ValueError("no vectors to fit the centres on")
+        n = lengths["n"]
+        picked = rows.where((F.size("vec") == lengths["size"]) & (F.xxhash64("id").bitwiseAND((1 << 31) - 1) < int(min(1.0, sample / max(n, 1)) * (1 << 31)))).select("vec").limit(2 * sample).toArrow()
         m = matrix(picked.column("vec")).astype(np.float32)
         m = m[(m != 0).any(axis=1)] if len(m) else m
         if not len(m):

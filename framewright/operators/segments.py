@@ -18,6 +18,8 @@ from framewright.session import cut
 
 #: Keys of a batch that are sent to the workers at most (24 bytes each); larger batches are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: What a stored or shuffled key costs, in candidates that are compared.
+KEY_COST = 8
 #: An index is written anew with longer keys once it holds so many times the hashes that its keys were made for.
 OUTGROWN = 8
 
@@ -27,12 +29,12 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def layout(rows: int, max_distance: int) -> tuple[int, int]:
-    """How many segments, and how many of them a key holds: the choice with the fewest keys and candidates for a
+    """How many segments, and how many of them a key holds: the choice with the least cost of keys and candidates for a
     hash among `rows` evenly spread ones. Keys lengthen with the logarithm of the rows, so candidates stay few."""
     cost = {}
     for agree in range(1, 65 - max_distance):
         segments = max_distance + agree
-        cost[agree] = comb(segments, agree) * (1 + rows / 2 ** (64 * agree / segments))
+        cost[agree] = comb(segments, agree) * (KEY_COST + rows / 2 ** (64 * agree / segments))
         if cost[agree] > 2 * min(cost.values()):
             break
     best = min(cost, key=lambda a: (cost[a], a))

@@ -166,7 +166,7 @@ def test_keys_lengthen_with_the_rows_and_lose_nothing(spark):
     assert [segments.layout(n, 6)[1] for n in (10**3, 10**5, 10**6, 10**7, 10**8)] == sorted(segments.layout(n, 6)[1] for n in (10**3, 10**5, 10**6, 10**7, 10**8))
     for n in (10**5, 10**7, 10**9):
         cut_, agree = segments.layout(n, 6)
-        assert math.comb(cut_, agree) * n / 2 ** (64 * agree / cut_) < 400  # candidates of a hash
+        assert math.comb(cut_, agree) * n / 2 ** (64 * agree / cut_) < 1000  # candidates of a hash
     rng = random.Random(1)
     a = [rng.getrandbits(63) for _ in range(30)]
     b = [x ^ sum(1 << k for k in rng.sample(range(63), rng.randrange(4, 9))) for x in a]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_NOT_PLAIN = r"\\|//|/$|(^|/)\.\.?(/|$)|^[\p{IsWhite_Space}]|[\p{IsWhite_Space}]$"
 _EDGE_BLANKS = r"^[\p{IsWhite_Space}]+|[\p{IsWhite_Space}]+$"
 
 
@@ -49,7 +50,9 @@ def file_name(c: Column) -> Column:
         F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
     ).otherwise(F.concat(acc, F.array(x)))
     folded = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
-    return F.nullif(F.when(plain.startswith("/"), F.concat(F.lit("/"), folded)).otherwise(folded), F.lit(""))
+    resolved = F.when(plain.startswith("/"), F.concat(F.lit("/"), folded)).otherwise(folded)
+    # most names are plain already, and folding costs ten times a look at them
+    return F.nullif(F.when(c.rlike(_NOT_PLAIN), resolved).otherwise(c), F.lit(""))
 
 
 def usable_score(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.clean import file_name
-from framewright.operators.distribute import join_unique
+from framewright.operators.distribute import HOT_ROWS, join_unique
 from framewright.session import cut
 
 
@@ -14,6 +14,11 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
+def _state(edges: DataFrame):
+    """The number of edges, and sums of two hashes of them: equal for equal sets."""
+    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.hash("v", "u").cast("bigint"))).first()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges (u, v); comp is the smallest node of the component.
 
@@ -23,19 +28,21 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and nulls are left out; no edges give no rows.
     """
     now = cut(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
-        both = cut(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    state = _state(now)
+    while state["n"]:
+        seen = state
+        # so few edges hold no hot node; otherwise they are counted
+        hot = [] if 2 * state["n"] <= HOT_ROWS else None
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _smallest(both).select("u", F.least("u", "m").alias("m"))
-        large = cut(join_unique(both, least, "u", "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut(join_unique(both, least, "u", "inner", hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = _smallest(large)
-        joined = join_unique(large, least, "u", "inner")
+        joined = join_unique(large, least, "u", "inner", hot)
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
         now = cut(small.where("u <> v").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.hash("v", "u").cast("bigint"))).first()
+        state = _state(now)
         if state == seen:
             break
-        seen = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 

@@ -153,12 +153,13 @@ class SegmentIndex:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def grow(self) -> bool:
-        """Write the index anew with longer keys if it has outgrown its own; whether it did. Counts stored rows."""
-        held = self.hashes()
-        n = held.count()
+        """Write the index anew with longer keys if it has outgrown its own; whether it did. The rows are counted from
+        the files' footers, nothing is read before the index has outgrown its keys."""
+        n = self.rows().count() // comb(*self.kind)
         fresh = layout(n, self.settings["distance"])
         if n < OUTGROWN * self.settings["rows"] or fresh == self.kind:
             return False
+        held = self.hashes()
         grown = SegmentIndex(self.spark, self.folder, self.settings | {"segments": fresh[0], "agree": fresh[1], "rows": n, "generation": self.settings["generation"] + 1})
         grown.append(held)
         grown._write()  # only now is the new generation the one that is opened

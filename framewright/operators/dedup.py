@@ -18,15 +18,16 @@ HAMMING_THRESHOLD = 10
 COSINE_THRESHOLD = 0.97
 
 
-def hamming_edges(hashes: DataFrame, threshold: int = HAMMING_THRESHOLD) -> DataFrame:
+def hamming_edges(hashes: DataFrame, threshold: int = HAMMING_THRESHOLD, unique: bool = False) -> DataFrame:
     """(early, late, dist): pairs of items of which any two hashes differ in at most `threshold` bits.
 
     hashes: ord (bigint, order of arrival), hs (array<bigint>, hashes of the frames in order); a null or empty array
     matches nothing. dist is that of the first pair within the threshold, in order of the later item's hashes and then
     of the earlier one's, which need not be the least. Exact (segments.close_hashes): the keys lengthen with the number of hashes. Items with equal
-    arrays count as their first one; copy_classes names the others.
+    arrays count as their first one; copy_classes names the others. unique: the caller has taken these out already.
     """
-    members = first_items(hashes.select("ord", "hs"), "hs").select("ord", F.posexplode("hs").alias("at", "h")).where(F.col("h").isNotNull())
+    firsts = hashes.select("ord", "hs") if unique else first_items(hashes.select("ord", "hs"), "hs")
+    members = firsts.select("ord", F.posexplode("hs").alias("at", "h")).where(F.col("h").isNotNull())
     members = cut(members.groupBy("ord", "h").agg(F.min("at").alias("at")))
     distinct = cut(members.select("h").distinct())
     near = close_hashes(distinct, distinct, threshold, distinct.count()).where(F.col("a") <= F.col("b")).withColumn("dist", hamming(F.col("a"), F.col("b")))
@@ -91,9 +92,9 @@ def first_wins(edges: DataFrame) -> DataFrame:
 
     This is the lexicographically first maximal independent set, found in rounds: items without an earlier
     open neighbour are kept, their later neighbours rejected. Rounds are as many as the longest chain of
-    decisions; each works on the edges that are still open, cut by checkpoint.
+    decisions; each works on the edges that are still open, cut by checkpoint. edges should be cut.
     """
-    open_ = cut(edges.select("early", "late").distinct())
+    open_ = edges.select("early", "late").distinct()
     rejected: DataFrame | None = None
     while not open_.isEmpty():
         late = open_.select(F.col("late").alias("ord")).distinct()
@@ -112,7 +113,7 @@ def dedup(items: DataFrame, edges: DataFrame, nearest: bool = False, weight: str
     most similar one (ties: the first).
     """
     edges = cut(edges)
-    lost = cut(first_wins(edges))
+    lost = first_wins(edges)
     value = F.col(weight) if weight else F.lit(None).cast("double")
     to_kept = edges.withColumn("w", value).join(lost.withColumnRenamed("ord", "early"), "early", "left_anti").join(lost.withColumnRenamed("ord", "late"), "late", "left_semi")
     best = F.max(F.struct(F.col("w"), -F.col("early"), F.col("w").alias("s"))) if nearest else F.min(F.struct(F.col("early"), F.col("w").alias("s")))
@@ -149,7 +150,7 @@ def dedup_by_hash(items: DataFrame, threshold: int = HAMMING_THRESHOLD) -> DataF
     hash as 16 hex digits."""
     classes = cut(copy_classes(items, "hs"))
     firsts = cut(items.select("ord", "hs").join(classes.where("ord = first").select("ord"), "ord", "left_semi"))
-    out = _with_copies(items, classes, dedup(firsts.select("ord"), hamming_edges(firsts, threshold), weight="dist"), 0)
+    out = _with_copies(items, classes, dedup(firsts.select("ord"), hamming_edges(firsts, threshold, unique=True), weight="dist"), 0)
     return out.withColumn("hash_str", F.lower(F.lpad(F.hex(F.try_element_at("hs", F.lit(1))), 16, "0")))
 
 
@@ -163,7 +164,7 @@ def dedup_two_pass(items: DataFrame, hamming_threshold: int, cosine_threshold: f
     first = dedup_by_hash(items.select("ord", "hs"), hamming_threshold).where("is_duplicate").select("ord", F.lit(1).alias("stage"))
     first = cut(first)
     left = items.join(first.select("ord"), "ord", "left_anti")
-    second = first_wins(cosine_edges(left.select("ord", "vec"), cosine_threshold)).withColumn("stage", F.lit(2))
+    second = first_wins(cut(cosine_edges(left.select("ord", "vec"), cosine_threshold))).withColumn("stage", F.lit(2))
     return first.unionByName(second)
 
 

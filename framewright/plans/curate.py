@@ -56,7 +56,7 @@ def curate(clips: DataFrame, config: CurationConfig, score_only: bool = False) -
     if config.dedup:
         kept = cut(kept)
         verdicts = dedup_clips(kept, config.dedup_method, config.dedup_threshold)
-        kept = verdicts.where(~F.col("is_duplicate")).drop("is_duplicate", "duplicate_of", "score")
+        kept = cut(verdicts.where(~F.col("is_duplicate")).drop("is_duplicate", "duplicate_of", "score", "hash_str"))
     return label_encode(kept)
 
 

@@ -363,13 +363,13 @@ def cosine_pairs(s, d):
 @query
 def dedup_greedy_cosine(s, d):
     v = vectors(s, d)
-    return v.select("ord").join(dedup.first_wins(dedup.cosine_edges(v, SIMILAR)), "ord", "left_anti")
+    return v.select("ord").join(dedup.first_wins(cut(dedup.cosine_edges(v, SIMILAR))), "ord", "left_anti")
 
 
 @query
 def dedup_greedy_hamming(s, d):
     h = cut(dedup.first_items(hashes(s, d), "hs"))
-    return h.select("ord").join(dedup.first_wins(dedup.hamming_edges(h, HASH_DISTANCE)), "ord", "left_anti")
+    return h.select("ord").join(dedup.first_wins(cut(dedup.hamming_edges(h, HASH_DISTANCE, unique=True))), "ord", "left_anti")
 
 
 @query

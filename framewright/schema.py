@@ -74,6 +74,16 @@ def missing_fields(df: DataFrame) -> DataFrame:
     return df.select("path" if "path" in df.columns else F.lit(None).cast("string").alias("path"), absent.alias("missing")).where(F.size("missing") > 0)
 
 
+def load_strict(spark: SparkSession, path: str, schema: T.StructType = WIDE_SCHEMA) -> DataFrame:
+    """A manifest whose every row has all required fields; ManifestError names the first rows that lack some. The
+    rows are read once for the check."""
+    df = read_manifest(spark, path, schema)
+    lacking = missing_fields(df).limit(5).collect()
+    if lacking:
+        raise ManifestError("; ".join(f"{r['path']}: {', '.join(r['missing'])}" for r in lacking))
+    return df
+
+
 def validate_manifest(df: DataFrame) -> DataFrame:
     """df itself, if each required column is there with its type; otherwise ManifestError. Reads no rows."""
     have = {f.name: f.dataType for f in df.schema}

@@ -54,6 +54,10 @@ def test_manifest_round_trip(spark, tmp_path):
     assert schema.read_manifest(spark, str(tmp_path / "m"), schema.MANIFEST_SCHEMA).collect() == df.collect()
     assert schema.read_manifest_or_empty(spark, str(tmp_path / "none")).count() == 0
     schema.validate_manifest(df)
+    assert schema.load_strict(spark, str(tmp_path / "m"), schema.MANIFEST_SCHEMA).count() == 1
+    schema.write_manifest(df.withColumn("fps", F.lit(None).cast("double")), str(tmp_path / "lacking"))
+    with pytest.raises(schema.ManifestError, match="a.mp4: fps"):
+        schema.load_strict(spark, str(tmp_path / "lacking"), schema.MANIFEST_SCHEMA)
     with pytest.raises(schema.ManifestError):
         schema.validate_manifest(df.drop("path"))
     assert schema.missing_fields(df.withColumn("fps", F.lit(None).cast("double"))).first()["missing"] == ["fps"]

@@ -43,7 +43,7 @@ def check_batch(index: SegmentIndex, items: DataFrame, batch: int) -> DataFrame:
     near = close_hashes(left, left, index.settings["distance"], left.count()).where("a <> b")
     order = lambda h, no: left.select(F.col("h").alias(h), F.col("no").alias(no))
     edges = near.join(order("a", "early"), "a").join(order("b", "late"), "b").where("early < late").select("early", "late")
-    rejected = first_wins(edges).select(F.col("ord").alias("no"))
+    rejected = first_wins(cut(edges)).select(F.col("ord").alias("no"))
     accepted = cut(left.join(rejected, "no", "left_anti"))
     index.append(accepted, batch)
     index.grow()

@@ -19,6 +19,8 @@ from framewright.session import cut
 SPAN, GRAM = 13, 7
 #: Characters of held-out texts that are sent to the workers at a time; more items take more passes.
 BLOCK_CHARS = 8_000_000
+#: Pairs of places of two texts that are extended one by one.
+MANY_SEEDS = 10_000
 #: Characters that are removed before words are cut.
 INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0xFEFF])
 _WORD = re.compile(r"[^\W_]+")
@@ -100,26 +102,86 @@ def longest_shared(a: list[str], b: list[str], seeds: list[tuple[int, int]]) ->
     return best
 
 
+def longest_common(a: list[str], b: list[str]) -> int:
+    """Length of the longest run of words that both have, in linear time, by a suffix automaton of b."""
+    follow: list[dict[str, int]] = [{}]
+    link, size, last = [-1], [0], 0
+    for w in b:
+        new = len(follow)
+        follow.append({})
+        size.append(size[last] + 1)
+        link.append(0)
+        at = last
+        while at >= 0 and w not in follow[at]:
+            follow[at][w] = new
+            at = link[at]
+        if at >= 0:
+            to = follow[at][w]
+            if size[to] == size[at] + 1:
+                link[new] = to
+            else:
+                twin = len(follow)
+                follow.append(dict(follow[to]))
+                size.append(size[at] + 1)
+                link.append(link[to])
+                while at >= 0 and follow[at].get(w) == to:
+                    follow[at][w] = twin
+                    at = link[at]
+                link[to] = link[new] = twin
+        last = new
+    best = length = at = 0
+    for w in a:
+        while at and w not in follow[at]:
+            at = link[at]
+            length = size[at]
+        if w in follow[at]:
+            at = follow[at][w]
+            length += 1
+        best = max(best, length)
+    return best
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, end): rows in order of keys, and where each run of equal keys begins and ends."""
+    order = np.lexsort(keys[::-1])
+    change = np.zeros(len(order), bool)
+    for k in keys:
+        change[1:] |= k[order][1:] != k[order][:-1]
+    first = np.flatnonzero(change | (np.arange(len(order)) == 0))
+    return order, first, np.append(first[1:], len(order))
+
+
 class HeldOut:
-    """Held-out texts with their fingerprints in ascending order, the form that the workers look up."""
+    """Held-out texts, and the places of each of their fingerprints in ascending order of these."""
 
     def __init__(self, texts: list[str], span: int, gram: int):
         self.words = [words(t) for t in texts]
         text, place, fp = winnow(self.words, span, gram)
-        order = np.argsort(fp, kind="stable")
-        self.fp, self.text, self.place = fp[order], text[order], place[order]
+        order, first, end = _groups(fp, text)
+        self.place, self.first, self.end = place[order], first, end
+        self.fp, self.text = fp[order][first], text[order][first]
 
-    def seeds(self, texts: list[list[str]], span: int, gram: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """(text, held-out text) -> places of equal fingerprints in both."""
-        out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    def hits(self, texts: list[list[str]], span: int, gram: int) -> dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]]:
+        """(text, held-out text) -> for each fingerprint that they share, its places in the one and in the other."""
+        out: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         text, place, fp = winnow(texts, span, gram)
-        lo, hi = np.searchsorted(self.fp, fp, "left"), np.searchsorted(self.fp, fp, "right")
+        order, first, end = _groups(text, fp)
+        mine, own = fp[order][first], text[order][first]
+        lo, hi = np.searchsorted(self.fp, mine, "left"), np.searchsorted(self.fp, mine, "right")
         for k in np.flatnonzero(hi > lo):
             for m in range(lo[k], hi[k]):
-                out.setdefault((int(text[k]), int(self.text[m])), []).append((int(place[k]), int(self.place[m])))
+                out.setdefault((int(own[k]), int(self.text[m])), []).append((place[order[first[k] : end[k]]], self.place[self.first[m] : self.end[m]]))
         return out
 
 
+def shared_run(a: list[str], b: list[str], hits: list[tuple[np.ndarray, np.ndarray]]) -> int:
+    """The longest run of words through any hit. Texts that repeat themselves have very many pairs of places; there the
+    longest common run is the same, as every run of `span` words has a hit."""
+    if sum(len(i) * len(j) for i, j in hits) > MANY_SEEDS:
+        return longest_common(a, b)
+    return longest_shared(a, b, [(int(x), int(y)) for i, j in hits for x in i for y in j])
+
+
 def item_blocks(items: DataFrame) -> Iterator[pa.Table]:
     """(text, ids) of the distinct held-out texts, at most about BLOCK_CHARS characters at a time."""
     held = cut(items.where("item_id is not null and text is not null").groupBy("text").agg(F.collect_set("item_id").alias("ids")))
@@ -149,8 +211,8 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, gram: int =
             for batch in batches:
                 texts = [words(t) for t in batch.column("text").to_pylist()]
                 rows, names, lengths = [], [], []
-                for (i, m), seeds in held.seeds(texts, span, gram).items():
-                    length = longest_shared(texts[i], held.words[m], seeds)
+                for (i, m), hits in held.hits(texts, span, gram).items():
+                    length = shared_run(texts[i], held.words[m], hits)
                     if length >= span:
                         rows += [i] * len(ids[m])
                         names += ids[m]

@@ -479,3 +479,50 @@ def test_truncation_takes_no_evidence_from_what_a_source_always_leaves_open(spar
     rows = [(t, "sloppy") for t in stray] + [("Item 1 (see the note above.", "tidy")]
     df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], "doc_id bigint, text string, source string")
     assert values(truncation.found(df)) == [(30,)]
+
+
+def test_corpus_operators_on_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows and clashing column names, for all operators."""
+    nothing = (None,) * 14
+    rows = [nothing, nothing, clip("a"), clip("a"), clip("", "", "", None, None, "", ""), clip("b", None, None, None, float("inf"), "a", "f" * 17)]
+    df = clips(spark, rows)
+    targets = spark.createDataFrame([(None, None, None, None, None), (1, "a", False, None, None), (2, None, True, 5000, 9)], "target_id int, label string, is_synthetic boolean, share_bp int, min_rows int")
+    shares = spark.createDataFrame([("train", 100), (None, 5), ("val", None)], "split string, share_pct int")
+    keep = spark.createDataFrame([(None, 5), ("A", None), ("a", 50)], "label string, keep_pct int")
+    assert overlap.found(df).count() == 0 and overlap.record_coverage(df).count() == 0
+    assert splits.torn_groups(df).count() == 0
+    assert {r["path"] for r in splits.assign(df, shares).collect()} == {"a", "", "b"}
+    assert splits.balance(df, shares).first()["paths"] == 3
+    # a target without numbers needs nothing; a null label fits no target
+    assert values(sampling.short_targets(df, targets)) == [(2,)]
+    assert sampling.sample(df, targets).count() == 0
+    assert values(cutoffs.found(df, keep)) == [] and cutoffs.cutoffs(df, keep).first()["kept"] == 1
+    assert percentiles.percentiles(percentiles.daily_summaries(df)).where("percent = 50").count() == 2
+    items = spark.createDataFrame([(None,) * 7, (1, None, None, "ff", None, None, None), (None, 13, None, "ff", None, None, None), (2, 13, None, "ff", None, None, None), (2, 13, None, "ff", None, None, None), (3, 1, None, "ff", None, None, None)], ITEMS)
+    assert values(arrivals.found(items)) == []
+    long = "word " * 200_000
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, long), (5, "(" * 100_000), (6, "<a" * 50_000), (7, '"' * 99_999), (None, "x"), (4, long), (8, "\\" * 1001), (9, "🙂" * 1000)], "doc_id bigint, text string").withColumns({c: F.lit(1) for c in ("word", "state", "ids", "item_id", "text_key", "settled", "offsets")}).withColumn("source", F.lit(None).cast("string"))
+    got = {r["doc_id"] for r in truncation.found(texts).collect()}
+    assert {6, 8} <= got and not got & {1, 2, 3, None}
+    held = spark.createDataFrame([(1, long), (1, long), (2, None), (None, long), (3, "")], "item_id bigint, text string").withColumn("fp", F.lit(0))
+    assert values(leaks.found(texts, held)) == [(4, 1)]
+    encoded = bpe.encode(texts)
+    assert encoded.count() == 11 and encoded.where("doc_id = 4 and size(ids) > 100000").count() == 2 and encoded.where("size(ids) = 0").count() == 2
+    assert encoded.columns == ["doc_id", "ids", "offsets"]
+
+
+def test_longest_common_run():
+    rng = random.Random(7)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(30))] for _ in range(2))
+        best = max((k for i in range(len(a)) for j in range(len(b)) for k in range(1, 31) if i + k <= len(a) and a[i : i + k] == b[j : j + k]), default=0)
+        assert leaks.longest_common(a, b) == best
+
+
+def test_leaks_take_more_items_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(40)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, "before " + t + " behind") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "item_id bigint, text string")
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 500)
+    assert values(leaks.found(docs, items)) == [(i, 100 + i) for i in range(12)]

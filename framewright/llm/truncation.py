@@ -8,6 +8,7 @@ What structure does not decide is judged by the words at which lines, list items
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections import Counter
@@ -24,6 +25,7 @@ from framewright.session import cut
 TERMINATORS = ".!?。！？؟।۔．"
 CLOSERS = "\"'”’»」』)]】）*_`"
 SIGNS = TERMINATORS + CLOSERS + "“‘«「『【[（(,;:-–—#"
+LEAD_SIGNS = SIGNS + "¿¡@„»"
 ELLIPSIS = "…"
 INVISIBLE = "\u00ad\u200b\u200c\u200d\ufeff\ufe0f"
 #: Pairs of brackets and of directed quotes; elements without content, and those that may stay open.
@@ -135,6 +137,7 @@ def prose_state(text: str) -> tuple[int, int]:
     return used | left, left
 
 
+@functools.lru_cache(1 << 16)
 def shape(token: str) -> str:
     """A token with digits as 0 and letters as a, runs as one."""
     return _RUNS.sub(lambda m: "0" if m.group()[0].isdigit() else "a", token)
@@ -143,9 +146,14 @@ def shape(token: str) -> str:
 def line_form(line: str) -> str | None:
     """The shape of the sign or number that a record line begins with; None if it begins with a word."""
     lead = line.split(None, 1)[0] if line.strip() else ""
+    return lead_form(lead) if not lead.isalpha() else None
+
+
+@functools.lru_cache(1 << 16)
+def lead_form(lead: str) -> str | None:
     form = shape(lead)
     # a lone number, or a word with signs around it, is prose
-    return None if not form or form in ("a", "0") or form.strip("".join(SIGNS) + "¿¡@\"'„»") == "a" and "#" not in form else form
+    return None if not form or form in ("a", "0") or form.strip(LEAD_SIGNS) == "a" and "#" not in form else form
 
 
 def line_word(line: str) -> str:
@@ -233,20 +241,15 @@ def plain(token: str) -> str:
     return _EDGES.sub("", token.lower())
 
 
-def words_of(raw: str) -> Iterator[tuple[str, bool]]:
-    """(word, whether a clause or sentence ends behind it) of the places of a text that surely hold whole words:
-    those inside lines, and before terminators."""
-    for line in raw.strip().split("\n"):
-        tokens = line.split()
-        for i, token in enumerate(tokens):
-            core = token.rstrip(CLOSERS)
-            if core.endswith(("...", ELLIPSIS)):
-                continue
-            ends = core[-1:] != "" and core[-1] in TERMINATORS
-            if ends or i < len(tokens) - 1:
-                word = token.lower().strip(SIGNS)  # not plain(): tags and code hold no words
-                if word.isalpha():
-                    yield word, ends or core[-1:] in (",", ";", ":")
+def word_in(token: str, last: bool) -> tuple[str, bool] | None:
+    """(word, whether a clause or sentence ends behind it) of a token, if it stands at a place that surely holds whole
+    words: inside a line, or before a terminator. last: it is the last one of its line."""
+    core = token.rstrip(CLOSERS)
+    if core.endswith(("...", ELLIPSIS)):
+        return None
+    ends = core[-1:] != "" and core[-1] in TERMINATORS
+    word = token.lower().strip(SIGNS)  # not plain(): tags and code hold no words
+    return (word, ends or core[-1:] in (",", ";", ":")) if (ends or not last) and word.isalpha() else None
 
 
 def is_list(text: str) -> bool:
@@ -299,11 +302,20 @@ def vocabulary(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, ends = Counter(), Counter()
         for batch in batches:
+            inner, final = Counter(), Counter()
             for text in batch.column("text").to_pylist():
                 times.update(known_ends(text))
-                for word, end in words_of(text):
-                    times["open", word] += 1
-                    ends["open", word] += end
+                for line in text.strip().split("\n"):
+                    tokens = line.split()
+                    final.update(tokens[-1:])
+                    inner.update(tokens[:-1])
+            # each spelling is looked at once a batch
+            for counts, last in ((inner, False), (final, True)):
+                for token, n in counts.items():
+                    found = word_in(token, last)
+                    if found:
+                        times["open", found[0]] += n
+                        ends["open", found[0]] += n * found[1]
             if len(times) > 200_000:
                 yield counted(times, ends)
                 times, ends = Counter(), Counter()

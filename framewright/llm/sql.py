@@ -56,6 +56,11 @@ sample as (select path, target_id from counted where case when have = least(take
 
 def oracle_sql() -> dict[str, str]:
     return {
+        # the exact definition; the graph of a single cell, as this scale has, finds all of it
+        "p1_found": """with v as materialized (select path, any_value(vector)::double[] as v from lance_index where len(vector) = 512 and path is not null group by path having list_max(any_value(vector)) <> 0 or list_min(any_value(vector)) <> 0),
+s as (select a.path as a, b.path as b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) as sim from v a join v b on a.path <> b.path),
+r as (select a, b from s where sim >= 0.65 qualify row_number() over (partition by a order by sim desc, b) <= 5)
+select distinct least(a, b) as path_a, greatest(a, b) as path_b from r""",
         "p2_found": f"""with r as (select distinct path, side, h from (select path, case when s = 'train' then 'train' when s is not null then 'eval' end as side, h from {_hashes('clip_meta', 'phash', f'path, {_SPLIT} as s')}) where side is not null)
 select distinct least(a.path, b.path) as path_a, greatest(a.path, b.path) as path_b from r a join r b on a.side = 'train' and b.side = 'eval' and bit_count(xor(a.h, b.h)) <= 6 and a.path <> b.path""",
         "p2_coverage": f"""with {_SIDES}, e as (select distinct path, {_SPLIT} as split, {_FILE} as source_file from clip_meta where path is not null)

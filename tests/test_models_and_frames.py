@@ -243,3 +243,49 @@ def test_build_splits_rank_once_equals_single_mixtures(spark):
     for ratio in (0.25, 0.5):
         alone = mixture.build_splits(real, synth, [ratio])
         assert rows_of(every.where(F.col("ratio") == ratio).select("path", "mix_split")) == rows_of(alone.select("path", "mix_split"))
+
+
+def test_clip_transforms_fall_back(spark):
+    from framewright.kernels import transforms
+
+    frames = images.synthetic_clips(spark, 2, 0, frames=4)
+    out = transforms.transform_clips(frames, "interpolation", "linear", 3)
+    assert {r["path"]: r["count"] for r in out.groupBy("path").count().collect()} == {"clip_000000.mp4": 10, "clip_000001.mp4": 10}
+    kept = out.where("out_idx % 3 = 0").select("path", (F.col("out_idx") / 3).cast("int").alias("frame_idx"), "pixels")
+    assert kept.join(frames.select("path", "frame_idx", F.col("pixels").alias("p")), ["path", "frame_idx"]).where("pixels = p").count() == 8
+
+    def load():
+        def tool(fs, n):
+            raise RuntimeError("no device")
+
+        return tool
+
+    transforms.register("interpolation", "net", load)
+    spare = transforms.transform_clips(frames, "interpolation", "net", 2)
+    assert spare.where("method = 'linear' and error = 'RuntimeError: no device'").count() == 14
+    alone = transforms.transform_clips(frames, "interpolation", "net", 2, fall_back=False)
+    assert alone.count() == 2 and alone.where("pixels is null and error is not null").count() == 2
+    speed = {f: transforms.transform_clips(frames, "speed", "index", f).count() / 2 for f in (1.0, 2.0, 0.75)}
+    assert speed == {1.0: 4, 2.0: 2, 0.75: 5}
+    with pytest.raises(ValueError):
+        transforms.transform_clips(frames, "speed", "other", 1.0)
+    with pytest.raises(ValueError):
+        transforms.register("other", "x", load)
+
+
+def test_texts_are_rewritten(spark):
+    from framewright.kernels import transforms
+
+    def load():
+        def rewrite(texts, n):
+            if "bad" in texts:
+                raise RuntimeError("refused")
+            return [[f"{t} {k}" for k in range(n)] for t in texts]
+
+        return rewrite
+
+    transforms.register_rewriter("echo", load)
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, "")], "path bigint, caption string").coalesce(1)
+    assert rows_of(transforms.rewrite_texts(df, "echo", "caption", 2)) == [(1, 0, "a 0", None), (1, 1, "a 1", None), (2, None, None, "RuntimeError: refused")]
+    with pytest.raises(ValueError):
+        transforms.rewrite_texts(df, "none", "caption", 2)

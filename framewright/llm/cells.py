@@ -20,6 +20,8 @@ FANOUT, SAMPLE, PER_CENTRE = 256, 16_384, 64
 MARGIN, JOIN = 0.01, 0.025
 #: A child of more than GROWN times the wanted size is divided further.
 GROWN = 8
+#: Levels of a tree at most; what centres can't divide by then is divided like a structureless cell.
+MOST_LEVELS = 4
 #: Vectors in a task: structureless cells are divided into parts of this size, and their vectors search each part.
 PART = 32_768
 #: Cells of a tree, at most; with many more vectors the cells grow (a graph takes n log n). With the centres of inner
@@ -85,6 +87,7 @@ class Tree:
     nodes: list[Node] = field(default_factory=list)
     size: list[float] = field(default_factory=list)
     alike: list[bool] = field(default_factory=list)
+    depth: list[int] = field(default_factory=list)
     #: child that still has to be divided: (node, place of the child in it) -> expected vectors
     open: dict[int, tuple[int, int, float]] = field(default_factory=dict)
 
@@ -102,15 +105,16 @@ class Tree:
         node = Node(centre[by], np.searchsorted(group[by], np.arange(len(share))), [])
         number = len(self.nodes)
         self.nodes.append(node)
+        self.depth.append(self.depth[at[0]] + 1 if at else 0)
         if at:
             self.nodes[at[0]].child[at[1]] = number
         for g, part in enumerate(share * size):
             many = int((group == g).sum()) > 1
-            if part > (PART if many else GROWN * wanted) and len(share) > 1:
+            if part > (PART if many else GROWN * wanted) and len(share) > 1 and self.depth[number] < MOST_LEVELS - 1:
                 self.open[len(self.open)] = (number, g, float(part))
                 node.child.append(0)
             else:
-                node.child.append(self._cell(float(part), many))
+                node.child.append(self._cell(float(part), many or part > PART))
 
     def route(self, unit: np.ndarray, only: bool = False) -> Iterator[tuple[np.ndarray, int]]:
         """(rows, cell) of each cell that vectors enter. only: (rows, number in open) of the children to be divided,

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from framewright.session import cut
 
 HAMMING_THRESHOLD = 10
 COSINE_THRESHOLD = 0.97
+#: Open edges that one task scans (16 bytes each).
+ONE_TASK = 200_000
 
 
 def hamming_edges(hashes: DataFrame, threshold: int = HAMMING_THRESHOLD, unique: bool = False) -> DataFrame:
@@ -92,18 +95,30 @@ def first_wins(edges: DataFrame) -> DataFrame:
 
     This is the lexicographically first maximal independent set, found in rounds: items without an earlier
     open neighbour are kept, their later neighbours rejected. Rounds are as many as the longest chain of
-    decisions; each works on the edges that are still open, cut by checkpoint. edges should be cut.
+    decisions; each works on the edges that are still open, cut by checkpoint. Once these are at most ONE_TASK, a single
+    task scans them in order, which decides the same. edges should be cut.
     """
-    open_ = edges.select("early", "late").distinct()
-    rejected: DataFrame | None = None
-    while not open_.isEmpty():
+    open_ = edges.select(F.col("early").cast("bigint").alias("early"), F.col("late").cast("bigint").alias("late")).distinct()
+    parts: list[DataFrame] = []
+    while open_.limit(ONE_TASK + 1).count() > ONE_TASK:
         late = open_.select(F.col("late").alias("ord")).distinct()
         kept = open_.select(F.col("early").alias("ord")).distinct().join(late, "ord", "left_anti")
         lost = cut(open_.join(kept.withColumnRenamed("ord", "early"), "early", "left_semi").select(F.col("late").alias("ord")).distinct())
-        rejected = lost if rejected is None else rejected.unionByName(lost)
+        parts.append(lost)
         gone = kept.unionByName(lost)
         open_ = cut(open_.join(gone.withColumnRenamed("ord", "early"), "early", "left_anti").join(lost.withColumnRenamed("ord", "late"), "late", "left_anti"))
-    return rejected if rejected is not None else edges.select(F.col("early").alias("ord")).limit(0)
+    parts.append(cut(open_.repartition(1).sortWithinPartitions("late", "early").mapInArrow(_scan, "ord bigint")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scan over edges in order of their later items."""
+    lost: set[int] = set()
+    for batch in batches:
+        for early, late in zip(batch.column("early").to_pylist(), batch.column("late").to_pylist(), strict=True):
+            if early not in lost:
+                lost.add(late)
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(lost), pa.int64())], names=["ord"])
 
 
 def dedup(items: DataFrame, edges: DataFrame, nearest: bool = False, weight: str | None = None) -> DataFrame:
@@ -161,6 +176,7 @@ def dedup_by_vector(items: DataFrame, threshold: float = COSINE_THRESHOLD, norma
 
 def dedup_two_pass(items: DataFrame, hamming_threshold: int, cosine_threshold: float) -> DataFrame:
     """Hashes first, vectors of the survivors afterwards; (ord, stage) of the rejected items, stage 1 or 2."""
+    items = cut(items.select("ord", "hs", "vec"))
     first = dedup_by_hash(items.select("ord", "hs"), hamming_threshold).where("is_duplicate").select("ord", F.lit(1).alias("stage"))
     first = cut(first)
     left = items.join(first.select("ord"), "ord", "left_anti")
@@ -249,10 +265,20 @@ def exact_copies(rows: DataFrame, key: str, content: str) -> DataFrame:
     return join_unique(digests, firsts, "digest", "inner").withColumn("is_copy", F.col("key") > F.col("first_key"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, however often `use` and its lambdas mention it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def bit_hash(vec: Column) -> Column:
     """64-bit hash of 64 coefficients: a bit is set where a coefficient is above their median; the first is the highest bit."""
+
+    def bits(x: Column) -> Column:
+        one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+        return F.aggregate(x["values"], none, lambda acc, v: F.shiftleft(acc, 1).bitwiseOR(F.when(v > x["median"], one).otherwise(none)))
+
+    def with_median(x: Column) -> Column:
+        return let(F.struct(x["values"].alias("values"), ((F.element_at(x["ordered"], 32) + F.element_at(x["ordered"], 33)) / 2).alias("median")), bits)
+
     values = F.transform(vec, lambda x: x.cast("double"))
-    ordered = F.array_sort(values)
-    median = (F.element_at(ordered, 32) + F.element_at(ordered, 33)) / 2
-    bits = F.transform(values, lambda x: F.when(x > median, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+    return let(values, lambda v: let(F.struct(v.alias("values"), F.array_sort(v).alias("ordered")), with_median))

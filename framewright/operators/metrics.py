@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.operators.dedup import dot, matrix
+from framewright.operators.dedup import dot, let, matrix
 from framewright.operators.distribute import global_rank, join_unique, prefix_sum
 from framewright.session import cut
 
@@ -17,21 +17,57 @@ NAN = float("nan")
 
 
 def unit(vec: Column, epsilon: float = 1e-8) -> Column:
-    """vec divided by its norm plus epsilon."""
-    v = vec.cast("array<double>")
-    norm = F.sqrt(dot(v, v)) + epsilon
-    return F.transform(v, lambda x: x / norm)
+    """vec divided by its norm plus epsilon; a vector of zeros (a black frame may have one) stays as it is."""
+    def divided(s: Column) -> Column:
+        return F.transform(s["v"], lambda x: F.when(s["norm"] > 0, x / s["norm"]).otherwise(x))
+
+    with_norm = let(vec.cast("array<double>"), lambda v: F.struct(v.alias("v"), (F.sqrt(dot(v, v)) + epsilon).alias("norm")))
+    return F.when(vec.isNotNull(), let(with_norm, divided))
 
 
 def mean_of_unit_frames(frames: DataFrame, clip: str, vec: str, size: int, renormalize: bool = False) -> DataFrame:
-    """(clip, vec): mean of the clip's frame vectors of unit length; again of unit length with renormalize.
-    The means are one aggregation with an average per place, no explosion of rows."""
-    u = frames.select(clip, unit(F.col(vec), 0.0).alias("u"))
-    means = u.groupBy(clip).agg(*(F.avg(F.col("u")[i]).alias(f"_{i}") for i in range(size)))
-    out = means.select(clip, F.array(*(F.coalesce(F.col(f"_{i}"), F.lit(0.0)) for i in range(size))).alias("vec"))
+    """(clip, vec): mean of the clip's frame vectors of unit length; again of unit length with renormalize. Null vectors
+    don't count, vectors of zeros do; a clip without any has zeros; vectors of another length are refused (ValueError).
+
+    Frames that follow each other are added up before they are shuffled, so a clip that holds most frames is one row a
+    run, and sums are taken over whole Arrow batches.
+    """
+    kind = frames.schema[clip].dataType.simpleString()
+    schema = f"`{clip}` {kind}, n bigint, total array<double>"
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(vec)
+            there = vectors.is_valid().to_numpy(zero_copy_only=False)
+            m = np.zeros((len(batch), size))
+            if there.any():
+                own = matrix(vectors.filter(pa.array(there)))
+                norm = np.sqrt((own * own).sum(axis=1, keepdims=True))
+                m[there] = own / np.where(norm > 0, norm, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(clip), pa.array(there.astype(np.int64)), _lists(m)], names=[clip, "n", "total"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                codes = batch.column(clip).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+                n = np.add.reduceat(batch.column("n").to_numpy(), first)
+                total = np.add.reduceat(matrix(batch.column("total")), first, axis=0)
+                yield pa.RecordBatch.from_arrays([batch.column(clip).take(pa.array(first)), pa.array(n), _lists(total)], names=[clip, "n", "total"])
+
+    parts = frames.select(clip, F.col(vec).cast("array<double>").alias(vec)).mapInArrow(lambda b: added(units(b)), schema)
+    # runs that a batch border has cut meet in the last step, a few rows a clip
+    runs = parts.repartition(clip).sortWithinPartitions(clip).mapInArrow(added, schema)
+    sums = runs.groupBy(clip).agg(F.sum("n").alias("n"), F.collect_list("total").alias("t"))
+    total = F.aggregate(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), F.element_at("t", 1), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    out = sums.select(clip, F.transform(total, lambda x: x / F.greatest(F.col("n"), F.lit(1))).alias("vec"))
     return out.withColumn("vec", unit(F.col("vec"))) if renormalize else out
 
 
+def _lists(m: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).ravel()))
+
+
 def moments(vectors: DataFrame, vec: str, group: list[str] | None = None) -> DataFrame:
     """(group, n, total, products): partial sums of vectors and outer products per partition, then added up.
 

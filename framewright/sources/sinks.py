@@ -12,7 +12,7 @@ from framewright.operators.augment import export_captions, ratio_dir
 from framewright.schema import write_manifest
 from framewright.session import cut
 
-__all__ = ["write_ablation", "write_caption_map", "write_captions", "write_csv", "write_fault_log", "write_frames", "write_manifest", "write_maps", "write_mixtures", "write_result", "write_scaling", "write_template"]
+__all__ = ["write_ablation", "write_caption_map", "write_captions", "write_csv", "write_fault_log", "write_frames", "write_manifest", "write_maps", "write_mixtures", "write_result", "write_scaling", "write_template", "table_text"]
 
 
 def write_mixtures(mixtures: DataFrame, folder: str, layout: str = "partitioned") -> None:
@@ -81,6 +81,15 @@ def write_fault_log(scored: DataFrame, path: str) -> dict[str, int]:
     return out
 
 
+def table_text(df: DataFrame, at_most: int = 1000) -> str:
+    """A small report as a text table; further rows are counted in the last line."""
+    rows = [[("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)) for v in r] for r in df.limit(at_most).collect()]
+    wide = [max(len(x) for x in column) for column in zip(df.columns, *rows, strict=True)]
+    lines = ["  ".join(x.rjust(w) for x, w in zip(r, wide, strict=True)) for r in [df.columns, ["-" * w for w in wide], *rows]]
+    more = df.count() - len(rows) if len(rows) == at_most else 0
+    return "\n".join(lines + ([f"... {more} more rows"] if more > 0 else []))
+
+
 def write_frames(frames: DataFrame, path: str) -> None:
     """Frames (path, frame_idx, h, w, c, pixels), those of a clip together and in order."""
     frames.repartition("path").sortWithinPartitions("path", "frame_idx").write.mode("overwrite").parquet(path)

@@ -289,3 +289,28 @@ def test_texts_are_rewritten(spark):
     assert rows_of(transforms.rewrite_texts(df, "echo", "caption", 2)) == [(1, 0, "a 0", None), (1, 1, "a 1", None), (2, None, None, "RuntimeError: refused")]
     with pytest.raises(ValueError):
         transforms.rewrite_texts(df, "none", "caption", 2)
+
+
+def test_evaluation_from_frames(spark):
+    from framewright.plans.evaluate import evaluate_clip, evaluate_fvd
+
+    frames = images.synthetic_clips(spark, 6, 0, frames=2)
+    dark = frames.withColumn("pixels", F.unhex(F.repeat(F.lit("00"), 60 * 80 * 3)))
+    assert abs(evaluate_fvd(frames, frames, "channel_means")) < 1e-6 and evaluate_fvd(frames, dark, "channel_means") > 0.01
+    assert math.isnan(evaluate_fvd(frames, frames, "channel_means", max_clips=1))
+    clips = spark.createDataFrame([(f"clip_{i:06d}.mp4", "ab"[i % 2], None if i == 5 else f"caption {i}") for i in range(6)], "path string, label string, caption string")
+    out = {(r["metric"], r["label"]): r["value"] for r in evaluate_clip(frames, clips, "channel_means", "letter_counts").collect()}
+    assert out["n_clips", None] == 5 and -1 <= out["clip_score", None] <= 1 and 0 <= out["R@1", None] <= out["R@5", None] == 1.0
+    few = {r["metric"]: r["value"] for r in evaluate_clip(frames, clips, "channel_means", "letter_counts", max_clips=2).collect()}
+    assert few["n_clips"] == 2
+    none = {r["metric"]: r["value"] for r in evaluate_clip(frames, clips.withColumn("caption", F.lit("")), "channel_means", "letter_counts").collect()}
+    assert math.isnan(none["clip_score"]) and none["n_clips"] == 6
+    encoders.register("short", 3, lambda: (lambda xs: np.zeros((len(xs), 3))))
+    with pytest.raises(ValueError):
+        evaluate_clip(frames, clips, "channel_means", "short")
+
+
+def test_table_text(spark):
+    df = spark.createDataFrame([("a", 1.23456, None), ("bb", 2.0, 3)], "name string, x double, n int")
+    assert sinks.table_text(df).split("\n") == ["name      x  n", "----  -----  -", "   a  1.235   ", "  bb      2  3"]
+    assert sinks.table_text(df, 1).endswith("... 1 more rows") and sinks.table_text(df.limit(0)).count("\n") == 1

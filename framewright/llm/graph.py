@@ -16,6 +16,8 @@ import numpy as np
 
 #: Queries that share a frontier, and points that a beam names in one step.
 BLOCK, WIDE = 128, 4
+#: Vectors that are compared with leaders at once; only their best leader is kept.
+SLICE = 1024
 
 
 def _take(a: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -37,15 +39,17 @@ class Graph:
             self._insert(self.order[at : at + max(BLOCK, at)], at)
             at += max(BLOCK, at)
 
-    def _blocks(self, vectors: np.ndarray) -> list[np.ndarray]:
-        """Numbers of the vectors in blocks of similar ones: those of one leader, leaders that are alike in a row."""
-        if not len(vectors):
+    def _blocks(self, vectors: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+        """Places in `rows` in blocks of similar vectors: those of one leader, leaders that are alike in a row."""
+        if not len(rows):
             return []
-        leaders = self.x[self.order[: max(1, min(len(self.x), len(vectors)) // 64)]]
-        sims = vectors @ leaders.T
-        own = sims.argmax(axis=1)
+        leaders = self.x[self.order[: max(1, min(len(self.x), len(rows)) // 64)]]
+        own, most = np.empty(len(rows), np.int64), np.empty(len(rows), np.float32)
+        for lo in range(0, len(rows), SLICE):
+            sims = vectors[rows[lo : lo + SLICE]] @ leaders.T
+            own[lo : lo + SLICE], most[lo : lo + SLICE] = sims.argmax(axis=1), sims.max(axis=1)
         place = np.argsort(np.argsort(leaders @ leaders[0], kind="stable"), kind="stable")
-        by = np.lexsort((-sims.max(axis=1), place[own]))
+        by = np.lexsort((-most, place[own]))
         return np.array_split(by, max(1, round(len(by) / BLOCK)))
 
     def _search(self, queries: np.ndarray, beam: int, known: int, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +87,7 @@ class Graph:
         queries that are points of the graph."""
         beam = min(beam, max(1, len(self.x)))
         ids, sims = np.full((len(queries), beam), -1), np.full((len(queries), beam), -2, np.float32)
-        for at in self._blocks(queries) if len(self.x) else []:
+        for at in self._blocks(queries, np.arange(len(queries))) if len(self.x) else []:
             ids[at], sims[at] = self._search(queries[at], beam, len(self.x), None if points is None else points[at])
         return ids, sims
 
@@ -106,14 +110,14 @@ class Graph:
         return out, kept
 
     def _insert(self, batch: np.ndarray, known: int) -> None:
-        x = self.x[batch]
-        for at in self._blocks(x):
+        for at in self._blocks(self.x, batch):
             # points of a block enter together: each sees the others besides what its search proposes
-            sims = x[at] @ x[at].T
+            x = self.x[batch[at]]
+            sims = x @ x.T
             top = np.argsort(-sims, axis=1, kind="stable")[:, : self.beam + 1]
             ids, sims = batch[at][top], _take(sims, top)
             if known:
-                more, their = self._search(x[at], self.beam, known, None)
+                more, their = self._search(x, self.beam, known, None)
                 ids, sims = np.concatenate([ids, more], axis=1), np.concatenate([sims, their], axis=1)
                 best = np.argsort(-sims, axis=1, kind="stable")[:, : self.beam + 1]
                 ids, sims = _take(ids, best), _take(sims, best)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,11 @@ SHARD = 2000
 PLAIN, WIDEN_FROM = (16, 16, 12), 1000
 #: What float32 products may differ by from double ones, above half a unit of the sixth decimal.
 NEAR_TIE = 3e-6
+#: Vectors that a graph holds at most; a shard with more has several graphs, and each of its vectors searches them all.
+HELD = 16_384
+#: Rows that a task looks at together, and numbers of contents that it remembers, whatever its input holds; rows that
+#: search a graph together.
+ROWS, SEEN, ASKED = 2048, 65_536, 4096
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -34,6 +41,31 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.float64)).astype(np.float32)[:, None]
 
 
+def _sliced(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.slice(lo, rows)
+
+
+def _packed(m: np.ndarray) -> pa.Array:
+    """Each row compressed; bytes of equal weight side by side compress well."""
+    codec = pa.Codec("zstd", compression_level=1)
+    planes = np.ascontiguousarray(m.view(np.uint8).reshape(*m.shape, 4).transpose(0, 2, 1))
+    return pa.array([codec.compress(x, asbytes=True) for x in planes], pa.binary())
+
+
+def _unpacked(column: pa.Array, out: np.ndarray) -> np.ndarray:
+    """The rows written to out, a block at a time, as larger buffers would stay with the process."""
+    codec, width = pa.Codec("zstd"), out.shape[1]
+    for lo in range(0, len(column), 512):
+        some = column.slice(lo, 512)
+        planes = np.empty((len(some), 4, width), np.uint8)
+        for i, x in enumerate(some):
+            planes[i] = np.frombuffer(codec.decompress(x.as_buffer(), width * 4), np.uint8).reshape(4, width)
+        out[lo : lo + 512].view(np.uint8).reshape(len(some), width, 4)[:] = planes.transpose(0, 2, 1)
+    return out
+
+
 def _usable(batch: pa.RecordBatch, width: int) -> tuple[pa.Array, np.ndarray, list[bytes]]:
     """Paths, vectors and content numbers of the rows with a path and `width` finite numbers, not all zero."""
     vectors = batch.column("vector")
@@ -49,7 +81,7 @@ def content_numbers(index: DataFrame, width: int = WIDTH) -> DataFrame:
     """(path, gid): one row per path with a usable vector; equal vectors have equal gids. No vector is moved."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, ROWS):
             paths, _, gids = _usable(batch, width)
             yield pa.RecordBatch.from_arrays([paths, pa.array(gids, pa.binary())], names=["path", "gid"])
 
@@ -69,14 +101,17 @@ def fit_cells(index: DataFrame, n: int, shard: int = SHARD, sample: int = SAMPLE
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in _sliced(batches, ROWS):
             _, m, gids = _usable(batch, width)
             keep = [i for i, g in enumerate(gids) if g not in seen and not seen.add(g)]
             yield pa.RecordBatch.from_arrays([pa.array([gids[i] for i in keep], pa.binary()), pa.array([m[i].tobytes() for i in keep], pa.binary())], names=["gid", "raw"])
 
     def stacked(rows: pa.Table) -> np.ndarray:
-        unique = dict(zip(rows.column("gid").to_pylist(), rows.column("raw").to_pylist(), strict=True))
-        return _unit(np.stack([np.frombuffer(unique[g], np.float32) for g in sorted(unique)])) if unique else np.zeros((1, width), np.float32)
+        at = {g: i for i, g in enumerate(rows.column("gid").to_pylist())}
+        m, raw = np.empty((len(at), width), np.float32), rows.column("raw")
+        for i, g in enumerate(sorted(at)):
+            m[i] = np.frombuffer(raw[at[g]].as_buffer(), np.float32)
+        return _unit(m) if at else np.zeros((1, width), np.float32)
 
     tree = Tree()
     first = index.where(_hash_below(ask / max(n, 1))).select("path", "vector").mapInArrow(pick, "gid binary, raw binary").toArrow()
@@ -89,7 +124,7 @@ def fit_cells(index: DataFrame, n: int, shard: int = SHARD, sample: int = SAMPLE
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tree, sizes = shared.value
-            for batch in batches:
+            for batch in _sliced(batches, ROWS):
                 _, m, gids = _usable(batch, width)
                 nodes, rows = [], []
                 for mine, k in tree.route(_unit(m), only=True):
@@ -131,45 +166,132 @@ def _best(a: np.ndarray, b: np.ndarray, sims: np.ndarray, k: int, slack: float)
     return sims >= level[a] - slack
 
 
-def of_shard(raw: np.ndarray, own: np.ndarray, alike: bool, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, similarity) of pairs of rows: for each about its k most similar among the rows that are `own`, all of
-    equal rounded similarity. What one of two found counts for the other as well."""
-    unit = _unit(raw)
-    points = np.flatnonzero(own)
-    widen = max(1.0, np.log2(max(len(points), 1) / WIDEN_FROM) / 2) if alike else 1.0
-    degree, beam, search = (round(x * widen) for x in PLAIN)
-    graph = Graph(np.ascontiguousarray(unit[points]), degree, beam)
-    inside = np.full(len(raw), -1)
-    inside[points] = np.arange(len(points))
-    pairs, sims = [], []
-    for asked, numbers in ((points, inside[points]), (np.flatnonzero(~own), None)):
-        wide = max(search, k + 2)
+def _both(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([a, b]), np.concatenate([b, a])
+
+
+class Part:
+    """The graph of some vectors of a shard (rows of raw), and for each the k greatest similarities found so far."""
+
+    def __init__(self, raw: np.ndarray, alike: bool, k: int, least: float):
+        self.raw, self.k, self.least, self.top = raw, k, least, np.full((len(raw), k), -np.inf)
+        widen = max(1.0, np.log2(max(len(raw), 1) / WIDEN_FROM) / 2) if alike else 1.0
+        degree, beam, self.beam = (round(x * widen) for x in PLAIN)
+        self.graph = Graph(_unit(raw), degree, beam)
+
+    def _found(self, unit: np.ndarray, points: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, point, similarity) of each row's beam; points: the rows are the points themselves."""
+        asked, found = np.arange(len(unit)), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        wide = max(self.beam, self.k + 2)
         while len(asked):
-            ids, s = graph.search(unit[asked], wide, numbers)
+            ids, s = self.graph.search(unit if len(asked) == len(unit) else unit[asked], wide, asked if points else None)
             # a beam that ends within a tie is widened
-            more = (s[:, -1] >= s[:, min(k, s.shape[1] - 1)] - 2 * NEAR_TIE) & (s[:, -1] >= least - NEAR_TIE) & (ids.shape[1] < len(points))
-            rows, at = np.nonzero((ids >= 0) & (s >= least - NEAR_TIE) & ~more[:, None])
-            pairs.append(np.stack([asked[rows], points[ids[rows, at]]]))
-            sims.append(s[rows, at])
-            asked, numbers, wide = asked[more], None if numbers is None else numbers[more], 2 * wide
-    (a, b), s = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64), np.concatenate(sims) if sims else np.zeros(0)
-    keep = a != b
-    a, b, s = a[keep], b[keep], s[keep]
-    _, once = np.unique(np.minimum(a, b) * len(raw) + np.maximum(a, b), return_index=True)
-    a, b, s = a[once], b[once], s[once]
-    both = lambda x, y: (np.concatenate([x, y]), np.concatenate([y, x]))
-    keep = _best(*both(a, b), np.concatenate([s, s]), k, 2 * NEAR_TIE).reshape(2, -1).any(axis=0)
-    a, b = a[keep], b[keep]
-    norms = np.sqrt(np.einsum("ij,ij->i", raw, raw, dtype=np.float64))
-    exact = np.empty(len(a))
-    for lo in range(0, len(a), 4096):
-        x, y = a[lo : lo + 4096], b[lo : lo + 4096]
-        exact[lo : lo + 4096] = np.einsum("ij,ij->i", raw[x].astype(np.float64), raw[y].astype(np.float64)) / (norms[x] * norms[y])
-    exact = np.round(exact, 6)
-    a, b = both(a, b)
-    exact = np.concatenate([exact, exact])
-    good = (exact >= least) & _best(a, b, exact, k, 0)
-    return a[good], b[good], exact[good]
+            more = (s[:, -1] >= s[:, min(self.k, s.shape[1] - 1)] - 2 * NEAR_TIE) & (s[:, -1] >= self.least - NEAR_TIE) & (ids.shape[1] < len(self.raw))
+            rows, at = np.nonzero((ids >= 0) & (s >= self.least - NEAR_TIE) & ~more[:, None])
+            found.append((asked[rows], ids[rows, at], s[rows, at]))
+            asked, wide = asked[more], 2 * wide
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _exact(self, raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rounded cosines in double precision of rows of raw and points."""
+        out = np.empty(len(a))
+        for lo in range(0, len(a), 1024):
+            x, y = raw[a[lo : lo + 1024]].astype(np.float64), self.raw[b[lo : lo + 1024]].astype(np.float64)
+            out[lo : lo + 1024] = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
+        return np.round(out, 6)
+
+    def _keep(self, points: np.ndarray, exact: np.ndarray) -> None:
+        order = np.lexsort((-exact, points))
+        points, exact = points[order], exact[order]
+        first = np.flatnonzero(np.append(True, np.diff(points) > 0)[: len(points)])
+        place = np.arange(len(points)) - np.repeat(first, np.diff(np.append(first, len(points))))
+        best = np.full((len(first), self.k), -np.inf)
+        few = place < self.k
+        best[np.searchsorted(points[first], points[few]), place[few]] = exact[few]
+        own = points[first]
+        self.top[own] = np.sort(np.concatenate([self.top[own], best], axis=1), axis=1)[:, -self.k :]
+
+    def among(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(point, point, similarity): about the k most similar points of each, all of equal rounded similarity. What
+        one of two found counts for the other as well."""
+        a, b, s = self._found(self.graph.x, True)
+        keep = a != b
+        a, b, s = a[keep], b[keep], s[keep]
+        _, once = np.unique(np.minimum(a, b) * len(self.raw) + np.maximum(a, b), return_index=True)
+        a, b, s = a[once], b[once], s[once]
+        keep = _best(*_both(a, b), np.concatenate([s, s]), self.k, 2 * NEAR_TIE).reshape(2, -1).any(axis=0)
+        a, b = a[keep], b[keep]
+        exact = np.tile(self._exact(self.raw, a, b), 2)
+        a, b = _both(a, b)
+        good = (exact >= self.least) & _best(a, b, exact, self.k, 0)
+        a, b, exact = a[good], b[good], exact[good]
+        self._keep(a, exact)
+        return a, b, exact
+
+    def asked(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, point, similarity, for whom) for other vectors: for 0 a row gets a point, for 1 the point gets the
+        row, if it has fewer than k others so far that are more similar."""
+        a, b, s = self._found(_unit(raw), False)
+        row = _best(a, b, s, self.k, 2 * NEAR_TIE)
+        keep = row | (s >= self.top[b, 0] - 2 * NEAR_TIE)
+        a, b = a[keep], b[keep]
+        exact = self._exact(raw, a, b)
+        row, point = (exact >= self.least) & _best(a, b, exact, self.k, 0), (exact >= self.least) & (exact >= self.top[b, 0])
+        self._keep(b[point], exact[point])
+        whom = np.repeat([0, 1], [row.sum(), point.sum()])
+        return np.concatenate([a[row], a[point]]), np.concatenate([b[row], b[point]]), np.concatenate([exact[row], exact[point]]), whom
+
+
+def of_shard(raw: np.ndarray, own: np.ndarray, alike: bool, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, similarity) of pairs of rows: for each about its k most similar among the rows that are `own`, all of
+    equal rounded similarity; for those also other rows that found them."""
+    points, others = np.flatnonzero(own), np.flatnonzero(~own)
+    part = Part(raw[points], alike, k, least)
+    a, b, sims = part.among()
+    row, point, more, whom = part.asked(raw[others])
+    row, point = others[row], points[point]
+    return np.concatenate([points[a], np.where(whom, point, row)]), np.concatenate([points[b], np.where(whom, row, point)]), np.concatenate([sims, more])
+
+
+def searched(batches: Iterable[pa.RecordBatch], alike: bool, k: int, least: float, width: int) -> Iterator[pa.RecordBatch]:
+    """(gid, other, sim) of a shard; batches: own, gid, raw, each gid once, own rows first. A graph holds HELD vectors
+    at most, whatever the shard holds: all others search it as they pass by. If more of them are own, they all wait
+    in a file for the next graph."""
+    named = lambda a, b, sims: pa.RecordBatch.from_arrays([a, b, pa.array(sims, pa.float64())], names=["gid", "other", "sim"])
+    while batches is not None:
+        raw, n, gids, rest, batches = np.empty((HELD, width), np.float32), 0, [], [], iter(batches)
+        for batch in batches:
+            mine = min(pc.sum(batch.column("own"), min_count=0).as_py(), HELD - n)
+            _unpacked(batch.column("raw").slice(0, mine), raw[n : n + mine])
+            gids.append(batch.column("gid").take(pa.array(np.arange(mine))))  # a slice would hold the whole batch
+            n += mine
+            if mine < len(batch):
+                rest = [batch.slice(mine)]
+                break
+        batch = None
+        if not n:
+            return
+        raw, own = raw[:n], pa.concat_arrays(gids)
+        part = Part(raw, alike, k, least)
+        a, b, sims = part.among()
+        yield named(own.take(pa.array(a)), own.take(pa.array(b)), sims)
+        file = tempfile.TemporaryFile() if rest and rest[0].column("own")[0].as_py() else None
+        writer = file and pa.ipc.new_stream(file, rest[0].schema)
+        for batch in _sliced(chain(rest, batches), ASKED):
+            row, point, sims, whom = part.asked(_unpacked(batch.column("raw"), np.empty((len(batch), width), np.float32)))
+            theirs, ours, own_first = batch.column("gid").take(pa.array(row)), own.take(pa.array(point)), pa.array(whom == 1)
+            yield named(pc.if_else(own_first, ours, theirs), pc.if_else(own_first, theirs, ours), sims)
+            if file:
+                writer.write_batch(batch)
+        batches = None
+        if file:
+            for lo in range(0, n, ROWS):
+                some = raw[lo : lo + ROWS]
+                writer.write_batch(pa.RecordBatch.from_arrays([pa.array(np.zeros(len(some), bool)), own.slice(lo, ROWS), _packed(some)], schema=rest[0].schema))
+            writer.close()
+            file.seek(0)
+            batches = pa.ipc.open_stream(file)
+        del part, raw
 
 
 def neighbour_groups(index: DataFrame, tree: Tree, k: int = K, least: float = LEAST, width: int = WIDTH) -> DataFrame:
@@ -188,9 +310,10 @@ def neighbour_groups(index: DataFrame, tree: Tree, k: int = K, least: float = LE
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         tree, parts, first = shared.value
-        codec = pa.Codec("zstd", compression_level=1)
-        for batch in batches:
+        for batch in _sliced(batches, ROWS):
             _, m, gids = _usable(batch, width)
+            if len(seen) > SEEN:
+                seen.clear()  # a copy may be sent again
             fresh = [i for i, g in enumerate(gids) if g not in seen and not seen.add(g)]
             if not fresh:
                 continue
@@ -202,34 +325,31 @@ def neighbour_groups(index: DataFrame, tree: Tree, k: int = K, least: float = LE
                     rows.append(mine)
                     shards.append(np.full(len(mine), first[cell] + part))
                     own.append(home[mine] % parts[cell] == part)
-            # bytes of equal weight side by side compress well
-            planes = np.ascontiguousarray(m.view(np.uint8).reshape(len(m), width, 4).transpose(0, 2, 1))
-            raw = pa.array([codec.compress(x, asbytes=True) for x in planes], pa.binary())
             at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards), pa.int32()), pa.array(np.concatenate(own)), pa.array(gids, pa.binary()).take(at), raw.take(at)], names=["shard", "own", "gid", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards), pa.int32()), pa.array(np.concatenate(own)), pa.array(gids, pa.binary()).take(at), _packed(m).take(at)], names=["shard", "own", "gid", "raw"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[bytes, bool]] = {}
-        shard = None
-        for batch in batches:
-            if len(batch):
-                shard = batch.column("shard")[0].as_py()
-            held.update(zip(batch.column("gid").to_pylist(), zip(batch.column("raw").to_pylist(), batch.column("own").to_pylist(), strict=True), strict=True))
-        if not held:
+        filled = (b for b in batches if len(b))
+        head = next(filled, None)
+        if head is None:
             return
-        order = sorted(held)  # a graph must not depend on the order of arrival
-        codec = pa.Codec("zstd")
-        planes = np.empty((len(order), 4, width), np.uint8)
-        for i, g in enumerate(order):
-            planes[i] = np.frombuffer(codec.decompress(held[g][0], width * 4), np.uint8).reshape(4, width)
-        raw = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.float32)[:, :, 0]
-        own = np.array([held[g][1] for g in order])
-        a, b, sims = of_shard(raw, own, bool(alike[shard]), k, least)
-        gids = pa.array(order, pa.binary())
-        yield from pa.table({"gid": gids.take(pa.array(a)), "other": gids.take(pa.array(b)), "sim": pa.array(sims, pa.float64())}).to_batches()
+        shard, arrived = head.column("shard")[0].as_py(), chain([head], filled)
+        del head
+
+        def once() -> Iterator[pa.RecordBatch]:
+            last = None
+            for batch in _sliced(arrived, ASKED):
+                gids = batch.column("gid").to_pylist()
+                keep = [i for i, g in enumerate(gids) if g != (gids[i - 1] if i else last)]
+                last = gids[-1]
+                batch = batch.select(["own", "gid", "raw"])
+                yield batch if len(keep) == len(batch) else batch.take(pa.array(keep, pa.int64()))
+
+        yield from searched(once(), bool(alike[shard]), k, least, width)
 
     work = index.select("path", "vector").mapInArrow(route, "shard int, own boolean, gid binary, raw binary")
-    tasks = work.repartitionById(int(first[-1]), F.col("shard")).select("shard", "gid", "own", "raw")
+    # a graph must not depend on the order of arrival; copies come in a row
+    tasks = work.repartitionById(int(first[-1]), F.col("shard")).select("shard", "gid", "own", "raw").sortWithinPartitions(F.col("own").desc(), "gid")
     return tasks.mapInArrow(answer, "gid binary, other binary, sim double")
 
 

@@ -438,6 +438,27 @@ def test_ties_beyond_the_beam_are_kept():
     assert set(b[a == 0]) == set(range(1, 40)) and len(set(sims[a == 0])) == 1
 
 
+def test_a_shard_of_any_size_is_searched_by_bounded_graphs(monkeypatch):
+    import pyarrow as pa
+
+    m = near_groups(1500, seed=4)
+    gids = [f"{i:05d}".encode() for i in range(len(m))]
+    truth = {(a.encode(), b.encode()) for a, b in brute([g.decode() for g in gids], m)}
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(1500) < 1000), pa.array(gids, pa.binary()), neighbours._packed(m)], names=["own", "gid", "raw"])
+    built = []
+    monkeypatch.setattr(neighbours, "Graph", lambda x, *more: built.append(len(x)) or Graph(x, *more))
+    monkeypatch.setattr(neighbours, "HELD", 300)
+    monkeypatch.setattr(neighbours, "ASKED", 128)
+    out = pa.Table.from_batches(neighbours.searched([batch.slice(0, 700), batch.slice(700)], False, 5, 0.65, 512)).to_pylist()
+    assert built == [300, 300, 300, 100]
+    sims = {}
+    for r in out:
+        sims.setdefault(r["gid"], {})[r["other"]] = r["sim"]
+    got = {tuple(sorted((a, b))) for a, x in sims.items() for b in sorted(x, key=lambda b: (-x[b], b))[:5]}
+    reached = {x for x in truth if x[0] < b"01000"}  # the others are compared elsewhere
+    assert len(reached & got) >= 0.95 * len(reached)
+
+
 def test_graph_is_directed_and_bounded():
     x = near_groups(300, 32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -167,6 +167,33 @@ def test_hamming_edges_are_exact(spark):
     assert {tuple(r) for r in dedup.hamming_edges(df, 7).collect()} == truth
 
 
+@pytest.mark.parametrize(("distance", "held", "task_hashes"), [(0, 4_000_000, 100), (6, 4_000_000, 250_000), (6, 3, 2000), (10, 20, 4000), (63, 4_000_000, 250_000)])
+def test_close_pairs_are_exact_and_come_once(spark, monkeypatch, distance, held, task_hashes):
+    monkeypatch.setattr(segments, "HELD", held)
+    monkeypatch.setattr(segments, "TASK_HASHES", task_hashes)
+    rng = random.Random(distance)
+    base = [rng.getrandbits(64) for _ in range(6)] + [0, (1 << 64) - 1, 1 << 63, rng.getrandbits(20)]
+    near = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(9))) for b in base for _ in range(12)}
+    hashes = sorted(x - (1 << 64) if x >> 63 else x for x in near)
+    truth = [(a, b) for i, a in enumerate(hashes) for b in hashes[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= distance]
+    df = spark.createDataFrame([(x,) for x in hashes], "h bigint")
+    assert sorted(tuple(r) for r in segments.close_pairs(df, distance, len(hashes)).collect()) == truth
+    assert segments.close_pairs(df.limit(0), distance, 0).count() == 0
+
+
+def test_hash_searches_send_no_keys_through_the_driver(spark, tmp_path, monkeypatch):
+    # Spark takes exploded keys for as few as the hashes, and a small file for a small table
+    monkeypatch.setattr(segments, "BROADCAST_KEYS", 1000)
+    monkeypatch.setattr(dedup, "BROADCAST_MEMBERS", 100)
+    rng = random.Random(5)
+    hashes = [rng.getrandbits(63) for _ in range(200)]
+    spark.createDataFrame([(i, [h, h ^ 3]) for i, h in enumerate(hashes)], "ord bigint, hs array<bigint>").write.parquet(str(tmp_path / "items"))
+    items = spark.read.parquet(str(tmp_path / "items"))
+    h = items.selectExpr("explode(hs) as h").distinct()
+    for df in (dedup.hamming_edges(items, 6), segments.close_hashes(h, h, 6, 400)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keys_lengthen_with_the_rows_and_lose_nothing(spark):
     assert [segments.layout(n, 6)[1] for n in (10**3, 10**5, 10**6, 10**7, 10**8)] == sorted(segments.layout(n, 6)[1] for n in (10**3, 10**5, 10**6, 10**7, 10**8))
     for n in (10**5, 10**7, 10**9):

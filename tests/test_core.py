@@ -13,8 +13,10 @@ from framewright.functions.clean import file_name, hash64, label_key, split_key,
 from framewright.kernels import images
 from framewright.operators import augment, bias, dedup, metrics, mixture, scores, segments
 from framewright.operators.distribute import global_rank, join_unique, prefix_sum
+from framewright.plans import queries
 from framewright.plans.curate import CurationConfig, Gate, curate, stage_counts
 from framewright.plans.queries import CURATION, REGISTRY, latest
+from framewright.session import cut
 
 
 def clip_rows(spark, rows):
@@ -194,6 +196,21 @@ def test_hash_searches_send_no_keys_through_the_driver(spark, tmp_path, monkeypa
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["dedup_greedy_hamming"])
+def test_hash_queries_broadcast_nothing_exploded(spark, tiny, monkeypatch, name):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(dedup, "BROADCAST_MEMBERS", 10, raising=False)
+    monkeypatch.setattr(dedup, "cut", seen)
+    monkeypatch.setattr(queries, "cut", seen)
+    assert REGISTRY[name](spark, tiny).count()
+    assert any("explode" in p for p in plans) and not any("Broadcast" in p and "explode" in p for p in plans)
+
+
 def test_keys_lengthen_with_the_rows_and_lose_nothing(spark):
     assert [segments.layout(n, 6)[1] for n in (10**3, 10**5, 10**6, 10**7, 10**8)] == sorted(segments.layout(n, 6)[1] for n in (10**3, 10**5, 10**6, 10**7, 10**8))
     for n in (10**5, 10**7, 10**9):

@@ -196,7 +196,7 @@ def test_hash_searches_send_no_keys_through_the_driver(spark, tmp_path, monkeypa
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["dedup_greedy_hamming"])
+@pytest.mark.parametrize("name", ["dedup_greedy_hamming", "dedup_verdicts"])
 def test_hash_queries_broadcast_nothing_exploded(spark, tiny, monkeypatch, name):
     plans = []
 
